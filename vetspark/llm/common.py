@@ -68,3 +68,14 @@ def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
     return os.fspath(public_tokenizers.path(name))
+
+
+def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal ``keys`` (never null), where ``right`` has each key once.
+
+    A hash of the keys joins along, so that a ``right`` that comes grouped by
+    the keys is dealt out anew and Spark can split the large partitions of a hot key.
+    """
+    k = hidden("k")
+    h = F.xxhash64(*keys)
+    return left.withColumn(k, h).join(right.withColumn(k, h), [*keys, k], how).drop(k)

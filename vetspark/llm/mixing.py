@@ -10,7 +10,7 @@ from .common import WORD, materialise, n_words
 #: Per-source tables up to this many rows (about 100 bytes each) are broadcast; larger ones are joined by shuffle.
 MAX_BROADCAST_SOURCES = 20_000
 #: Words of a source in one sorting range, on average.
-WORDS_PER_RANGE = 4_000_000
+WORDS_PER_RANGE = 500_000
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
