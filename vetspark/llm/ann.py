@@ -92,7 +92,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def nearest(
     vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: str = "embedding", k: int = 10,
-    share: float = 0.7, trees: int = 8, leaf: int = 64, sample: int = SAMPLE, seed: int = 11,
+    share: float = 0.18, trees: int = 8, leaf: int = 64, sample: int = SAMPLE, seed: int = 11,
 ) -> DataFrame:
     """The ``k`` nearest rows found of every row that ``is_query`` (a condition on ``vec_id`` as named) selects: (query_id, rank, vec_id, score).
 
