@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, mixing, quality, simhash, toxicity
+from . import ann, bpe, chat, linededup, mixing, quality, simhash, toxicity
 from .common import is_held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,32 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.drop_repeated_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.length("text").cast("long").alias("chars_left"), F.sha2("text", 256).alias("text_sha256"))
+
+
+SQL["op1_line_dedup"] = r"""
+with cut as (select doc_id, string_split(text, chr(10)) as l from documents),
+ all_lines as (select doc_id, unnest(l) as line, unnest(range(len(l))) as pos from cut),
+ worded as (select doc_id, pos, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) as line from all_lines),
+ sized as (select *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as words from worded where line <> ''),
+ placed as (select *, sum(words) over (partition by doc_id order by pos) as after, sum(words) over (partition by doc_id order by pos) - words as before,
+   sum(words) over (partition by doc_id) as total from sized),
+ windows as (
+   select doc_id, min(pos) over w as start, max(pos) over w as stop, list(line) over w as content, before + 50 <= total as whole from placed
+     window w as (partition by doc_id order by before range between current row and 49 following)
+   union
+   select doc_id, min(pos) over w, max(pos) over w, list(line) over w, after >= 50 from placed
+     window w as (partition by doc_id order by after range between 49 preceding and current row)),
+ firsts as (select content, min({'doc_id': doc_id, 'start': start, 'stop': stop}) as f from windows where whole group by content having count(*) > 1),
+ hits as (select w.doc_id, w.start, w.stop from windows w join firsts f on w.content = f.content where w.whole and not (w.doc_id = f.f.doc_id and w.start <= f.f.stop)),
+ kept as (select a.* from all_lines a where not exists (select 1 from hits h where h.doc_id = a.doc_id and a.pos between h.start and h.stop)),
+ texts as (select doc_id, string_agg(line, chr(10) order by pos) as text from kept group by doc_id)
+select d.doc_id, cast(length(coalesce(t.text, '')) as bigint) as chars_left, sha256(coalesce(t.text, '')) as text_sha256 from documents d left join texts t on t.doc_id = d.doc_id"""
+
+
 @query
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
