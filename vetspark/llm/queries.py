@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, linededup, mixing, quality, simhash, toxicity
+from . import ann, bpe, chat, linededup, lm, mixing, quality, simhash, toxicity
 from .common import is_held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,24 @@ with cut as (select doc_id, string_split(text, chr(10)) as l from documents),
 select d.doc_id, cast(length(coalesce(t.text, '')) as bigint) as chars_left, sha256(coalesce(t.text, '')) as text_sha256 from documents d left join texts t on t.doc_id = d.doc_id"""
 
 
+@query
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lm.score_documents(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", F.round("log_score", 3).alias("log_score"))
+
+
+SQL["op3_lm_scoring"] = r"""
+with docs as (select doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w from documents),
+ tokens as (select doc_id, unnest(list_zip(list_concat([''], w), w)) as p from docs),
+ pairs as (select doc_id, p[1] as a, p[2] as b from tokens where p[2] is not null),
+ pair as (select a, b, count(*) as n, count(distinct doc_id) as d from pairs group by a, b),
+ context as (select a, count(*) as n from pairs group by a),
+ word as (select b, count(*) as n, sum(count(*)) over () as total from pairs group by b),
+ scored as (select p.doc_id, sum(case when q.d > 1 then ln(q.n::double) - ln(c.n::double) else ln(0.4::double) + ln(w.n::double) - ln(w.total::double) end) as s
+   from pairs p join pair q on p.a = q.a and p.b = q.b join context c on c.a = p.a join word w on w.b = p.b group by p.doc_id)
+select d.doc_id, cast(len(d.w) as bigint) as n_words, round(coalesce(s.s, 0), 3) as log_score from docs d left join scored s on s.doc_id = d.doc_id"""
+
+
 @query
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
