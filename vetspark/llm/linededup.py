@@ -97,7 +97,7 @@ def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     here = F.xxhash64(F.coalesce(t.cast("string"), F.lit("")))
     joined = docs.join(ids, F.col(f"`{doc_id}`").eqNullSafe(F.col(hidden("id"))) & (here == F.col(hidden("hash"))), "left")
     changed = F.col(hidden("runs")).isNotNull()
-    new = {text: F.when(changed, _without(t, F.col(hidden("runs")))).otherwise(t)}
+    out = joined.withColumn(text, F.when(changed, _without(t, F.col(hidden("runs")))).otherwise(t))
     if n_chars in docs.columns:
-        new[n_chars] = F.when(changed, F.length(new[text]).cast(docs.schema[n_chars].dataType)).otherwise(F.col(f"`{n_chars}`"))
-    return joined.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+        out = out.withColumn(n_chars, F.when(changed, F.length(t).cast(docs.schema[n_chars].dataType)).otherwise(F.col(f"`{n_chars}`")))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -124,9 +124,8 @@ def take_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
     times = F.when(n_words(t) > 0, F.col("__cut.epochs") + F.when(whole | part, 1).otherwise(0)).otherwise(0).cast("int")
     copies = out.withColumn("__part", part).withColumn("__copy", F.explode(F.sequence(F.lit(0), times)))
     copies = copies.filter(F.col("__copy") < times)
-    cut_here = F.col("__part") & (F.col("__copy") == F.col("__cut.epochs"))
-    new_text = F.when(cut_here, head).otherwise(t)
-    new = {text: new_text}
+    copies = copies.withColumn("__cut_here", F.col("__part") & (F.col("__copy") == F.col("__cut.epochs")))
+    out = copies.withColumn(text, F.when(F.col("__cut_here"), head).otherwise(t))
     if n_chars in docs.columns:
-        new[n_chars] = F.when(cut_here, F.length(head).cast(docs.schema[n_chars].dataType)).otherwise(F.col(f"`{n_chars}`"))
-    return copies.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+        out = out.withColumn(n_chars, F.when(F.col("__cut_here"), F.length(t).cast(docs.schema[n_chars].dataType)).otherwise(F.col(f"`{n_chars}`")))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
