@@ -1,0 +1 @@
+"""Candidate vetting and schedule reconciliation as DataFrame jobs."""
