@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, linededup, lm, mixing, quality, simhash, toxicity
+from . import ann, bpe, chat, linededup, lm, mixing, quality, search, simhash, toxicity
 from .common import is_held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,23 @@ with cut as (select doc_id, string_split(text, chr(10)) as l from documents),
 select d.doc_id, cast(length(coalesce(t.text, '')) as bigint) as chars_left, sha256(coalesce(t.text, '')) as text_sha256 from documents d left join texts t on t.doc_id = d.doc_id"""
 
 
+@query
+def op2_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return search.bm25_topk(docs, docs.filter("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id")).withColumn("score", F.round("score", 6))
+
+
+SQL["op2_search"] = r"""
+with w as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as l from documents),
+ s as (select count(*) as n, avg(len(l)) as average from w),
+ tf as (select doc_id, size, term, count(*) as tf from (select doc_id, len(l) as size, unnest(l) as term from w) group by all),
+ df as (select term, count(*) as df from tf group by term),
+ scored as (select q.doc_id as query_id, d.doc_id, round(sum(ln(1 + (s.n - f.df + 0.5) / (f.df + 0.5)) * d.tf * 2.2 / (d.tf + 1.2 * (0.25 + 0.75 * d.size / s.average))), 9) as score
+   from tf q join tf d on d.term = q.term join df f on f.term = q.term cross join s where q.doc_id % 50 = 0 and d.doc_id <> q.doc_id group by 1, 2),
+ ranked as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from scored)
+select query_id, cast(rank as int) as rank, doc_id, round(score, 6) as score from ranked where rank <= 10"""
+
+
 @query
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lm.score_documents(table(spark, sf_dir, "documents"))
