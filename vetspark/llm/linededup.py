@@ -95,7 +95,8 @@ def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     ids = runs.select(F.col("doc_id").alias(hidden("id")), F.col("text_hash").alias(hidden("hash")), hidden("runs"))
     t = F.col(f"`{text}`")
     here = F.xxhash64(F.coalesce(t.cast("string"), F.lit("")))
-    joined = docs.join(ids, F.col(f"`{doc_id}`").eqNullSafe(F.col(hidden("id"))) & (here == F.col(hidden("hash"))), "left")
+    # merged at every size: broadcasting short lists of runs would only hold for small inputs
+    joined = docs.join(ids.hint("merge"), F.col(f"`{doc_id}`").eqNullSafe(F.col(hidden("id"))) & (here == F.col(hidden("hash"))), "left")
     changed = F.col(hidden("runs")).isNotNull()
     out = joined.withColumn(text, F.when(changed, _without(t, F.col(hidden("runs")))).otherwise(t))
     if n_chars in docs.columns:
