@@ -71,15 +71,15 @@ def fit(docs: list[np.ndarray], y: np.ndarray, steps: int = 150, l2: float = 2e-
     empty = Machine({}, float(np.log(prior / (1 - prior))), np.zeros(0), np.zeros((0, FACTORS)))
     if len(set(y.tolist())) < 2:
         return empty
-    size = 1 << HASH_BITS
-    flat, label = np.concatenate(docs), np.repeat(y, [len(d) for d in docs])
-    ones, all_ = np.bincount(flat[label == 1], minlength=size), np.bincount(flat, minlength=size)
+    terms, at, all_ = np.unique(np.concatenate(docs), return_inverse=True, return_counts=True)
+    ones = np.bincount(at[np.repeat(y == 1, [len(d) for d in docs])], minlength=len(terms))
+    del at
     n, p = len(y), y.sum()
     expected = all_ * (p / n)
     chi = np.where(all_ >= 3, (ones - expected) ** 2 / np.maximum(expected * (1 - p / n) * (1 - all_ / n), 1e-9), 0)
-    best = np.lexsort((np.arange(size), -chi))[:TERMS]
+    best = np.lexsort((terms, -chi))[:TERMS]
     best = best[chi[best] > 0]
-    place = {int(h): i for i, h in enumerate(best)}
+    place = {int(h): i for i, h in enumerate(terms[best])}
     x = np.zeros((n, len(best)))
     for i, d in enumerate(docs):
         x[i, [place[h] for h in d.tolist() if h in place]] = 1
