@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,7 +47,7 @@ def linear_tree(messages: DataFrame, tree: str = "conv_id", order: str = "turn",
     return rows.select("tree", n.alias("node"), F.when(n > 1, n - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
-def branch_paths(nodes: DataFrame, best: int | None = 1, max_rounds: int = 40) -> DataFrame:
+def branch_paths(nodes: DataFrame, best: int | None = 1) -> DataFrame:
     """Root-to-leaf paths of reply trees: (tree, leaf, node, depth), depth 0 at the root.
 
     ``nodes`` has (tree, node, parent, score).  Self-joins double the reach in
@@ -53,7 +55,7 @@ def branch_paths(nodes: DataFrame, best: int | None = 1, max_rounds: int = 40) -
     knows its ancestors less than 2^k away, so that n replies in a line take log2(n) rounds.
     Branches are ranked by mean score along the path (null counts 0), then longer first, then smaller leaf;
     the ``best`` of each tree stay (None: all).  A row whose parent is
-    missing is a root.  Rows in a cycle hang on no root and are left out.
+    missing is a root.  Rows in a cycle, and what hangs on one, have no root and are left out.
     Repeated node numbers in a tree: the first by parent (null first), then score, stays.  No rows give no rows.
     """
     own = nodes.groupBy("tree", "node").agg(F.min(F.struct(F.coalesce("parent", F.lit(-(2**63))).alias("p"), F.coalesce("score", F.lit(0.0)).alias("score"))).alias("s"))
@@ -66,15 +68,20 @@ def branch_paths(nodes: DataFrame, best: int | None = 1, max_rounds: int = 40) -
     path = leaf.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
     jump = own.filter("parent is not null").select(F.col("tree").alias("j_tree"), F.col("node").alias("j_node"), F.col("parent").alias("j_up"))
     reach = F.col("tree").eqNullSafe(F.col("j_tree")) & (F.col("node") == F.col("j_node"))
-    for k in range(max_rounds):
+    n = own.count()
+    for k in itertools.count():
         jump = materialise(jump, "chat-jump")
-        if jump.isEmpty():
+        further = path.join(jump, reach).select("tree", "leaf", F.col("j_up").alias("node"), (F.col("up") + 2**k).alias("up"))
+        further = materialise(further, "chat-path")
+        if further.isEmpty():
+            break
+        if 2**k > n:  # no path is that long: what goes on runs in a cycle
+            lost = further.select(F.col("tree").alias("k_tree"), F.col("leaf").alias("k_leaf")).distinct()
+            path = path.join(lost, F.col("tree").eqNullSafe(F.col("k_tree")) & (F.col("leaf") == F.col("k_leaf")), "left_anti")
             break
-        path = materialise(path.unionByName(path.join(jump, reach).select("tree", "leaf", F.col("j_up").alias("node"), (F.col("up") + 2**k).alias("up"))), "chat-path")
+        path = path.unionByName(further)
         onward = jump.select(F.col("j_tree").alias("o_tree"), F.col("j_node").alias("o_node"), F.col("j_up").alias("o_up"))
         jump = jump.join(onward, F.col("j_tree").eqNullSafe(F.col("o_tree")) & (F.col("j_up") == F.col("o_node"))).select("j_tree", "j_node", F.col("o_up").alias("j_up"))
-    else:
-        raise ValueError(f"a reply tree is deeper than 2^{max_rounds} or holds a cycle above a leaf")
     scored = path.join(own.select(F.col("tree").alias("k_tree"), F.col("node").alias("k_node"), "score"), F.col("tree").eqNullSafe(F.col("k_tree")) & (F.col("node") == F.col("k_node")))
     branch = scored.groupBy("tree", "leaf").agg(F.avg("score").alias("score"), F.count("*").alias("length"))
     if best is not None:

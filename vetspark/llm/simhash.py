@@ -85,11 +85,11 @@ def close_links(fps: DataFrame, radius: int = 2) -> DataFrame:
     open_bits = F.element_at(F.array(*[F.lit(~m) for m in masks]), F.col("mask") + 1)
     members = skew_join(rows, shared, ["mask", "bits"]).groupBy("fp").agg(F.bit_or(open_bits).alias("open"))
     flips = F.filter(F.array(*[F.lit(_signed(1 << i)) for i in range(BITS)]), lambda b: b.bitwiseAND(F.col("open")) != 0)
-    if radius == 1:
-        flips = F.transform(flips, lambda b: F.least(F.col("fp"), F.col("fp").bitwiseXOR(b)))
-        meets = members.select("fp", F.explode(flips).alias("place"))
+    bit = members.select("fp", F.explode(flips).alias("b"))
+    if radius == 1:  # the two ends of a changed bit meet under the smaller and the bit
+        meets = bit.select("fp", F.struct(F.least("fp", F.col("fp").bitwiseXOR(F.col("b"))), "b").alias("place"))
     else:
-        meets = members.select("fp", F.explode(F.concat(F.array(F.lit(0).cast("long")), flips)).alias("b")).select("fp", F.col("fp").bitwiseXOR(F.col("b")).alias("place"))
+        meets = bit.select("fp", F.col("fp").bitwiseXOR(F.col("b")).alias("place")).unionByName(members.select("fp", F.col("fp").alias("place")))
     met = meets.groupBy("place").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("all")).filter(F.size("all") > 1)
     return met.select("a", F.explode("all").alias("b")).filter("a != b").distinct()
 
@@ -129,7 +129,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
     d, h = hidden("id"), hidden("hash")
     keep = found.select(F.col("first.doc_id").alias(d), F.col("first.text_hash").alias(h))
     marked = docs.withColumn(hidden("h"), F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))))
-    kept = marked.join(keep, (F.col(hidden("h")) == F.col(h)) & F.col(f"`{doc_id}`").eqNullSafe(F.col(d)), "left_semi")
+    kept = marked.join(keep.hint("merge"), (F.col(hidden("h")) == F.col(h)) & F.col(f"`{doc_id}`").eqNullSafe(F.col(d)), "left_semi")
     n = hidden("n")
     kept = kept.withColumn(n, F.row_number().over(Window.partitionBy(hidden("h"), F.col(f"`{doc_id}`")).orderBy(hidden("h"))))
     return kept.filter(F.col(n) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
