@@ -53,15 +53,15 @@ def check_live_content(text: Column, scheduled: Column | None = None, live: Sequ
     return result(F.when(has_word(text, replay, folded=True), "replay").when(~has_word(text, live, folded=True) & ~ahead, "not live"))
 
 
-def match_domains(df: DataFrame, domains: DataFrame, key: str, host: str = "host", domain: str = "domain") -> DataFrame:
-    """Adds ``matched``: the row of ``domains`` whose domain is the host or the longest one above it, null if none.
+def match_domains(df: DataFrame, domains: DataFrame, key: str, host: str = "host", domain: str = "domain", out: str = "matched") -> DataFrame:
+    """Adds ``out``: the row of ``domains`` whose domain is the host or the longest one above it, null if none.
 
     The host's suffixes are exploded and joined by equality to the small table of domains, one row each (the
     smallest of rows that repeat a domain).  ``key`` identifies rows; rows that repeat it count once in the look-up.
     """
     dim = domains.groupBy(F.col(domain).alias("__suffix")).agg(F.min(F.struct(*domains.columns)).alias("__row"))
     suffixes = df.select(F.col(key).alias("__key"), F.explode(host_suffixes(F.col(host))).alias("__suffix"))
-    best = suffixes.join(F.broadcast(dim), "__suffix").groupBy("__key").agg(F.max_by("__row", F.length("__suffix")).alias("matched"))
+    best = suffixes.join(F.broadcast(dim), "__suffix").groupBy("__key").agg(F.max_by("__row", F.length("__suffix")).alias(out))
     return df.join(best, F.col(key) == F.col("__key"), "left").drop("__key")
 
 
@@ -105,10 +105,10 @@ def check_direct_stream(html: Column, scheduled: Column | None = None, evidence:
     return result(F.when(html.isNull(), "page unreadable").when(~html.rlike(evidence) & ~ahead, "no stream on the page"))
 
 
-def platform_rule(df: DataFrame, platforms: Mapping[str, bool], key: str, host: str = "host", spark=None) -> DataFrame:
+def platform_rule(df: DataFrame, platforms: Mapping[str, bool], key: str, host: str = "host") -> DataFrame:
     """Adds ``platform_free``: what the table says of the row's domain, null where it says nothing."""
     table = df.sparkSession.createDataFrame([*platforms.items()], "domain string, free boolean")
-    return match_domains(df, table, key, host).withColumn("platform_free", F.col("matched.free")).drop("matched")
+    return match_domains(df, table, key, host, out="__platform").withColumn("platform_free", F.col("__platform.free")).drop("__platform")
 
 
 def announcement_gate(df: DataFrame, announcements: DataFrame, gated: Column, on: Sequence[str]) -> DataFrame:
