@@ -20,6 +20,13 @@ def errors(found: Sequence[Column]) -> Column:
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
+def _wrong_items(v: Column, field: str, kind: str) -> Column:
+    values = F.coalesce(F.try_variant_get(v, f"$.{field}", "array<variant>"), F.array().cast("array<variant>"))
+    fine = lambda x: F.coalesce(F.schema_of_variant(x).startswith(kind), F.lit(False))
+    message = F.transform(values, lambda x, i: F.when(~fine(x), F.concat(F.lit(f"{field}["), i.cast("string"), F.lit(f"] is not {kind}"))))
+    return F.filter(message, lambda x: x.isNotNull())
+
+
 def record_conformance(df: DataFrame, raw: str, required: Sequence[str], types: Mapping[str, str], extra: Sequence[Column] = (), items: Mapping[str, str] | None = None) -> DataFrame:
     """Adds ``errors`` of a JSON text: not JSON; missing keys (sorted, and then no more); fields of another type; ``extra``.
 
@@ -28,10 +35,7 @@ def record_conformance(df: DataFrame, raw: str, required: Sequence[str], types:
     v = F.try_parse_json(F.col(raw))
     missing = F.array_compact(F.array(*[F.when(F.try_variant_get(v, f"$.{k}", "variant").isNull(), F.lit(k)) for k in sorted(required)]))
     wrong = [F.when(~F.coalesce(kind_of(v, f"$.{k}").startswith(t), F.lit(False)), f"{k} is not {t}") for k, t in types.items()]
-    per_item = []
-    for k, t in (items or {}).items():
-        values = F.coalesce(F.try_variant_get(v, f"$.{k}", "array<variant>"), F.array().cast("array<variant>"))
-        per_item.append(F.filter(F.transform(values, lambda x, i, k=k, t=t: F.when(~F.coalesce(F.schema_of_variant(x).startswith(t), F.lit(False)), F.concat(F.lit(f"{k}["), i.cast("string"), F.lit(f"] is not {t}")))), lambda x: x.isNotNull()))
+    per_item = [_wrong_items(v, k, t) for k, t in (items or {}).items()]
     rest = F.concat(errors([*wrong, *extra]), *per_item) if wrong or extra else F.concat(F.array().cast("array<string>"), *per_item)
     out = F.when(v.isNull(), F.array(F.lit("not JSON"))).when(F.size(missing) > 0, F.array(F.concat(F.lit("missing: "), F.array_join(missing, ", ")))).otherwise(rest)
     return df.withColumn("errors", out)
