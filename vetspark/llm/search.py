@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,20 +35,15 @@ def terms_of(text: str | None) -> np.ndarray:
 SHARD = "ids binary, sizes binary, terms binary, starts binary, docs binary, tf binary"
 
 
-def _shard(ids: list[int], texts: list[list[bytes]]) -> pa.RecordBatch:
+def _shard(ids: list[int], texts: list[np.ndarray], place: Iterable[bytes]) -> pa.RecordBatch:
     """Postings of some documents: for each term, ascending, its documents and how often they hold it.
 
     Documents are numbered by their commonest terms, so that texts alike share blocks.
     """
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    place: dict[bytes, int] = {}
-    for t in texts:
-        place.update(dict.fromkeys(t))
-    place = {w: i for i, w in enumerate(place)}
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in place), np.uint64, len(place)).view(np.int64)
-    n = max(1, len(place))
-    flat = np.concatenate([np.fromiter(map(place.__getitem__, t), np.int64, len(t)) for t in texts]) if texts else np.zeros(0, np.int64)
-    both, tf = np.unique(np.repeat(np.arange(len(texts)), sizes) * n + flat, return_counts=True)
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in place), np.uint64).view(np.int64)
+    n = max(1, len(hashes))
+    both, tf = np.unique(np.repeat(np.arange(len(texts)) * n, sizes) + np.concatenate(texts), return_counts=True)
     doc, term = both // n, both % n
     order = np.lexsort((hashes[term], -tf, doc))
     first = np.searchsorted(doc[order], np.arange(len(texts)))
@@ -69,16 +65,20 @@ def _shard(ids: list[int], texts: list[list[bytes]]) -> pa.RecordBatch:
 
 def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ids: list[int] = []
-    texts: list[list[bytes]] = []
+    texts: list[np.ndarray] = []
+    place: defaultdict[bytes, int] = defaultdict()
+    place.default_factory = place.__len__
     for b in batches:
         for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            words = t.as_py().encode().lower().split()
             ids.append(i)
-            texts.append(t.as_py().encode().lower().split())
+            texts.append(np.fromiter(map(place.__getitem__, words), np.int32, len(words)))
             if len(ids) == SHARD_DOCS:
-                yield _shard(ids, texts)
+                yield _shard(ids, texts, place)
                 ids, texts = [], []
+                place.clear()
     if ids:
-        yield _shard(ids, texts)
+        yield _shard(ids, texts, place)
 
 
 @dataclass
