@@ -17,7 +17,7 @@ from .common import tokenizer_file
 
 #: The pattern by which this kind of tokenizer cuts texts into words.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Distinct words whose encodings a worker keeps; beyond that it starts afresh, which costs time only.
+#: Distinct chunks of text, and pairs of tokens, that a worker keeps; others are worked out again, which costs time only.
 KEPT_WORDS = 300_000
 NEVER = 1 << 60
 
@@ -62,18 +62,18 @@ class Bpe:
                     end, x = made[x][0], made[x][side]
                 into[t] = [*reversed([*out, (x, end)])]
         self.split_special = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
-        self.fitting: dict[tuple[int, int], bool] = {}
+        self.fitting: dict[int, bool] = {}
         self.known: dict[str, tuple[int, ...]] = {}
         self.chunks: dict[str, tuple[int, ...]] = {}
 
     def fits(self, a: int, b: int) -> bool:
         """Whether the bytes of a and b together encode to a, b: no merge across the edge comes first."""
-        if (found := self.fitting.get((a, b))) is not None:
+        if (found := self.fitting.get(a << 32 | b)) is not None:
             return found
-        right, left, i, j, ok = self.right[a], self.left[b], 0, 0, True
+        right, left, merge, i, j, ok = self.right[a], self.left[b], self.merge.get, 0, 0, True
         while True:
             (x, x_ends), (y, y_ends) = right[i], left[j]
-            rank = self.merge.get((x, y), NEVER)
+            rank = merge((x, y), NEVER)
             if rank < x_ends and rank <= y_ends and rank < NEVER:  # of equal merges the left one comes first
                 ok = False
                 break
@@ -83,19 +83,18 @@ class Bpe:
                 i += 1
             else:
                 j += 1
-        if len(self.fitting) > 4_000_000:
-            self.fitting.clear()
-        self.fitting[a, b] = ok
+        if len(self.fitting) < KEPT_WORDS:
+            self.fitting[a << 32 | b] = ok
         return ok
 
-    def learn(self, words: Iterable[str]) -> None:
-        """Encode distinct words: in sorted order they are the leaves of their trie, depth first.
+    def learn(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
+        """Encodings of distinct words: in sorted order they are the leaves of their trie, depth first.
 
         ``last`` and ``start`` hold, for each byte of the path to the current
         word, the last token of the prefix that ends there and where it begins;
         the next word keeps what it shares with this one.
         """
-        path, last, start = b"", [0], [0]
+        path, last, start, found = b"", [0], [0], {}
         get, fits, lengths = self.id_of.get, self.fits, self.lengths
         for b, w in sorted((w.encode(), w) for w in words):
             n, same, top = len(b), 0, min(len(b), len(path))
@@ -115,7 +114,8 @@ class Bpe:
             while at:
                 ids.append(last[at])
                 at = start[at]
-            self.known[w] = tuple(reversed(ids))
+            found[w] = tuple(reversed(ids))
+        return found
 
     def _sections(self, text: str) -> list[str | list[str]]:
         """A text as special tokens and lists of words, by the pattern as a whole."""
@@ -125,41 +125,37 @@ class Bpe:
             at = m.end()
         return [*own, WORDS.findall(text[at:])]
 
-    def _learn_new(self, words: Iterable[str]) -> None:
-        new = {w for w in words if w not in self.known}
-        self.learn(new)
-
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of every text; strings of special tokens are those tokens.
 
         A text is cut at its spaces.  Where no chunk is empty, begins or ends
         with white space, no word of the pattern reaches over a cut, so that each
         distinct chunk is cut into words and encoded once.  Other texts go through the pattern as a whole.
+        The first chunks and words seen are kept for later batches, up to ``KEPT_WORDS``: common ones come early.
         """
         parts = [t.split(" ") if t and not (self.split_special and self.split_special.search(t)) else None for t in texts]
         seen = set(chain.from_iterable(p[1:] for p in parts if p))
-        if len(self.known) > KEPT_WORDS or len(self.chunks) > KEPT_WORDS:
-            self.known.clear()
-            self.chunks.clear()
-        new = {c: WORDS.findall(" " + c) if c and not c[0].isspace() and not c[-1].isspace() else None for c in seen if c not in self.chunks}
-        odd = {c for c, w in new.items() if w is None}
-        for c in odd:
-            del new[c]
-        sections: list[list[str | list[str]]] = []
-        for t, p in zip(texts, parts, strict=True):
-            by_chunk = p and not (odd and not odd.isdisjoint(p[1:])) and not (p[0] == "" or p[0][-1].isspace())
-            sections.append([WORDS.findall(p[0]), p] if by_chunk else [None, self._sections(t or "")])
-        self._learn_new(chain(chain.from_iterable(new.values()), (w for own in sections for x in (own[:1] if own[0] is not None else own[1]) if isinstance(x, list) for w in x)))
-        known, chunks = self.known.__getitem__, self.chunks
-        for c, w in new.items():
-            chunks[c] = known(w[0]) if len(w) == 1 else tuple(chain.from_iterable(map(known, w)))
-        get, out = chunks.__getitem__, []
-        for first, rest in sections:
-            if first is not None:
-                ids = chain(chain.from_iterable(map(known, first)), chain.from_iterable(map(get, rest[1:])))
-            else:
-                ids = chain.from_iterable(chain.from_iterable(map(known, x)) if isinstance(x, list) else (self.special[x],) for x in rest)
-            out.append(np.fromiter(ids, np.int32))
+        kept = self.chunks
+        cut = {c: WORDS.findall(" " + c) for c in seen if c not in kept and c and not c[0].isspace() and not c[-1].isspace()}
+        odd = {c for c in seen if c not in kept and c not in cut}
+        whole = [not p or p[0] == "" or p[0][-1].isspace() or not odd.isdisjoint(p[1:]) for p in parts]
+        first = [self._sections(t or "") if w else [WORDS.findall(p[0])] for t, p, w in zip(texts, parts, whole, strict=True)]
+        loose = (w for own in first for x in own if isinstance(x, list) for w in x)
+        known = self.known
+        learnt = self.learn({w for w in chain(chain.from_iterable(cut.values()), loose) if w not in known})
+        ids_of = lambda words: tuple(chain.from_iterable(learnt[w] if w in learnt else known[w] for w in words))
+        here = {c: ids_of(w) for c, w in cut.items()}
+        if len(kept) < KEPT_WORDS:
+            kept.update(here)
+            known.update(learnt)
+            get = kept.__getitem__
+        else:
+            here.update((c, kept[c]) for c in seen if c in kept)
+            get = here.__getitem__
+        out = []
+        for own, p, w in zip(first, parts, whole, strict=True):
+            ids = chain.from_iterable(ids_of(x) if isinstance(x, list) else (self.special[x],) for x in own)
+            out.append(np.fromiter(ids if w else chain(ids, chain.from_iterable(map(get, p[1:]))), np.int32))
         return out
 
     def decode(self, ids: Iterable[int]) -> str:
@@ -194,7 +190,7 @@ def _share(df: DataFrame, path: str) -> _Spec:
 
 
 #: Characters of text that a worker holds as words at a time.
-AT_A_TIME = 2_000_000
+AT_A_TIME = 4_000_000
 
 
 def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None) -> DataFrame:
