@@ -364,12 +364,12 @@ def run_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _HREFS = """(select page_id, url, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) as link from pages)"""
-HREF = F.lit(r'href="([^"]+)"')
+HREF = r'href="([^"]+)"'
 
 
 @query(f"""select page_id, link, failed from (select page_id, link, case when contains(link, ',') then 'comma in path' when contains(link, '.') then 'full stop in path' when regexp_matches(link, '/[A-Z]') then 'upper case' end as failed from {_HREFS}) where failed is not null""")
 def audit_published(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "pages").select("page_id", F.regexp_extract_all(F.col("html"), HREF, F.lit(1)).alias("links"))
+    e = table(spark, sf, "pages").select("page_id", F.regexp_extract_all(F.col("html"), F.lit(HREF), F.lit(1)).alias("links"))
     link = F.col("link")
     failed = F.when(link.contains(","), "comma in path").when(link.contains("."), "full stop in path").when(link.rlike("/[A-Z]"), "upper case")
     return R.audit_published(e, failed, ["page_id"])
@@ -440,7 +440,7 @@ def document_conformance(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"select distinct link as reference from {_HREFS} where link not in (select link from {_HREFS} where contains(url, '://blog.tionsh.example.net/'))")
 def dangling_references(spark: SparkSession, sf: str) -> DataFrame:
-    links = pages(spark, sf).select("host", F.explode(F.regexp_extract_all(F.col("html"), HREF, F.lit(1))).alias("reference"))
+    links = pages(spark, sf).select("host", F.explode(F.regexp_extract_all(F.col("html"), F.lit(HREF), F.lit(1))).alias("reference"))
     return V.dangling_references(links, links.filter("host = 'blog.tionsh.example.net'").withColumnRenamed("reference", "path"))
 
 
