@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -18,7 +19,7 @@ from .common import materialise, skew_join
 #: task; there are at most so many of each, whatever the corpus.
 HOT_WORDS, HOT_PAIRS = 4_000, 40_000
 #: Tokens packed together by a task; pairs that a hash part holds on average.
-PACK_TOKENS, PART_PAIRS = 2_000_000, 4_000_000
+PACK_TOKENS, PART_PAIRS = 2_000_000, 2_500_000
 #: Words are told apart by this many bits of XXH64; START stands before a text's first word.
 WORD_BITS = 48
 START = 0
@@ -48,18 +49,15 @@ def _find(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
 def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Of some documents at a time: keys, lengths, and for every token its word and the word before it."""
     keys: list[int] = []
-    texts: list[list[bytes]] = []
+    texts: list[np.ndarray] = []
     held = 0
+    place: defaultdict[bytes, int] = defaultdict()
+    place.default_factory = place.__len__
 
     def pack() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        place: dict[bytes, int] = {}
-        for t in texts:
-            place.update(dict.fromkeys(t))
-        place = {w: i for i, w in enumerate(place)}
         hashes = np.fromiter(((xxhash.xxh64_intdigest(w) & _MASK) or 1 for w in place), np.int64, len(place))
-        ids = np.concatenate([np.fromiter(map(place.__getitem__, t), np.int64, len(t)) for t in texts]) if texts else np.zeros(0, np.int64)
-        word = hashes[ids]
+        word = hashes[np.concatenate(texts)]
         before = np.roll(word, 1)
         before[np.concatenate(([0], np.cumsum(sizes)[:-1]))[sizes > 0]] = START
         return np.array(keys, np.int64), sizes, word, before
@@ -68,11 +66,12 @@ def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
         for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             words = text.as_py().encode().split()
             keys.append(key)
-            texts.append(words)
+            texts.append(np.fromiter(map(place.__getitem__, words), np.int32, len(words)))
             held += len(words)
             if held >= PACK_TOKENS or len(keys) == 60_000:
                 yield pack()
                 keys, texts, held = [], [], 0
+                place.clear()
     if keys:
         yield pack()
 
@@ -236,8 +235,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         ends = np.searchsorted(part, np.arange(parts + 1))
         for p in np.flatnonzero(np.diff(ends)).tolist():
             s = slice(ends[p], ends[p + 1])
-            d, inverse = np.unique(of[s], return_inverse=True)
-            yield _table([_row(p, 0, d, b=_bytes6(word[s]), d=inverse.astype(np.int32).tobytes())])
+            yield _table([_row(p, 0, of[s], b=_bytes6(word[s]))])
 
     def pack_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The word table by part (kind 2)."""
@@ -251,30 +249,48 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             yield _table([_row(p, 2, none, c[ends[p] : ends[p + 1]].tobytes(), b"", _bytes6(w[ends[p] : ends[p + 1]])) for p in np.flatnonzero(np.diff(ends)).tolist()])
 
     def back_off(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of one part: partial sums of documents, from the words' counts or as they came."""
-        word, count, asked = [], [], []
+        """Of one part: partial sums of documents, from the words' counts or as they came, packed by documents' own part."""
+        word, count, asked, docs_, sums = [], [], [], [], []
         for b in group:
             for r in b.to_pylist():
                 if r["kind"] == 1:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r["docs"], np.int64)), pa.array(np.frombuffer(r["a"], np.float64))], names=["key", "part_sum"])
+                    docs_.append(np.frombuffer(r["docs"], np.int64))
+                    sums.append(np.frombuffer(r["a"], np.float64))
                 elif r["kind"] == 2:
                     word.append(_from6(r["b"]))
                     count.append(np.frombuffer(r["a"], np.int64))
                 else:
-                    asked.append(r)
-        if not asked:
+                    asked.append((np.frombuffer(r["docs"], np.int64), r["b"]))
+        if asked:
+            word, count = np.concatenate(word), np.concatenate(count)
+            order = np.argsort(word)
+            word, value = word[order], log_alpha + np.log(count[order]) - log_tokens
+            for d, b in asked:
+                docs_.append(d)
+                sums.append(value[_find(word, _from6(b))])
+        if not docs_:
             return
-        word, count = np.concatenate(word), np.concatenate(count)
-        order = np.argsort(word)
-        word, count = word[order], count[order]
-        for r in asked:
-            docs_, at = np.frombuffer(r["docs"], np.int64), _find(word, _from6(r["b"]))
-            sums = np.bincount(np.frombuffer(r["d"], np.int32), log_alpha + np.log(count[at]) - log_tokens, minlength=len(docs_))
-            yield pa.RecordBatch.from_arrays([pa.array(docs_), pa.array(sums)], names=["key", "part_sum"])
+        d, at = np.unique(np.concatenate(docs_), return_inverse=True)
+        total = np.bincount(at, np.concatenate(sums), minlength=len(d))
+        part = (_mix(d) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        d, total, part = d[order], total[order], part[order]
+        ends = np.searchsorted(part, np.arange(parts + 1))
+        yield _table([_row(p, 1, d[ends[p] : ends[p + 1]], a=total[ends[p] : ends[p + 1]].tobytes()) for p in np.flatnonzero(np.diff(ends)).tolist()])
+
+    def add_up(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of one part of the documents: their scores."""
+        docs_, sums = [], []
+        for b in group:
+            for r in b.to_pylist():
+                docs_.append(np.frombuffer(r["docs"], np.int64))
+                sums.append(np.frombuffer(r["a"], np.float64))
+        d, at = np.unique(np.concatenate(docs_), return_inverse=True)
+        yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(np.bincount(at, np.concatenate(sums), minlength=len(d)))], names=["key", "total"])
 
     looked_up = rows.mapInArrow(explode, PACKED).groupBy("part").applyInArrow(count_and_look_up, PACKED)
     counts = words.select("word", "count").filter("count > 0").mapInArrow(pack_counts, PACKED)
-    sums = looked_up.unionByName(counts).groupBy("part").applyInArrow(back_off, "key long, part_sum double").groupBy("key").agg(F.sum("part_sum").alias("total"))
+    sums = looked_up.unionByName(counts).groupBy("part").applyInArrow(back_off, PACKED).groupBy("part").applyInArrow(add_up, "key long, total double")
     size = keyed.select("doc_id", "key", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_words"))
     times = size.groupBy("key").agg(F.count("*").alias("times"))
     total = skew_join(sums, times, ["key"]).select("key", (F.col("total") / F.col("times")).alias("total"))
