@@ -103,6 +103,26 @@ def test_search_equals_brute_force(spark):
         np.testing.assert_allclose([s for _, s in found.get(i, [])], [s for _, s in best], atol=1e-7)
 
 
+def test_shards_are_searched_together(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    texts = [" ".join(f"w{min(300, int(rng.paretovariate(0.5)))}" for _ in range(rng.randint(0, 40))) for _ in range(500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(500), pa.int64()), pa.array(texts)], names=["id", "text"])
+    terms = np.unique(np.concatenate([search.terms_of(t) for t in texts]))
+    own = np.searchsorted(terms, np.unique(search.terms_of(texts[7])))
+    q = search.Queries(np.array([7]), np.array([0, len(own)]), own, terms, np.ones(len(terms)))
+    found = []
+    for tokens in (10**9, 900):
+        monkeypatch.setattr(search, "SHARD_TOKENS", tokens)
+        rows = [r for b in search._build(iter([batch])) for r in b.to_pylist()]
+        assert (len(rows) > 5) == (tokens == 900)
+        best, ids = np.full(10, -np.inf), np.zeros(10, np.int64)
+        search._Index(rows, q, 20.0).search(own, 7, best, ids)
+        found.append((best.tolist(), ids.tolist()))
+    assert found[0] == found[1]
+
+
 def test_search_odd_rows(odd, none):
     queries = odd.select(F.col("doc_id").alias("query_id"), "text")
     out = search.bm25_topk(odd, queries, k=3).collect()
