@@ -18,7 +18,7 @@ from .common import tokenizer_file
 #: The pattern by which this kind of tokenizer cuts texts into words.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Distinct chunks of text, and pairs of tokens, that a worker keeps; others are worked out again, which costs time only.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 200_000
 NEVER = 1 << 60
 
 
@@ -50,39 +50,41 @@ class Bpe:
             ends.setdefault(t[-3:], {1, 2}).add(len(t))
         self.lengths = {e: tuple(sorted(x, reverse=True)) for e, x in ends.items()}
         pairs = [m if isinstance(m, list) else m.split(" ") for m in d["model"]["merges"]]
-        self.merge = {(vocab[a], vocab[b]): k for k, (a, b) in enumerate(pairs)}
-        made = {vocab[a + b]: (k, vocab[a], vocab[b]) for k, (a, b) in reversed([*enumerate(pairs)])}
-        # spines: the tokens at a token's right and left edge from the byte up, each with the rank of the merge that ends it
-        self.right, self.left = {}, {}
-        for side, into in ((2, self.right), (1, self.left)):
-            for t in vocab.values():
-                out, end, x = [], NEVER, t
-                while x in made:
-                    out.append((x, end))
-                    end, x = made[x][0], made[x][side]
-                into[t] = [*reversed([*out, (x, end)])]
+        self.merge = {vocab[a] << 32 | vocab[b]: k for k, (a, b) in enumerate(pairs)}
+        self.made = {vocab[a + b]: (k, vocab[a], vocab[b]) for k, (a, b) in reversed([*enumerate(pairs)])}
+        self.spines: tuple[dict[int, list[int]], dict[int, list[int]]] = ({}, {})
         self.split_special = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.fitting: dict[int, bool] = {}
         self.known: dict[str, tuple[int, ...]] = {}
         self.chunks: dict[str, tuple[int, ...]] = {}
 
+    def spine(self, side: int, token: int) -> list[int]:
+        """The tokens at a token's left (0) or right (1) edge from the byte up, each followed by the rank of the merge that ends it."""
+        if (found := self.spines[side].get(token)) is None:
+            found, end, x = [], NEVER, token
+            while x in self.made:
+                found += [end, x]
+                end, x = self.made[x][0], self.made[x][1 + side]
+            found = self.spines[side][token] = [*reversed([*found, end, x])]
+        return found
+
     def fits(self, a: int, b: int) -> bool:
         """Whether the bytes of a and b together encode to a, b: no merge across the edge comes first."""
         if (found := self.fitting.get(a << 32 | b)) is not None:
             return found
-        right, left, merge, i, j, ok = self.right[a], self.left[b], self.merge.get, 0, 0, True
+        right, left, merge, i, j, ok = self.spine(1, a), self.spine(0, b), self.merge.get, 0, 0, True
         while True:
-            (x, x_ends), (y, y_ends) = right[i], left[j]
-            rank = merge((x, y), NEVER)
+            x_ends, y_ends = right[i + 1], left[j + 1]
+            rank = merge(right[i] << 32 | left[j], NEVER)
             if rank < x_ends and rank <= y_ends and rank < NEVER:  # of equal merges the left one comes first
                 ok = False
                 break
             if x_ends == y_ends == NEVER:
                 break
             if x_ends <= y_ends:
-                i += 1
+                i += 2
             else:
-                j += 1
+                j += 2
         if len(self.fitting) < KEPT_WORDS:
             self.fitting[a << 32 | b] = ok
         return ok
@@ -189,8 +191,8 @@ def _share(df: DataFrame, path: str) -> _Spec:
     return _Spec(df.sparkSession.sparkContext.broadcast(spec), hash(spec))
 
 
-#: Characters of text that a worker holds as words at a time.
-AT_A_TIME = 4_000_000
+#: Characters of text that a worker holds as words at a time; rows that it decodes at a time.
+AT_A_TIME, ROWS = 3_000_000, 1_000
 
 
 def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None) -> DataFrame:
@@ -227,10 +229,11 @@ def decode(encoded: DataFrame, ids: str = "ids", out: str = "decoded", tokenizer
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(spec)
-        for batch in batches:
-            column = batch.column(at)
-            texts = pa.array((bpe.decode(x.values.to_numpy(zero_copy_only=False).tolist() if x.is_valid else ()) for x in column), pa.string(), size=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=schema.names)
+        for whole in batches:
+            for k in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(k, ROWS)
+                ids_ = (x.values.to_numpy(zero_copy_only=False).tolist() if x.is_valid else () for x in batch.column(at))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(map(bpe.decode, ids_), pa.string(), size=batch.num_rows)], names=schema.names)
 
     return encoded.mapInArrow(of, schema)
 
