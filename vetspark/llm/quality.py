@@ -16,8 +16,8 @@ from .learning import adam, labelled_sample
 
 #: Labelled documents learnt from, at most, and lines that a learnt chain may have: longer documents are learnt in pieces.
 SAMPLE, LEARN_LINES = 4_000, 100
-#: Bins of each measure of a line; characters of text that a worker measures at a time.
-BINS, AT_A_TIME = 11, 4_000_000
+#: Bins of each measure of a line; rows, and characters of text, that a worker measures at a time.
+BINS, ROWS, AT_A_TIME = 11, 1_000, 1_000_000
 
 _CLASS = np.zeros(256, np.uint8)  # 1 upper case, 2 lower case, 3 digit, 4 mark, 0 other
 for _b in range(256):
@@ -169,6 +169,15 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     return fit([np.frombuffer(m, np.float32).reshape(-1, 8).astype(np.float64) for m in rows["m"]], rows["y"].to_numpy())
 
 
+def _scored(batches: Iterator[pa.RecordBatch], at: int, shared) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Some rows at a time with the scores of their texts in column ``at``."""
+    for whole in batches:
+        for k in range(0, whole.num_rows, ROWS):
+            b = whole.slice(k, ROWS)
+            texts = [t or "" for t in b.column(at).to_pylist()]
+            yield b, np.concatenate([score_texts(shared.value, part) for part in in_parts(texts, AT_A_TIME)])
+
+
 def score_quality(docs: DataFrame, model: Crf | float, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.3) -> DataFrame:
     """(doc_id, score, predicted) for every row: the whole text's quality, 1 from ``threshold`` on.
 
@@ -177,9 +186,8 @@ def score_quality(docs: DataFrame, model: Crf | float, doc_id: str = "doc_id", t
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            scores = [score_texts(shared.value, part) for part in in_parts(b.column(1).to_pylist(), AT_A_TIME)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=["doc_id", "score"])
+        for b, scores in _scored(batches, 1, shared):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     out = rows.mapInArrow(of, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
@@ -189,12 +197,10 @@ def score_quality(docs: DataFrame, model: Crf | float, doc_id: str = "doc_id", t
 def keep_good(docs: DataFrame, model: Crf | float, text: str = "text", threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` whose text scores ``threshold`` or more, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names, at = docs.columns, docs.columns.index(text)
+    at = docs.columns.index(text)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [t or "" for t in b.column(at).to_pylist()]
-            scores = [score_texts(shared.value, part) for part in in_parts(texts, AT_A_TIME)]
-            yield b.filter(pa.array((np.concatenate(scores) if scores else np.zeros(0)) >= threshold))
+        for b, scores in _scored(batches, at, shared):
+            yield b.filter(pa.array(scores >= threshold))
 
-    return docs.mapInArrow(of, docs.schema) if names else docs
+    return docs.mapInArrow(of, docs.schema)
