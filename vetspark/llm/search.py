@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from .common import materialise, skew_join
 
-#: Documents of a shard, of a block of the index, and blocks that are looked at first to get a threshold.
-SHARD_DOCS, BLOCK_DOCS, FIRST_BLOCKS = 16_384, 64, 4
+#: Documents of an index file, documents that are searched at a time, and tokens that are indexed at a time, about; documents of a block of the
+#: index, and blocks that are looked at first to get a threshold.
+SHARD_DOCS, SEARCH_DOCS, SHARD_TOKENS, BLOCK_DOCS, FIRST_BLOCKS = 16_384, 8_192, 2_000_000, 64, 4
 #: Queries, and their terms, that are sent to all shards at a time: a bounded broadcast.
 BLOCK_QUERIES, BLOCK_TERMS = 6_000, 2_000_000
 #: Scores are rounded to this many decimals, so that equal texts tie whatever the order of summation.
@@ -68,14 +69,16 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     texts: list[np.ndarray] = []
     place: defaultdict[bytes, int] = defaultdict()
     place.default_factory = place.__len__
+    held = 0
     for b in batches:
         for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             words = t.as_py().encode().lower().split()
             ids.append(i)
             texts.append(np.fromiter(map(place.__getitem__, words), np.int32, len(words)))
-            if len(ids) == SHARD_DOCS:
+            held += len(words)
+            if held >= SHARD_TOKENS or len(ids) == SHARD_DOCS:
                 yield _shard(ids, texts, place)
-                ids, texts = [], []
+                ids, texts, held = [], [], 0
                 place.clear()
     if ids:
         yield _shard(ids, texts, place)
@@ -99,22 +102,35 @@ def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class _Index:
-    """One shard, ready for some queries: impacts of the postings of their terms, and the largest in each block."""
-
-    def __init__(self, row: dict, q: Queries, average: float) -> None:
-        self.ids, size = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["sizes"], np.int32)
-        terms, starts = np.frombuffer(row["terms"], np.int64), np.frombuffer(row["starts"], np.int32).astype(np.int64)
-        at = np.minimum(np.searchsorted(terms, q.terms), max(0, len(terms) - 1))
-        here = terms[at] == q.terms if len(terms) else np.zeros(len(q.terms), bool)
-        n = np.where(here, starts[np.minimum(at + 1, len(starts) - 1)] - starts[at], 0) if len(terms) else np.zeros(len(q.terms), np.int64)
-        places = _spread(starts[at[here]] if len(terms) else starts[:0], n[here])
-        self.doc = np.frombuffer(row["docs"], np.uint16)[places].astype(np.int64)
-        tf = np.frombuffer(row["tf"], np.int32)[places].astype(np.float64)
-        impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[self.doc] / average))
-        self.impact = impact * np.repeat(q.idf, n)
+    """Some shards, ready for some queries: impacts of the postings of their terms, and the largest in each block."""
+
+    def __init__(self, rows: list[dict], q: Queries, average: float) -> None:
+        ids, parts, base = [], [], 0
+        for row in rows:
+            own, size = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["sizes"], np.int32)
+            terms, starts = np.frombuffer(row["terms"], np.int64), np.frombuffer(row["starts"], np.int32).astype(np.int64)
+            ids.append(own)
+            if len(terms):
+                at = np.minimum(np.searchsorted(terms, q.terms), len(terms) - 1)
+                here = np.flatnonzero(terms[at] == q.terms)
+                n = starts[at[here] + 1] - starts[at[here]]
+                places = _spread(starts[at[here]], n)
+                doc = np.frombuffer(row["docs"], np.uint16)[places].astype(np.int32)
+                tf = np.frombuffer(row["tf"], np.int32)[places].astype(np.float64)
+                impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / average)) * np.repeat(q.idf[here], n)
+                parts.append((np.repeat(here.astype(np.int32), n), doc + base, impact))
+            base += len(own)
+        self.ids = np.concatenate(ids)
+        term, self.doc, self.impact = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, t) for t in (np.int32, np.int32, np.float64))
+        if len(parts) > 1:
+            parts.clear()
+            order = np.argsort(term, kind="stable")
+            term, self.doc, self.impact = term[order], self.doc[order], self.impact[order]
+            del order
+        n = np.bincount(term, minlength=len(q.terms))
         self.start = np.concatenate(([0], np.cumsum(n)))  # of a query term's postings
         self.blocks = len(self.ids) // BLOCK_DOCS + 1
-        group = np.repeat(np.arange(len(n)), n) * self.blocks + self.doc // BLOCK_DOCS
+        group = term.astype(np.int64) * self.blocks + self.doc // BLOCK_DOCS
         self.seg = np.flatnonzero(np.diff(group, prepend=-1))
         self.seg_block = group[self.seg] % self.blocks
         self.seg_max = np.maximum.reduceat(self.impact, self.seg) if len(self.seg) else np.zeros(0)
@@ -172,6 +188,21 @@ class _Index:
             best[:], best_ids[:] = s[order], ids[order]
 
 
+def _together(batch: pa.RecordBatch) -> Iterator[list[dict]]:
+    """Shards of a batch, as many at a time as have ``SEARCH_DOCS`` documents, one at least."""
+    rows, n = [], 0
+    for i in range(batch.num_rows):
+        r = batch.slice(i, 1).to_pylist()[0]
+        size = len(r["ids"]) // 8
+        if rows and n + size > SEARCH_DOCS:
+            yield rows
+            rows, n = [], 0
+        rows.append(r)
+        n += size
+    if rows:
+        yield rows
+
+
 PACKED = "pack long, query_ids binary, scores binary, ids binary"
 #: Queries whose partial results travel together.
 PACK = 256
@@ -230,8 +261,9 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10, doc_id: str = "d
             q = shared.value
             best, ids = np.full((len(q.ids), k), -np.inf), np.zeros((len(q.ids), k), np.int64)
             for b in batches:
-                for r in b.to_pylist():
-                    shard = _Index(r, q, average)
+                for rows in _together(b):
+                    shard = None  # one at a time
+                    shard = _Index(rows, q, average)
                     for i, own in enumerate(q.ids.tolist()):
                         shard.search(q.at[q.start[i] : q.start[i + 1]], own if skip_own else None, best[i], ids[i])
             for a in range(0, len(q.ids), PACK):
