@@ -26,8 +26,8 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates; emptied texts are one group."""
-    return simhash.keep_one(docs)
+    """One document of each group of near duplicates, linked where 5-word shingles are 0.8 alike or more; emptied texts are one group."""
+    return simhash.keep_one_similar(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,3 +40,52 @@ def test_run_equals_the_stages(spark, outputs):
 
     want = sorted((r.doc_id, r.n_tokens, hashlib.sha256(",".join(map(str, r.ids)).encode()).hexdigest()) for r in outputs[-1].collect())
     assert sorted(tuple(r) for r in pipeline.run(spark, DATA).collect()) == want
+
+
+def components_at(texts, similarity=0.8, words=5):
+    """Smallest row of every row's group: all pairs of word-shingle sets compared."""
+    sets = []
+    for t in texts:
+        w = t.encode().lower().split()
+        sets.append({tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set())
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for j in range(len(sets)):
+        for i in range(j):
+            a, b = sets[i], sets[j]
+            if a == b or min(len(a), len(b)) >= similarity * max(len(a), len(b)) and len(a & b) / len(a | b) >= similarity:
+                i, j_ = sorted((top(i), top(j)))
+                root[j_] = i
+    return [top(i) for i in range(len(texts))]
+
+
+def test_near_dedup_equals_brute_force(outputs):
+    docs = outputs[2].toPandas().sort_values("doc_id").reset_index(drop=True)
+    first = components_at(docs.text)
+    assert sorted(outputs[3].toPandas().doc_id) == sorted(docs.doc_id[sorted(set(first))])
+
+
+def test_near_dedup_links_copies_with_edited_words(spark):
+    import random
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    rows = [(0, ""), (1, " \n"), (2, "too short"), (3, "TOO  short")]
+    for size in (45, 60, 150, 400):
+        for _ in range(5):
+            base = [word() for _ in range(size)]
+            rows.append((len(rows), " ".join(base)))
+            for edits in (1, 1, 2, size // 40, size // 25):
+                copy = list(base)
+                for i in rng.sample(range(size), edits):
+                    copy[i] = word()
+                rows.append((len(rows), " ".join(copy)))
+    first = components_at([t for _, t in rows])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = sorted(r.doc_id for r in pipeline.without_near_duplicates(spark, docs, DATA).collect())
+    assert kept == sorted(set(first)) and 24 < len(kept) < 100

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,28 +18,38 @@ BITS = 64
 CHUNK = 1 << 16
 
 
-def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
-    """Majority bits of the hashes of a text's word shingles, as a signed 64-bit number.
+def shingles(text: str | None, words: int = 3, seed: int = 42) -> Iterator[np.ndarray]:
+    """Hashes of a text's word shingles, ``CHUNK`` at a time; repeats count.
 
-    A-Z are lower-cased; shingles are joined by single spaces, repeats count.
-    Fewer words than a shingle are one shingle; no words, or null, give 0.
+    A-Z are lower-cased; shingles are joined by single spaces.  Fewer words than a shingle are one shingle.
     """
     found = text.encode().lower().split() if text else []
     if not found:
-        return 0
+        return
     hash_of, joined = xxhash.xxh64_intdigest, b" ".join(found)
     n = max(1, len(found) - words + 1)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    ones = np.zeros(BITS, np.int64)
     for at in range(0, n, CHUNK):
         to = min(n, at + CHUNK)
         spans = zip(starts[at:to].tolist(), ends[at + words - 1 : to + words - 1].tolist() if len(found) >= words else [len(joined)])
-        hashes = np.array([hash_of(joined[a:b], seed) for a, b in spans], dtype=">u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        yield np.array([hash_of(joined[a:b], seed) for a, b in spans], dtype=">u8")
+
+
+def majority(hashes: Iterable[np.ndarray]) -> int:
+    """Majority bits of hashes as a signed 64-bit number; 0 for none."""
+    n, ones = 0, np.zeros(BITS, np.int64)
+    for part in hashes:
+        n += len(part)
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
 
 
+def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
+    """Majority bits of the hashes of a text's word shingles, as a signed 64-bit number; no words, or null, give 0."""
+    return majority(shingles(text, words, seed))
+
+
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, text_hash, fp): the fingerprint of every row's whole text, as a long; a null text hashes like an empty one."""
 
@@ -120,16 +130,129 @@ def hex_of(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One document of every group of near duplicates, with the columns of ``docs``: the one with the smallest id.
+def meeting_places(hashes: np.ndarray, fp: int, masks: list[int], bands: int, rows: int, seed: int) -> list[int]:
+    """Signed keys under which a set of distinct shingle hashes is listed: ``fp`` under every mask, and ``bands`` of ``rows`` smallest hashes."""
+    draw = np.random.default_rng(seed).integers(0, 2**64, (2, bands * rows), np.uint64)
+    least = np.full(bands * rows, 2**64 - 1, np.uint64)
+    for at in range(0, len(hashes), 1024):
+        part = hashes[at : at + 1024, None]
+        np.minimum(least, ((part ^ draw[0]) * (draw[1] | np.uint64(1))).min(axis=0), out=least)
+    keys = [(fp & m) % 2**BITS for m in masks]
+    places = [k.to_bytes(8, "big") for k in keys] + [least[i : i + rows].tobytes() for i in range(0, bands * rows, rows)]
+    return [_signed(xxhash.xxh64_intdigest(k, i)) for i, k in enumerate(places)]
 
-    Null ids come last; among rows of that id the smallest text hash stays, and one row of those that repeat both.
+
+def _set_of(text: str | None, words: int, seed: int) -> tuple[int, np.ndarray, int]:
+    """A text's node (a hash of its set of shingles, 0 for none), its distinct shingle hashes in order, and its fingerprint."""
+    parts = list(shingles(text, words, seed))
+    if not parts:
+        return 0, np.zeros(0, np.uint64), 0
+    distinct = np.unique(np.concatenate(parts).astype(np.uint64))
+    return _signed(xxhash.xxh64_intdigest(distinct.tobytes(), seed)), distinct, majority(parts)
+
+
+#: Bits of the map by which texts that meet others are picked before they are dealt out.
+MAP_BITS = 1 << 24
+
+
+def similar(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, words: int = 5, radius: int = 2,
+    bands: int = 24, rows: int = 5, stars: int = 2, seed: int = 42,
+) -> DataFrame:
+    """(node, component, first) for every distinct set of word shingles: texts linked where the Jaccard similarity is ``similarity`` or more.
+
+    Sets meet that agree in a SimHash fingerprint's bits under a covering mask (all within
+    ``radius`` bits), or in a band of ``rows`` smallest hashes; two sets of similarity s meet in no band with
+    probability (1 - s^rows)^bands, 7 in 100,000 at 0.8.  Every link is confirmed on the whole sets.  In
+    ``stars`` rounds each meeting place compares its members with one of them; then all pairs that meet and aren't yet in
+    one component are compared.  ``first`` is the component's smallest (no_id, doc_id, text_hash).
+    Texts without words are one node.  No rows give no rows.
     """
-    found = near_duplicates(docs, doc_id, text, **options).select("first").distinct()
+    masks = covering_masks(radius)
+    t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(t).alias("text_hash"), t.alias("text"))
+    id_type = source.schema["doc_id"].dataType.simpleString()
+
+    def list_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, places = [], []
+            for x in batch.column(2):
+                node, distinct, fp = _set_of(x.as_py(), words, seed)
+                nodes.append(node)
+                places.append(meeting_places(distinct, fp, masks, bands, rows, seed) if len(distinct) else [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(places, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "node", "places"])
+
+    listed = materialise(source.mapInArrow(list_places, f"doc_id {id_type}, text_hash long, node long, places array<long>"), "similar")
+    who = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    own = materialise(listed.groupBy("node").agg(F.min(who).alias("first")), "similar-distinct")
+    at = listed.select("node", F.explode("places").alias("place")).distinct()
+    shared = at.groupBy("place").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo != hi").select("place")
+    members = materialise(skew_join(at, shared, ["place"]), "similar-members")
+
+    # one text of each member; a map of bits leaves most others out before anything is dealt
+    wanted = skew_join(own, members.select("node").distinct(), ["node"]).select(F.xxhash64("first.doc_id", "first.text_hash").alias("h"))
+    bit = F.pmod("h", F.lit(MAP_BITS))
+    found = wanted.groupBy(F.floor(bit / 8).cast("int").alias("byte")).agg(F.bit_or(F.pow(F.lit(2), bit % 8).cast("int")).alias("bits")).toPandas()
+    marks = np.zeros(MAP_BITS // 8, np.uint8)
+    marks[found["byte"].to_numpy(np.int64)] = found["bits"].to_numpy(np.uint8)
+    shared_marks = docs.sparkSession.sparkContext.broadcast(marks)
+
+    def read_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b = batch.column(0).to_numpy()
+            batch = batch.filter(pa.array((shared_marks.value[b // 8] >> (b % 8).astype(np.uint8)) & 1 == 1))
+            sets = [_set_of(x.as_py(), words, seed)[:2] for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in sets], pa.int64()), pa.array([s.view(np.int64) for _, s in sets], pa.list_(pa.int64()))], names=["node", "set"])
+
+    picked = source.select(F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(MAP_BITS)).alias("bit"), "text").mapInArrow(read_sets, "node long, set array<long>")
+    sets = materialise(skew_join(picked, members.select("node").distinct(), ["node"]).dropDuplicates(["node"]), "similar-sets")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        both = skew_join(pairs, sets.select(F.col("node").alias("a"), F.col("set").alias("x")), ["a"])
+        both = skew_join(both, sets.select(F.col("node").alias("b"), F.col("set").alias("y")), ["b"])
+        nx, ny, common = F.size("x"), F.size("y"), F.size(F.array_intersect("x", "y"))
+        both = both.filter(F.least(nx, ny) / F.greatest(nx, ny) >= similarity)
+        return both.filter(common / (nx + ny - common) >= similarity).select("a", "b")
+
+    links, root, left = None, None, members.withColumn("component", F.col("node"))
+    for turn in range(stars + 1):
+        mixed = left.groupBy("place").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "component")).alias("centre"))
+        left = materialise(skew_join(left, mixed.filter("lo != hi").select("place", "centre"), ["place"]), "similar-left")
+        if turn < stars:
+            pairs = left.filter(F.col("component") != F.col("centre.component")).select(F.least("node", "centre.node").alias("a"), F.greatest("node", "centre.node").alias("b"))
+        else:
+            x, y = left.select("place", F.col("node").alias("a"), F.col("component").alias("ca")), left.select("place", F.col("node").alias("b"), F.col("component").alias("cb"))
+            pairs = x.join(y, "place").filter("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        new = materialise(confirmed(pairs.distinct()), "similar-links")
+        links = new if links is None else links.unionByName(new)
+        root = components(links)
+        named = root.unionByName(root.select(F.col("root").alias("node"), "root").distinct())
+        left = skew_join(left.select("place", "node"), named, ["node"], "left").select("place", "node", F.coalesce("root", "node").alias("component"))
+
+    joined = materialise(skew_join(own, named, ["node"], "left").select("node", F.coalesce("root", "node").alias("component"), "first"), "similar-named")
+    best = joined.groupBy("component").agg(F.min("first").alias("first"))
+    return skew_join(joined.select("node", "component"), best, ["component"]).select("node", "component", "first")
+
+
+def _keep_first(docs: DataFrame, found: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """One row of ``docs`` for each ``first`` (doc_id, text_hash) of ``found``."""
     d, h = hidden("id"), hidden("hash")
-    keep = found.select(F.col("first.doc_id").alias(d), F.col("first.text_hash").alias(h))
+    keep = found.select("first").distinct().select(F.col("first.doc_id").alias(d), F.col("first.text_hash").alias(h))
     marked = docs.withColumn(hidden("h"), F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))))
     kept = marked.join(keep.hint("merge"), (F.col(hidden("h")) == F.col(h)) & F.col(f"`{doc_id}`").eqNullSafe(F.col(d)), "left_semi")
     n = hidden("n")
     kept = kept.withColumn(n, F.row_number().over(Window.partitionBy(hidden("h"), F.col(f"`{doc_id}`")).orderBy(hidden("h"))))
     return kept.filter(F.col(n) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One document of every group of near duplicates, with the columns of ``docs``: the one with the smallest id.
+
+    Null ids come last; among rows of that id the smallest text hash stays, and one row of those that repeat both.
+    """
+    return _keep_first(docs, near_duplicates(docs, doc_id, text, **options), doc_id, text)
+
+
+def keep_one_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """As ``keep_one``, for the groups of ``similar``."""
+    return _keep_first(docs, similar(docs, doc_id, text, **options), doc_id, text)
