@@ -48,7 +48,7 @@ STAGES = [
     ("encoding", encoded),
 ]
 
-#: The quality model is learnt from data, which SQL can't express; tests compare the stages with brute force.
+#: The quality model is learnt from data, which SQL can't express; tests compare near_dedup with brute force and check properties of the others.
 ORACLE_SQL = None
 
 
