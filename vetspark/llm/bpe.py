@@ -17,8 +17,10 @@ from .common import tokenizer_file
 
 #: The pattern by which this kind of tokenizer cuts texts into words.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Distinct chunks of text, and pairs of tokens, that a worker keeps; others are worked out again, which costs time only.
-KEPT_WORDS = 200_000
+#: Chunks of text, and pairs of tokens, that a worker keeps at most; others are worked out again, which costs time only.
+KEPT_CHUNKS, KEPT_PAIRS = 400_000, 300_000
+#: Marks of chunks seen before: a chunk is kept from its second batch on, so that words that come once don't fill the memory.
+MARKS = 1 << 23
 NEVER = 1 << 60
 
 
@@ -55,8 +57,8 @@ class Bpe:
         self.spines: tuple[dict[int, list[int]], dict[int, list[int]]] = ({}, {})
         self.split_special = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.fitting: dict[int, bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
         self.chunks: dict[str, tuple[int, ...]] = {}
+        self.marks = bytearray(MARKS)
 
     def spine(self, side: int, token: int) -> list[int]:
         """The tokens at a token's left (0) or right (1) edge from the byte up, each followed by the rank of the merge that ends it."""
@@ -85,7 +87,7 @@ class Bpe:
                 i += 2
             else:
                 j += 2
-        if len(self.fitting) < KEPT_WORDS:
+        if len(self.fitting) < KEPT_PAIRS:
             self.fitting[a << 32 | b] = ok
         return ok
 
@@ -97,16 +99,19 @@ class Bpe:
         the next word keeps what it shares with this one.
         """
         path, last, start, found = b"", [0], [0], {}
-        get, fits, lengths = self.id_of.get, self.fits, self.lengths
+        get, fits, lengths, fitting = self.id_of.get, self.fits, self.lengths.get, self.fitting.get
         for b, w in sorted((w.encode(), w) for w in words):
             n, same, top = len(b), 0, min(len(b), len(path))
             while same < top and b[same] == path[same]:
                 same += 1
             del last[same + 1 :], start[same + 1 :]
             for i in range(same + 1, n + 1):
-                for size in lengths.get(b[i - 3 : i] if i > 2 else b[:i], (2, 1)):
+                for size in lengths(b[i - 3 : i] if i > 2 else b[:i], (2, 1)):
                     j = i - size
-                    if j >= 0 and (t := get(b[j:i])) is not None and (j == 0 or fits(last[j], t)):
+                    if j < 0 or (t := get(b[j:i])) is None:
+                        continue
+                    ok = j == 0 or fitting(last[j] << 32 | t)
+                    if ok or ok is None and fits(last[j], t):
                         last.append(t)
                         start.append(j)
                         break
@@ -133,31 +138,28 @@ class Bpe:
         A text is cut at its spaces.  Where no chunk is empty, begins or ends
         with white space, no word of the pattern reaches over a cut, so that each
         distinct chunk is cut into words and encoded once.  Other texts go through the pattern as a whole.
-        The first chunks and words seen are kept for later batches, up to ``KEPT_WORDS``: common ones come early.
+        Chunks that come in a second batch are kept for later ones, up to ``KEPT_CHUNKS``.
         """
         parts = [t.split(" ") if t and not (self.split_special and self.split_special.search(t)) else None for t in texts]
-        seen = set(chain.from_iterable(p[1:] for p in parts if p))
-        kept = self.chunks
-        cut = {c: WORDS.findall(" " + c) for c in seen if c not in kept and c and not c[0].isspace() and not c[-1].isspace()}
-        odd = {c for c in seen if c not in kept and c not in cut}
-        whole = [not p or p[0] == "" or p[0][-1].isspace() or not odd.isdisjoint(p[1:]) for p in parts]
+        kept, marks = self.chunks, self.marks
+        new = set(chain.from_iterable(p[1:] for p in parts if p)).difference(kept)
+        odd = {c for c in new if not c or c[0].isspace() or c[-1].isspace()}
+        new -= odd
+        cut = {c: (" " + c,) if c.isascii() and c.isalpha() else WORDS.findall(" " + c) for c in new}
+        whole = [not p or p[0] == "" or p[0][-1].isspace() or bool(odd) and not odd.isdisjoint(p[1:]) for p in parts]
         first = [self._sections(t or "") if w else [WORDS.findall(p[0])] for t, p, w in zip(texts, parts, whole, strict=True)]
         loose = (w for own in first for x in own if isinstance(x, list) for w in x)
-        known = self.known
-        learnt = self.learn({w for w in chain(chain.from_iterable(cut.values()), loose) if w not in known})
-        ids_of = lambda words: tuple(chain.from_iterable(learnt[w] if w in learnt else known[w] for w in words))
-        here = {c: ids_of(w) for c, w in cut.items()}
-        if len(kept) < KEPT_WORDS:
-            kept.update(here)
-            known.update(learnt)
-            get = kept.__getitem__
-        else:
-            here.update((c, kept[c]) for c in seen if c in kept)
-            get = here.__getitem__
-        out = []
+        learnt = self.learn({*chain.from_iterable(cut.values()), *loose})
+        kept.update((c, learnt[w[0]] if len(w) == 1 else tuple(chain.from_iterable(map(learnt.__getitem__, w)))) for c, w in cut.items())
+        get, out = kept.__getitem__, []
         for own, p, w in zip(first, parts, whole, strict=True):
-            ids = chain.from_iterable(ids_of(x) if isinstance(x, list) else (self.special[x],) for x in own)
+            ids = chain.from_iterable(chain.from_iterable(map(learnt.__getitem__, x)) if isinstance(x, list) else (self.special[x],) for x in own)
             out.append(np.fromiter(ids if w else chain(ids, chain.from_iterable(map(get, p[1:]))), np.int32))
+        for c in new:
+            at = hash(c) % MARKS
+            if not marks[at] or len(kept) > KEPT_CHUNKS:
+                marks[at] = 1
+                del kept[c]
         return out
 
     def decode(self, ids: Iterable[int]) -> str:
