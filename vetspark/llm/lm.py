@@ -1,11 +1,11 @@
-"""Language-model scores by stupid backoff over bigram and word counts."""
+"""Language-model scores by stupid backoff over tables of n-gram counts."""
 
 from __future__ import annotations
 
 import math
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -13,29 +13,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, skew_join
+from .common import n_words
 
-#: Words that make up 1/HOT_WORDS of all tokens, and pairs of those that make up 1/HOT_PAIRS of all pairs, are known to every
-#: task; there are at most so many of each, whatever the corpus.
-HOT_WORDS, HOT_PAIRS = 4_000, 40_000
-#: Tokens packed together by a task; pairs that a hash part holds on average.
-PACK_TOKENS, PART_PAIRS = 2_000_000, 2_500_000
-#: Words are told apart by this many bits of XXH64; START stands before a text's first word.
-WORD_BITS = 48
-START = 0
-_MASK = (1 << WORD_BITS) - 1
+#: Tokens of a segment, whose n-grams a task holds at a time, and tokens for each hash part of the count tables, about.
+SEGMENT_TOKENS, PART_TOKENS = 3_000_000, 1_000_000
+#: Stands before a text's first word.
+START = np.uint64(0x9E3779B97F4A7C15)
 
 
-@dataclass
-class Hot:
-    """Counts that every task has."""
-
-    word: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # ascending
-    count: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    context: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    pair: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # place of the first word * HOT_WORDS * 2 + place of the second; ascending
-    pair_count: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    pair_shared: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
+def _mix(x: np.ndarray) -> np.ndarray:
+    """Spreads 64-bit values one to one, so that n-grams are told apart by all bits."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def _find(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -46,254 +36,137 @@ def _find(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(sorted_[at] == x, at, -1)
 
 
-def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of some documents at a time: keys, lengths, and for every token its word and the word before it."""
-    keys: list[int] = []
-    texts: list[np.ndarray] = []
-    held = 0
-    place: defaultdict[bytes, int] = defaultdict()
-    place.default_factory = place.__len__
-
-    def pack() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        hashes = np.fromiter(((xxhash.xxh64_intdigest(w) & _MASK) or 1 for w in place), np.int64, len(place))
-        word = hashes[np.concatenate(texts)]
-        before = np.roll(word, 1)
-        before[np.concatenate(([0], np.cumsum(sizes)[:-1]))[sizes > 0]] = START
-        return np.array(keys, np.int64), sizes, word, before
-
-    for b in batches:
-        for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            words = text.as_py().encode().split()
-            keys.append(key)
-            texts.append(np.fromiter(map(place.__getitem__, words), np.int32, len(words)))
-            held += len(words)
-            if held >= PACK_TOKENS or len(keys) == 60_000:
-                yield pack()
-                keys, texts, held = [], [], 0
-                place.clear()
-    if keys:
-        yield pack()
-
-
-def _bytes6(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-
-
-def _from6(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
-    return out.view("<i8").ravel()
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """Spreads hashes anew, to deal them out."""
-    x = x.astype(np.uint64)
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(29))
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, _, word, before in _packs(batches):
-        w, c = np.unique(word, return_counts=True)
-        v, n = np.unique(before, return_counts=True)
-        both = np.union1d(w, v)
-        count, context = np.zeros(len(both), np.int64), np.zeros(len(both), np.int64)
-        count[np.searchsorted(both, w)], context[np.searchsorted(both, v)] = c, n
-        yield pa.RecordBatch.from_arrays([pa.array(both), pa.array(count), pa.array(context)], names=["word", "count", "context"])
-
-
-PACKED = "part long, kind int, docs binary, a binary, n binary, b binary, d binary"
-
-
-def _row(part: int, kind: int, docs: np.ndarray, a: bytes = b"", n: bytes = b"", b: bytes = b"", d: bytes = b"") -> tuple:
-    return part, kind, docs.tobytes(), a, n, b, d
-
-
-def _table(rows: list[tuple]) -> pa.RecordBatch:
-    names = ["part", "kind", "docs", "a", "n", "b", "d"]
-    types = [pa.int64(), pa.int32(), *[pa.binary()] * 5]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
-
-
-def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", alpha: float = 0.4) -> DataFrame:
-    """(doc_id, n_words, log_score, mean_log_score) for every row, by a bigram model of all ``docs``.
-
-    A word after another scores count(pair) / count(first word as context) if
-    the pair occurs in two documents or more, else ``alpha`` * count(word) / tokens; a text's
-    first word follows the start.  Scores are natural logarithms, summed over a text.  Words
-    are runs of anything but ASCII white space, told apart by 48 bits of a hash.
-
-    Word counts are a table by hash.  Pairs are exploded, dealt out by a hash of
-    their first word (by both words if the first is hot) and packed per task and part; a part counts
-    its pairs and looks itself up.  What backs off to a word that isn't hot is dealt out again by that word and
-    meets the word counts.  Partial sums go to their documents.  Hot words and pairs are bounded in number by
-    their share of the corpus and resolved where they are read, so that no part grows with one key.
-
-    Null and empty texts have 0 words, log_score 0 and a null mean.  Rows that repeat id and text
-    are one document for "two documents", count each, and score alike.  No rows give no rows.
+@dataclass
+class Grams:
+    """The distinct n-grams of one order in a segment; ``tokens[at[i]:at[i + 1]]`` are the tokens where the i-th ends."""
+
+    order: int
+    gram: np.ndarray
+    tokens: np.ndarray
+    at: np.ndarray
+    context: np.ndarray  # the n-gram of the order below that it starts with
+
+
+class Segment:
+    """Some texts as one row of tokens: for each text that has words START and its words."""
+
+    def __init__(self, texts: Iterator[str]) -> None:
+        place: defaultdict[bytes, int] = defaultdict()
+        place.default_factory = place.__len__
+        place[b""]  # START: no word is empty
+        codes, sizes = [], []
+        for t in texts:
+            words = t.encode().split()
+            sizes.append(len(words))
+            if words:
+                codes.append(np.fromiter(map(place.__getitem__, (b"", *words)), np.int32, len(words) + 1))
+        self.sizes = np.array(sizes, np.int64)
+        held = self.sizes + (self.sizes > 0)
+        self.code = np.concatenate(codes) if codes else np.zeros(0, np.int32)
+        self.hash = _mix(np.fromiter(map(xxhash.xxh64_intdigest, place), np.uint64, len(place)))
+        self.hash[0] = START
+        self.doc = np.repeat(np.arange(len(held), dtype=np.int32), held)
+        self.place = (np.arange(len(self.code)) - np.repeat(np.cumsum(held) - held, held)).astype(np.int32)
+        self.last = np.append(self.place[1:] == 0, True)[: len(self.code)]
+
+    def orders(self, highest: int) -> Iterator[Grams]:
+        """From 2 up."""
+        word = self.hash[self.code]
+        gram = word
+        for m in range(2, highest + 1):
+            before = np.roll(gram, 1)
+            gram = _mix(before * np.uint64(0xD6E8FEB86659FD93) + word)
+            tokens = np.flatnonzero(self.place >= m - 1).astype(np.int32)
+            own = gram[tokens]
+            by = np.argsort(own, kind="stable")
+            tokens, own = tokens[by], own[by]
+            at = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))[: len(own)])
+            yield Grams(m, own[at], tokens, np.append(at, len(own)), before[tokens[at]])
+
+    def counts(self, highest: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """For each order: n-grams, occurrences, occurrences that a word follows, texts (2 stands for more)."""
+        n = len(self.hash)
+        first, last = np.zeros(n, np.int32), np.zeros(n, np.int32)
+        first[self.code[::-1]], last[self.code] = self.doc[::-1], self.doc
+        here = np.bincount(self.code, minlength=n)
+        some = slice(None) if here[0] else slice(1, None)
+        followed = here - np.bincount(self.code[self.last], minlength=n)
+        yield self.hash[some], here[some], followed[some], (1 + (first != last))[some]
+        for g in self.orders(highest):
+            here = np.diff(g.at)
+            ends = np.concatenate(([0], np.cumsum(self.last[g.tokens])))[g.at] if g.order < highest else here
+            texts = 1 + (self.doc[g.tokens[g.at[:-1]]] != self.doc[g.tokens[g.at[1:] - 1]])
+            yield g.gram, here, here - np.diff(ends) if g.order < highest else np.zeros(len(here), np.int64), texts
+
+
+def _list(x: np.ndarray, kind: pa.DataType, offsets: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(x, kind))
+
+
+def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", alpha: float = 0.4, order: int = 2) -> DataFrame:
+    """(doc_id, n_words, log_score, mean_log_score) for every row, by stupid backoff of ``order`` over all ``docs``.
+
+    A word's context are the ``order`` - 1 tokens before it, or as many as there are with the start.  It scores
+    count(context and word) / count(context, followed by any word) if two documents or more have the two together; else ``alpha`` times
+    the score with a context shorter by one; without context, count(word) / tokens.  Scores are
+    natural logarithms, summed over a text.  Words are runs of anything but ASCII white space; n-grams are
+    told apart by 64 bits of a hash.
+
+    Documents are dealt to segments of bounded size.  A segment's distinct n-grams, with their counts there, are
+    dealt out by hash, exploded, and summed to the count table; the table of those that two documents share is
+    joined to the exploded n-grams, and what each segment has of it goes back to score its documents.  Other n-grams have no
+    counts elsewhere.  An n-gram has one row for each segment at most, however often it occurs, so that no part grows with a hot
+    word.  Rows are dealt to segments by their place in the input (a table read, or materialised), so that equal rows don't meet in one.
+
+    Null and empty texts have 0 words, log_score 0 and a null mean.  Every row is a document of its own, also
+    if it repeats another's id or text.  No rows give no rows.
     """
-    spark = docs.sparkSession
-    t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    keyed = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), t.alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
-    rows = keyed.select("key", "text")
-    words = materialise(rows.mapInArrow(_count_words, "word long, count long, context long").groupBy("word").agg(F.sum("count").alias("count"), F.sum("context").alias("context")), "lm-words")
-    tokens = words.agg(F.sum("count")).first()[0] or 0
-    often = words.filter((F.greatest("count", "context") * HOT_WORDS >= tokens) & F.lit(tokens > 0)).orderBy("word").toPandas()  # count or context: 2 * HOT_WORDS rows at most
-    hot = Hot(*(often[c].to_numpy(np.int64) for c in ("word", "count", "context")))
-    shared = spark.sparkContext.broadcast(hot)
-    wide = 2 * HOT_WORDS + 1
-
-    def codes(word: np.ndarray, before: np.ndarray, h: Hot) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        i, j = _find(h.word, before), _find(h.word, word)
-        return i, j, np.where((i >= 0) & (j >= 0), i * wide + j, -1)
-
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, sizes, word, before in _packs(batches):
-            code = codes(word, before, shared.value)[2]
-            of = np.repeat(keys, sizes)[code >= 0]
-            code = code[code >= 0]
-            order = np.argsort(code, kind="stable")
-            code, of = code[order], of[order]
-            c, at, n = np.unique(code, return_index=True, return_counts=True)
-            low, high = (f.reduceat(of, at) if len(at) else of for f in (np.minimum, np.maximum))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c, n, low, high)], names=["code", "n", "low", "high"])
-
-    pairs = rows.mapInArrow(count_pairs, "code long, n long, low long, high long").groupBy("code").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
-    pairs = pairs.filter(F.col("n") * HOT_PAIRS >= tokens).orderBy("code").toPandas()  # HOT_PAIRS rows at most
-    known = Hot(hot.word, hot.count, hot.context, pairs["code"].to_numpy(np.int64), pairs["n"].to_numpy(np.int64), (pairs["low"] != pairs["high"]).to_numpy(bool))
-    shared_all = spark.sparkContext.broadcast(known)
-    parts = max(1, math.ceil(tokens / PART_PAIRS))
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    tokens = rows.agg(F.sum(n_words(F.col("text")))).first()[0] or 0
+    segments, parts = (max(1, math.ceil(tokens / x)) for x in (SEGMENT_TOKENS, PART_TOKENS))
+    segment = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(segments))
+    dealt = rows.select(segment.alias("segment"), "doc_id", "text").repartition("segment")
     log_alpha, log_tokens = math.log(alpha), math.log(max(tokens, 1))
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Packs of pairs by part (kind 0), and sums of what hot counts resolve (kind 1)."""
-        h = shared_all.value
-        for keys, sizes, word, before in _packs(batches):
-            i, j, code = codes(word, before, h)
-            at = _find(h.pair, code)
-            of = np.repeat(np.arange(len(keys), dtype=np.uint16), sizes)
-            done = at >= 0
-            k = at[done]
-            value = np.where(h.pair_shared[k], np.log(h.pair_count[k]) - np.log(np.maximum(h.context[i[done]], 1)), log_alpha + np.log(np.maximum(h.count[j[done]], 1)) - log_tokens) if len(k) else np.zeros(0)
-            sums = np.bincount(of[done], value, minlength=len(keys))
-            yield _table([_row(-1 - int(_mix(keys[:1])[0] % np.uint64(parts)), 1, keys, a=sums.tobytes())])
-            word, before, of, i = word[~done], before[~done], of[~done], i[~done]
-            part = (_mix(np.where(i >= 0, before * 31 + word, before)) % np.uint64(parts)).astype(np.int64)
-            order = np.lexsort((before, part))
-            word, before, of, part = word[order], before[order], of[order], part[order]
-            ends = np.searchsorted(part, np.arange(parts + 1))
-            out = []
-            for p in np.flatnonzero(np.diff(ends)).tolist():
-                s = slice(ends[p], ends[p + 1])
-                a, n = np.unique(before[s], return_counts=True)
-                out.append(_row(p, 0, keys, _bytes6(a), n.astype(np.int32).tobytes(), _bytes6(word[s]), of[s].tobytes()))
-            if out:
-                yield _table(out)
-
-    def count_and_look_up(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of one part: sums of the pairs that two documents share (kind 1), the words of the rest by their own part (kind 0)."""
-        h = shared_all.value
-        before, word, of = [], [], []
-        sums_only = []
-        for b in group:
-            for r in b.to_pylist():
-                docs_ = np.frombuffer(r["docs"], np.int64)
-                if r["kind"] == 1:
-                    sums_only.append(_row(r["part"], 1, docs_, a=r["a"]))
-                else:
-                    before.append(np.repeat(_from6(r["a"]), np.frombuffer(r["n"], np.int32)))
-                    word.append(_from6(r["b"]))
-                    of.append(docs_[np.frombuffer(r["d"], np.uint16)])
-        if sums_only:
-            yield _table(sums_only)
-        if not word:
-            return
-        before, word, of = (np.concatenate(x) for x in (before, word, of))
-        order = np.lexsort((word, before))
-        before, word, of = before[order], word[order], of[order]
-        new_a = np.concatenate(([True], before[1:] != before[:-1]))
-        new_p = new_a | np.concatenate(([True], word[1:] != word[:-1]))
-        p_at, a_at = np.flatnonzero(new_p), np.flatnonzero(new_a)
-        p_of, a_of = np.cumsum(new_p) - 1, np.cumsum(new_a) - 1
-        pair_n, context_n = np.diff(np.append(p_at, len(word))), np.diff(np.append(a_at, len(word)))
-        two = np.minimum.reduceat(of, p_at) != np.maximum.reduceat(of, p_at)
-        hot_at = _find(h.word, before[a_at])
-        context_n = np.where(hot_at >= 0, h.context[hot_at] if len(h.word) else 0, context_n)
-        hit = two[p_of]
-        j = _find(h.word, word)
-        here = hit | (j >= 0)
-        safe = np.maximum(h.count[j], 1) if len(h.word) else np.ones(len(j))
-        value = np.where(hit, np.log(pair_n[p_of]) - np.log(np.maximum(context_n[a_of], 1)), log_alpha + np.log(safe) - log_tokens)[here]
-        d, inverse = np.unique(of[here], return_inverse=True)
-        own = int(_mix(before[:1])[0] % np.uint64(parts))
-        yield _table([_row(-1 - own, 1, d, a=np.bincount(inverse, value, minlength=len(d)).tobytes())])
-        word, of = word[~here], of[~here]
-        part = (_mix(word) % np.uint64(parts)).astype(np.int64)
-        order = np.lexsort((of, part))
-        word, of, part = word[order], of[order], part[order]
-        ends = np.searchsorted(part, np.arange(parts + 1))
-        for p in np.flatnonzero(np.diff(ends)).tolist():
-            s = slice(ends[p], ends[p + 1])
-            yield _table([_row(p, 0, of[s], b=_bytes6(word[s]))])
-
-    def pack_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The word table by part (kind 2)."""
-        none = np.zeros(0, np.int64)
-        for b in batches:
-            w, c = b.column(0).to_numpy(), b.column(1).to_numpy()
-            part = (_mix(w) % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            w, c, part = w[order], c[order], part[order]
-            ends = np.searchsorted(part, np.arange(parts + 1))
-            yield _table([_row(p, 2, none, c[ends[p] : ends[p + 1]].tobytes(), b"", _bytes6(w[ends[p] : ends[p + 1]])) for p in np.flatnonzero(np.diff(ends)).tolist()])
-
-    def back_off(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of one part: partial sums of documents, from the words' counts or as they came, packed by documents' own part."""
-        word, count, asked, docs_, sums = [], [], [], [], []
-        for b in group:
-            for r in b.to_pylist():
-                if r["kind"] == 1:
-                    docs_.append(np.frombuffer(r["docs"], np.int64))
-                    sums.append(np.frombuffer(r["a"], np.float64))
-                elif r["kind"] == 2:
-                    word.append(_from6(r["b"]))
-                    count.append(np.frombuffer(r["a"], np.int64))
-                else:
-                    asked.append((np.frombuffer(r["docs"], np.int64), r["b"]))
-        if asked:
-            word, count = np.concatenate(word), np.concatenate(count)
-            order = np.argsort(word)
-            word, value = word[order], log_alpha + np.log(count[order]) - log_tokens
-            for d, b in asked:
-                docs_.append(d)
-                sums.append(value[_find(word, _from6(b))])
-        if not docs_:
-            return
-        d, at = np.unique(np.concatenate(docs_), return_inverse=True)
-        total = np.bincount(at, np.concatenate(sums), minlength=len(d))
-        part = (_mix(d) % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        d, total, part = d[order], total[order], part[order]
-        ends = np.searchsorted(part, np.arange(parts + 1))
-        yield _table([_row(p, 1, d[ends[p] : ends[p + 1]], a=total[ends[p] : ends[p + 1]].tobytes()) for p in np.flatnonzero(np.diff(ends)).tolist()])
-
-    def add_up(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of one part of the documents: their scores."""
-        docs_, sums = [], []
-        for b in group:
-            for r in b.to_pylist():
-                docs_.append(np.frombuffer(r["docs"], np.int64))
-                sums.append(np.frombuffer(r["a"], np.float64))
-        d, at = np.unique(np.concatenate(docs_), return_inverse=True)
-        yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(np.bincount(at, np.concatenate(sums), minlength=len(d)))], names=["key", "total"])
-
-    looked_up = rows.mapInArrow(explode, PACKED).groupBy("part").applyInArrow(count_and_look_up, PACKED)
-    counts = words.select("word", "count").filter("count > 0").mapInArrow(pack_counts, PACKED)
-    sums = looked_up.unionByName(counts).groupBy("part").applyInArrow(back_off, PACKED).groupBy("part").applyInArrow(add_up, "key long, total double")
-    size = keyed.select("doc_id", "key", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_words"))
-    times = size.groupBy("key").agg(F.count("*").alias("times"))
-    total = skew_join(sums, times, ["key"]).select("key", (F.col("total") / F.col("times")).alias("total"))
-    return skew_join(size, total, ["key"], "left").select(
-        "doc_id", "n_words", F.coalesce("total", F.lit(0.0)).alias("log_score"), F.when(F.col("n_words") > 0, F.col("total") / F.col("n_words")).alias("mean_log_score")
-    )
+    def explode(key: tuple[pa.Scalar], table: pa.Table) -> pa.Table:
+        own = Segment(x.as_py() for x in table.column("text"))
+        gram, n, followed, texts = (np.concatenate(x) for x in zip(*own.counts(order), strict=True))
+        part = (gram % np.uint64(parts)).astype(np.uint16 if parts < 2**16 else np.int64)
+        by = np.argsort(part, kind="stable")
+        there, at = np.unique(part[by], return_index=True)
+        at = np.append(at, len(by))
+        columns = (_list(x[by], kind, at) for x, kind in ((gram.view(np.int64), pa.int64()), (n, pa.int32()), (followed, pa.int32()), (texts, pa.int8())))
+        return pa.Table.from_arrays([pa.array([key[0].as_py()] * len(there), pa.int64()), pa.array(there.astype(np.int64)), *columns], names=["segment", "part", "gram", "n", "followed", "texts"])
+
+    packed = dealt.groupBy("segment").applyInArrow(explode, "segment long, part long, gram array<long>, n array<int>, followed array<int>, texts array<tinyint>")
+    ngrams = packed.repartition("part").select("segment", "part", F.inline(F.arrays_zip("gram", "n", "followed", "texts")))
+    table = ngrams.groupBy("part", "gram").agg(F.sum("n").alias("n"), F.sum("followed").alias("followed"), F.sum("texts").alias("texts")).filter("texts > 1").drop("texts")
+    shared = ngrams.select("segment", "part", "gram").join(table.hint("shuffle_hash"), ["part", "gram"])
+    back = shared.groupBy("part", "segment").agg(*[F.collect_list(c).alias(c) for c in ("gram", "n", "followed")])
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        own = Segment(x.as_py() for x in left.column("text"))
+        gram, n, followed = (right.column(c).combine_chunks().flatten().to_numpy() for c in ("gram", "n", "followed"))
+        gram = gram.view(np.uint64)
+        by = np.argsort(gram)
+        gram, n, followed = gram[by], n[by], followed[by]
+        at = _find(gram, own.hash)
+        count = np.bincount(own.code, minlength=len(own.hash))
+        if len(gram):
+            count = np.where(at >= 0, n[at], count)
+        backed = np.minimum(own.place, order - 1)  # orders above the first that a token has
+        value = backed * log_alpha + (np.log(np.maximum(count, 1)) - log_tokens)[own.code]
+        for g in own.orders(order):
+            at = _find(gram, g.gram)
+            hit = np.flatnonzero(at >= 0)
+            v = np.log(n[at[hit]]) - np.log(followed[_find(gram, g.context[hit])])
+            times = np.diff(g.at)
+            where = g.tokens[np.repeat(at >= 0, times)]
+            value[where] = np.repeat(v, times[hit]) + (backed[where] - (g.order - 1)) * log_alpha
+        value[own.place == 0] = 0
+        total = np.bincount(own.doc, value, minlength=len(own.sizes))
+        mean = pa.array(total / np.maximum(own.sizes, 1), mask=own.sizes == 0)
+        return pa.Table.from_arrays([left.column("doc_id"), pa.array(own.sizes), pa.array(total), mean], names=["doc_id", "n_words", "log_score", "mean_log_score"])
+
+    shape = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_words long, log_score double, mean_log_score double"
+    return dealt.groupBy("segment").cogroup(back.groupBy("segment")).applyInArrow(score, shape)
