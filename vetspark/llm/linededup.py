@@ -24,22 +24,12 @@ def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 DOC = ["no_id", "doc_id", "text_hash"]
 
 
-def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 50) -> DataFrame:
-    """Maximal runs of lines that occurred before: (no_id, doc_id, text_hash, start, stop), line numbers from 0, both included.
-
-    A run counts if it has ``min_words`` words and equals an earlier run that it doesn't overlap;
-    earlier is by id (null last), then by a hash of the text, then by line.
-    Lines are equal if they are after trimming; lines without words are looked through.
-
-    Winnowing: the windows of a text are its shortest runs of ``min_words``
-    words from each line on, and up to each line.  A window's smallest line
-    hash, the last if tied, is its fingerprint, so that texts that share a window share
-    its fingerprint.  Fingerprints that stand at one place only end there.
-    The windows of the others are joined, by their lines' hashes, to the first place where the
-    window stands, one row each however many copies there are.  Windows of a match that overlap
-    extend it both ways: every line of a run that counts lies in one of its windows.
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 50) -> DataFrame:
+    """The guaranteed fingerprints of texts: (no_id, doc_id, text_hash, fp, at, around, windows), one row for each selected line.
 
-    Rows that repeat id and text are one document here; no rows give no rows.
+    A text's windows are its shortest runs of ``min_words`` words from each line on, and up to each line.  Each window
+    selects its smallest line hash ``fp``, the last if tied, at line ``at``; texts that share a window select the same line of it.
+    ``windows`` (start, stop) are those that selected the line; ``around`` (pos, h, h2) are their lines.
     """
     own = Window.partitionBy(*DOC).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     lines = _lines(docs, doc_id, text).repartition(*DOC).dropDuplicates([*DOC, "pos"])
@@ -48,22 +38,40 @@ def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     back = Window.partitionBy(*DOC).orderBy("after").rangeBetween(-(min_words - 1), 0)
     line = F.struct("h", (-F.col("pos")).alias("late"))
     whole = {"ahead": F.col("before") + min_words <= F.col("all"), "back": F.col("after") >= min_words}
-    everything = Window.partitionBy(*DOC)
-    seen = lines.withColumn("all", F.max("after").over(everything))
+    seen = lines.withColumn("all", F.max("after").over(Window.partitionBy(*DOC)))
     for name, over in (("ahead", ahead), ("back", back)):
-        content = F.collect_list(F.struct("h", "h2")).over(over)
-        seen = seen.withColumn(name, F.when(whole[name], F.struct(
-            F.min(line).over(over).alias("least"), F.min("pos").over(over).alias("start"), F.max("pos").over(over).alias("stop"),
-            F.xxhash64(F.transform(content, lambda x: x["h"])).alias("w1"), F.xxhash64(F.transform(content, lambda x: x["h2"])).alias("w2"),
-        )))
-    windows = seen.select(*DOC, F.explode(F.array_distinct(F.array("ahead", "back"))).alias("w")).filter("w is not null").select(*DOC, F.col("w.least.h").alias("fp"), (-F.col("w.least.late")).alias("at"), "w.start", "w.stop", "w.w1", "w.w2")
-    windows = materialise(windows, "line-windows")
+        content = F.collect_list(F.struct("pos", "h", "h2")).over(over)
+        seen = seen.withColumn(name, F.when(whole[name], F.struct(F.min(line).over(over).alias("least"), content.alias("lines"))))
+    windows = seen.select(*DOC, F.inline(F.array_compact(F.array("ahead", "back")))).select(*DOC, F.col("least.h").alias("fp"), (-F.col("least.late")).alias("at"), "lines")
+    selected = windows.groupBy(*DOC, "fp", "at").agg(F.collect_list("lines").alias("each"))
+    span = F.transform("each", lambda w: F.struct(F.element_at(w, 1)["pos"].alias("start"), F.element_at(w, -1)["pos"].alias("stop")))
+    return selected.select(*DOC, "fp", "at", F.array_sort(F.array_distinct(F.flatten("each"))).alias("around"), F.array_distinct(span).alias("windows"))
+
+
+def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 50) -> DataFrame:
+    """Maximal runs of lines that occurred before: (no_id, doc_id, text_hash, start, stop), line numbers from 0, both included.
+
+    A run counts if it has ``min_words`` words and equals an earlier run that it doesn't overlap;
+    earlier is by id (null last), then by a hash of the text, then by line.
+    Lines are equal if they are after trimming; lines without words are looked through.
+
+    Winnowing: only selected lines (:func:`fingerprints`) are kept.  Fingerprints that stand at one place end there.  From the others' lines
+    a match is extended to the left and to the right over line hashes, as far as a window reaches; what each extension holds is compared with
+    the first place that holds the same, one row each however many copies there are, never in pairs.  Matches of one text that overlap
+    are one run.  So every line of a run that counts lies in a match, and later runs go.
+
+    Rows that repeat id and text are one document here; no rows give no rows.
+    """
+    selected = materialise(fingerprints(docs, doc_id, text, min_words), "line-fingerprints")
     spot = F.struct(*DOC, "at")
-    common = windows.groupBy("fp").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).filter("a != b").select("fp")
-    kept = skew_join(windows, common, ["fp"])
+    common = selected.groupBy("fp").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).filter("a != b").select("fp")
+    positions = skew_join(selected, common, ["fp"])
+    inside = lambda h: F.transform(F.filter("around", lambda x: x["pos"].between(F.col("w.start"), F.col("w.stop"))), lambda x: x[h])
+    extended = positions.select(*DOC, "around", F.explode("windows").alias("w")).select(*DOC, "w.start", "w.stop", F.xxhash64(inside("h")).alias("w1"), F.xxhash64(inside("h2")).alias("w2"))
+    extended = materialise(extended, "line-matches", selected)
     place = F.struct(*DOC, "start", "stop")
-    first = kept.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first != last").drop("last")
-    later = skew_join(kept, first, ["w1", "w2"])
+    first = extended.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first != last").drop("last")
+    later = skew_join(extended, first, ["w1", "w2"])
     apart = ~(F.struct(*DOC).eqNullSafe(F.struct(*[F.col(f"first.{c}").alias(c) for c in DOC])) & (F.col("start") <= F.col("first.stop")))
     hits = later.filter(apart).select(*DOC, "start", "stop").distinct()
 
@@ -89,16 +97,16 @@ def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     the first copy of every line stays somewhere.  Runs are those of :func:`repeated_runs`.  Of rows that repeat
     id and text, all lose the same lines.  Null texts stay null.
     """
-    run = F.struct("start", "stop")
-    runs = repeated_runs(docs, doc_id, text, min_words).groupBy(*DOC).agg(F.sort_array(F.collect_list(run)).alias(hidden("runs")))
+    name, d, h = (hidden(x, docs) for x in ("runs", "id", "hash"))
+    runs = repeated_runs(docs, doc_id, text, min_words).groupBy(*DOC).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias(name))
     runs = materialise(runs, "line-runs")
-    ids = runs.select(F.col("doc_id").alias(hidden("id")), F.col("text_hash").alias(hidden("hash")), hidden("runs"))
+    ids = runs.select(F.col("doc_id").alias(d), F.col("text_hash").alias(h), name)
     t = F.col(f"`{text}`")
     here = F.xxhash64(F.coalesce(t.cast("string"), F.lit("")))
     # merged at every size: broadcasting short lists of runs would only hold for small inputs
-    joined = docs.join(ids.hint("merge"), F.col(f"`{doc_id}`").eqNullSafe(F.col(hidden("id"))) & (here == F.col(hidden("hash"))), "left")
-    changed = F.col(hidden("runs")).isNotNull()
-    out = joined.withColumn(text, F.when(changed, _without(t, F.col(hidden("runs")))).otherwise(t))
+    joined = docs.join(ids.hint("merge"), F.col(f"`{doc_id}`").eqNullSafe(F.col(d)) & (here == F.col(h)), "left")
+    changed = F.col(name).isNotNull()
+    out = joined.withColumn(text, F.when(changed, _without(t, F.col(name))).otherwise(t))
     if n_chars in docs.columns:
         out = out.withColumn(n_chars, F.when(changed, F.length(t).cast(docs.schema[n_chars].dataType)).otherwise(F.col(f"`{n_chars}`")))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
