@@ -10,16 +10,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, skew_join
 
-#: Documents of an index file, documents that are searched at a time, and tokens that are indexed at a time, about; documents of a block of the
-#: index, and blocks that are looked at first to get a threshold.
-SHARD_DOCS, SEARCH_DOCS, SHARD_TOKENS, BLOCK_DOCS, FIRST_BLOCKS = 16_384, 8_192, 2_000_000, 64, 4
+#: Documents and tokens of a shard at most; documents that are scored together, and of a block, for which maxima are kept.
+SHARD_DOCS, SHARD_TOKENS, PART_DOCS, BLOCK_DOCS = 16_384, 2_000_000, 1024, 64
+#: A term that so many documents of a part hold is kept as a full row there; the rest are lists.  Queries that are scored together.
+FULL_ROW, TOGETHER = 64, 256
 #: Queries, and their terms, that are sent to all shards at a time: a bounded broadcast.
-BLOCK_QUERIES, BLOCK_TERMS = 6_000, 2_000_000
+BLOCK_QUERIES, BLOCK_TERMS = 8_192, 3_000_000
 #: Scores are rounded to this many decimals, so that equal texts tie whatever the order of summation.
 DECIMALS = 9
 SLACK = 1e-6
@@ -101,111 +102,97 @@ def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
-class _Index:
-    """Some shards, ready for some queries: impacts of the postings of their terms, and the largest in each block."""
-
-    def __init__(self, rows: list[dict], q: Queries, average: float) -> None:
-        ids, parts, base = [], [], 0
-        for row in rows:
-            own, size = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["sizes"], np.int32)
-            terms, starts = np.frombuffer(row["terms"], np.int64), np.frombuffer(row["starts"], np.int32).astype(np.int64)
-            ids.append(own)
-            if len(terms):
-                at = np.minimum(np.searchsorted(terms, q.terms), len(terms) - 1)
-                here = np.flatnonzero(terms[at] == q.terms)
-                n = starts[at[here] + 1] - starts[at[here]]
-                places = _spread(starts[at[here]], n)
-                doc = np.frombuffer(row["docs"], np.uint16)[places].astype(np.int32)
-                tf = np.frombuffer(row["tf"], np.int32)[places].astype(np.float64)
-                impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / average)) * np.repeat(q.idf[here], n)
-                parts.append((np.repeat(here.astype(np.int32), n), doc + base, impact))
-            base += len(own)
-        self.ids = np.concatenate(ids)
-        term, self.doc, self.impact = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, t) for t in (np.int32, np.int32, np.float64))
-        if len(parts) > 1:
-            parts.clear()
-            order = np.argsort(term, kind="stable")
-            term, self.doc, self.impact = term[order], self.doc[order], self.impact[order]
-            del order
-        n = np.bincount(term, minlength=len(q.terms))
-        self.start = np.concatenate(([0], np.cumsum(n)))  # of a query term's postings
-        self.blocks = len(self.ids) // BLOCK_DOCS + 1
-        group = term.astype(np.int64) * self.blocks + self.doc // BLOCK_DOCS
-        self.seg = np.flatnonzero(np.diff(group, prepend=-1))
-        self.seg_block = group[self.seg] % self.blocks
-        self.seg_max = np.maximum.reduceat(self.impact, self.seg) if len(self.seg) else np.zeros(0)
-        self.seg_start = np.searchsorted(self.seg, self.start)
-        self.seg_end = np.append(self.seg, len(self.doc))[1:]
-
-    def search(self, at: np.ndarray, own: int | None, best: np.ndarray, best_ids: np.ndarray) -> None:
-        """Improve a query's best scores (descending) and ids in place.
-
-        A block's bound is the sum of its largest impacts.  The blocks with the
-        largest bounds are scored first; of the rest only those whose bound reaches the k-th best score so far.  Bounds hold
-        for every document of a block, so what is left out can't be among the best.
+class _Part:
+    """Up to ``PART_DOCS`` neighbouring documents of a shard, for some queries: impacts of the postings of their terms, and maxima.
+
+    Frequent terms are rows of ``full`` with the maxima of their blocks in ``block_max``; the postings of the others are lists
+    (``doc``, ``impact``, from ``start``), with one maximum for the part.
+    """
+
+    def __init__(self, ids: np.ndarray, n_terms: int, here: np.ndarray, term: np.ndarray, doc: np.ndarray, impact: np.ndarray) -> None:
+        self.ids = ids
+        n = np.bincount(term, minlength=len(here))
+        frequent = n >= FULL_ROW
+        self.row = np.full(n_terms, -1, np.int32)
+        self.row[here[frequent]] = np.arange(frequent.sum())
+        full = frequent[term]
+        self.full = np.zeros((int(frequent.sum()), PART_DOCS))
+        self.full[self.row[here[term[full]]], doc[full]] = impact[full]
+        self.block_max = self.full.reshape(len(self.full), PART_DOCS // BLOCK_DOCS, BLOCK_DOCS).max(axis=2)
+        self.n = np.zeros(n_terms, np.int32)
+        self.n[here] = np.where(frequent, 0, n)
+        self.start = np.cumsum(self.n) - self.n
+        self.doc, self.impact = doc[~full], impact[~full]
+        self.max = np.zeros(n_terms)
+        some = np.flatnonzero(self.n)
+        if len(some):
+            self.max[some] = np.maximum.reduceat(self.impact, self.start[some])
+
+    def search(self, at: np.ndarray, query: np.ndarray, own: np.ndarray | None, best: np.ndarray, best_ids: np.ndarray) -> int:
+        """Improve the best scores (descending) and ids of some queries in place; query ``query[i]`` has the term ``at[i]``.
+
+        A block's bound is the sum of its terms' maxima.  Where that doesn't reach a query's k-th best score so far, no document of
+        the block can be among its best: there is no pivot in it, and the block is skipped.  The others are scored, and only those.  Returns how
+        many documents were scored, over all queries.
         """
-        a, n = self.seg_start[at], self.seg_start[at + 1] - self.seg_start[at]
-        segs = _spread(a, n)
-        if not len(segs):
-            return
-        block = self.seg_block[segs]
-        bound = np.bincount(block, self.seg_max[segs], minlength=self.blocks)
-        left = bound > max(0.0, best[-1] - SLACK)
-        if left.sum() > 2 * FIRST_BLOCKS:
-            first = np.zeros(self.blocks, bool)
-            first[np.argpartition(-bound, FIRST_BLOCKS)[:FIRST_BLOCKS]] = True
-            self._score(segs[first[block]], first, own, best, best_ids)
-            left &= ~first & (bound > max(0.0, best[-1] - SLACK))
-        if left.any():
-            if left.sum() * 4 > self.blocks:  # most of the lists is needed: add them whole
-                total = np.zeros(len(self.ids))
-                for t in at[self.start[at + 1] > self.start[at]].tolist():
-                    s = slice(self.start[t], self.start[t + 1])
-                    total[self.doc[s]] += self.impact[s]
-                self._take(total, np.flatnonzero(left[np.arange(len(self.ids)) // BLOCK_DOCS]), own, best, best_ids)
-            else:
-                self._score(segs[left[block]], left, own, best, best_ids)
-
-    def _score(self, segs: np.ndarray, blocks: np.ndarray, own: int | None, best: np.ndarray, best_ids: np.ndarray) -> None:
-        places = _spread(self.seg[segs], self.seg_end[segs] - self.seg[segs])
-        total = np.bincount(self.doc[places], self.impact[places], minlength=len(self.ids))
-        docs = (np.flatnonzero(blocks)[:, None] * BLOCK_DOCS + np.arange(BLOCK_DOCS)).ravel()
-        self._take(total, docs[docs < len(self.ids)], own, best, best_ids)
-
-    def _take(self, total: np.ndarray, docs: np.ndarray, own: int | None, best: np.ndarray, best_ids: np.ndarray) -> None:
-        s = np.round(total[docs], DECIMALS)
-        fine = (s > 0) & (s >= best[-1])
-        fine &= self.ids[docs] != NO_ID
+        k = best.shape[1]
+        row = self.row[at]
+        f, lists = np.flatnonzero(row >= 0), np.flatnonzero(self.n[at])
+        asks = np.zeros((len(best), len(self.full)))
+        asks[query[f], row[f]] = 1
+        bound = asks @ self.block_max + np.bincount(query[lists], self.max[at[lists]], minlength=len(best))[:, None]
+        open_ = bound > np.maximum(best[:, -1] - SLACK, 0)[:, None]
+        rows = np.flatnonzero(open_.any(axis=1))
+        if not len(rows):
+            return 0
+        open_ = open_[rows]
+        score = np.zeros((len(rows), PART_DOCS))
+        for block in np.flatnonzero(open_.any(axis=0)).tolist():
+            some, docs = np.flatnonzero(open_[:, block]), slice(block * BLOCK_DOCS, (block + 1) * BLOCK_DOCS)
+            score[some, docs] = asks[rows[some]] @ self.full[:, docs]
+        place = np.full(len(best), -1)
+        place[rows] = np.arange(len(rows))
+        lists = lists[place[query[lists]] >= 0]
+        n = self.n[at[lists]]
+        postings = _spread(self.start[at[lists]], n)
+        score += np.bincount(np.repeat(place[query[lists]] * PART_DOCS, n) + self.doc[postings], self.impact[postings], minlength=score.size).reshape(score.shape)
+        score.reshape(len(rows), PART_DOCS // BLOCK_DOCS, BLOCK_DOCS)[~open_] = -np.inf
+        score[:, len(self.ids) :] = -np.inf
+        score[:, np.flatnonzero(self.ids == NO_ID)] = -np.inf
         if own is not None:
-            fine &= self.ids[docs] != own
-        s, docs, k = s[fine], docs[fine], len(best)
-        if len(s) > k:
-            top = s >= np.partition(s, len(s) - k)[len(s) - k]
-            s, docs = s[top], docs[top]
-        if len(s):
-            s, ids = np.concatenate([best, s]), np.concatenate([best_ids, self.ids[docs]])
-            order = np.lexsort((ids, -s))[:k]
-            best[:], best_ids[:] = s[order], ids[order]
-
-
-def _together(batch: pa.RecordBatch) -> Iterator[list[dict]]:
-    """Shards of a batch, as many at a time as have ``SEARCH_DOCS`` documents, one at least."""
-    rows, n = [], 0
-    for i in range(batch.num_rows):
-        r = batch.slice(i, 1).to_pylist()[0]
-        size = len(r["ids"]) // 8
-        if rows and n + size > SEARCH_DOCS:
-            yield rows
-            rows, n = [], 0
-        rows.append(r)
-        n += size
-    if rows:
-        yield rows
-
-
-PACKED = "pack long, query_ids binary, scores binary, ids binary"
-#: Queries whose partial results travel together.
-PACK = 256
+            order = np.argsort(self.ids)
+            low, high = (np.searchsorted(self.ids[order], own[rows], side) for side in ("left", "right"))
+            for i in np.flatnonzero(low < high).tolist():
+                score[i, order[low[i] : high[i]]] = -np.inf
+        least = best[rows, -1]
+        if k < PART_DOCS:
+            least = np.maximum(least, np.partition(score, PART_DOCS - k, axis=1)[:, PART_DOCS - k])
+        i, doc = np.nonzero(score >= np.maximum(least - SLACK, SLACK)[:, None])
+        every = np.concatenate((np.repeat(np.arange(len(rows)), k), i))
+        s, ids = np.concatenate((best[rows].ravel(), np.round(score[i, doc], DECIMALS))), np.concatenate((best_ids[rows].ravel(), self.ids[doc]))
+        order = np.lexsort((ids, -s, every))
+        first = np.searchsorted(every[order], np.arange(len(rows)))
+        top = order[first[:, None] + np.arange(k)]
+        best[rows], best_ids[rows] = s[top], ids[top]
+        return int(open_.sum()) * BLOCK_DOCS
+
+
+def _parts(shard: dict, q: Queries, average: float) -> Iterator[_Part]:
+    ids, size = np.frombuffer(shard["ids"], np.int64), np.frombuffer(shard["sizes"], np.int32)
+    terms, starts = np.frombuffer(shard["terms"], np.int64), np.frombuffer(shard["starts"], np.int32).astype(np.int64)
+    if not len(terms) or not len(q.terms):
+        return
+    at = np.minimum(np.searchsorted(terms, q.terms), len(terms) - 1)
+    here = np.flatnonzero(terms[at] == q.terms)
+    n = starts[at[here] + 1] - starts[at[here]]
+    postings = _spread(starts[at[here]], n)
+    doc, tf = np.frombuffer(shard["docs"], np.uint16)[postings].astype(np.int32), np.frombuffer(shard["tf"], np.int32)[postings]
+    impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / average)) * np.repeat(q.idf[here], n)
+    term = np.repeat(np.arange(len(here), dtype=np.int32), n)
+    part = doc // PART_DOCS
+    for p in range(math.ceil(len(ids) / PART_DOCS)):
+        own = np.flatnonzero(part == p)
+        yield _Part(ids[p * PART_DOCS : (p + 1) * PART_DOCS], len(q.terms), here, term[own], doc[own] - p * PART_DOCS, impact[own])
 
 
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10, doc_id: str = "doc_id", text: str = "text", query_id: str = "query_id", query_text: str = "text", skip_own: bool = True) -> DataFrame:
@@ -217,9 +204,9 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10, doc_id: str = "d
     word aren't results.  Words are runs of anything but ASCII white space, A-Z lower-cased.  With ``skip_own`` a query
     doesn't find the document of its own id.
 
-    Every task indexes its documents in shards; nothing but word counts is shuffled.  Queries
-    go to all shards in blocks of bounded size.  A shard prunes by block maxima against a query's k-th best score, which a
-    task carries from shard to shard; the tasks' bests are merged.
+    Every task indexes its documents in shards; nothing but word counts and results is shuffled.  Queries
+    go to all shards in blocks of bounded size, one after the other.  A shard numbers its documents so that texts alike share blocks, and skips, for each query,
+    the blocks whose maxima don't reach the query's k-th best score, which a task carries from shard to shard; the tasks' bests are merged by query.
 
     Ids are whole numbers.  Null and empty texts count as documents and are never found; rows without id count and aren't
     found either; rows that repeat an id are documents of their own.  Queries that repeat an id are one, with all their words.  No rows give no rows.
@@ -256,35 +243,24 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10, doc_id: str = "d
     n_queries, n_terms = weighed.agg(F.count("*"), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
     blocks = max(1, math.ceil(n_queries / BLOCK_QUERIES), math.ceil(n_terms / BLOCK_TERMS))
 
+    best_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+
     def search(shared) -> DataFrame:
         def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             q = shared.value
             best, ids = np.full((len(q.ids), k), -np.inf), np.zeros((len(q.ids), k), np.int64)
             for b in batches:
-                for rows in _together(b):
-                    shard = None  # one at a time
-                    shard = _Index(rows, q, average)
-                    for i, own in enumerate(q.ids.tolist()):
-                        shard.search(q.at[q.start[i] : q.start[i + 1]], own if skip_own else None, best[i], ids[i])
-            for a in range(0, len(q.ids), PACK):
-                s = slice(a, a + PACK)
-                yield pa.RecordBatch.from_arrays([pa.array([a // PACK], pa.int64()), *(pa.array([x[s].tobytes()], pa.binary()) for x in (q.ids, best, ids))], names=["pack", "query_ids", "scores", "ids"])
-
-        def merge(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            scores, ids, own = [], [], np.zeros(0, np.int64)
-            for b in group:
-                for r in b.to_pylist():
-                    own = np.frombuffer(r["query_ids"], np.int64)
-                    scores.append(np.frombuffer(r["scores"]).reshape(len(own), k))
-                    ids.append(np.frombuffer(r["ids"], np.int64).reshape(len(own), k))
-            s, d = np.concatenate(scores, axis=1), np.concatenate(ids, axis=1)
-            order = np.lexsort((d, -s), axis=1)[:, :k]
-            s, d = np.take_along_axis(s, order, 1), np.take_along_axis(d, order, 1)
-            there = np.isfinite(s)
-            rank = np.broadcast_to(np.arange(1, k + 1, dtype=np.int32), s.shape)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.repeat(own, k).reshape(s.shape)[there], rank[there], d[there], s[there])], names=["query_id", "rank", "doc_id", "score"])
-
-        return index.mapInArrow(of, PACKED).groupBy("pack").applyInArrow(merge, "query_id long, rank int, doc_id long, score double")
+                for i in range(b.num_rows):
+                    for part in _parts(b.slice(i, 1).to_pylist()[0], q, average):
+                        for a in range(0, len(q.ids), TOGETHER):
+                            s = slice(a, a + TOGETHER)
+                            at = q.at[q.start[a] : q.start[min(a + TOGETHER, len(q.ids))]]
+                            part.search(at, np.repeat(np.arange(len(q.ids[s])), np.diff(q.start[a : a + TOGETHER + 1])), q.ids[s] if skip_own else None, best[s], ids[s])
+            there = np.isfinite(best)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.repeat(q.ids, k).reshape(best.shape)[there], ids[there], best[there])], names=["query_id", "doc_id", "score"])
+
+        found = index.mapInArrow(of, "query_id long, doc_id long, score double").withColumn("rank", F.row_number().over(best_first))
+        return found.filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
     out = None
     for block in range(blocks):
@@ -293,7 +269,8 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10, doc_id: str = "d
         idf = np.concatenate([np.asarray(x, np.float64) for x in own["idf"]]) if len(own) else np.zeros(0)
         terms, first, at = np.unique(flat, return_index=True, return_inverse=True)
         start = np.concatenate(([0], np.cumsum([len(x) for x in own["term"]], dtype=np.int64))).astype(np.int64)
-        q = Queries(own["query_id"].to_numpy(np.int64), start, at, terms, idf[first])
-        found = search(spark.sparkContext.broadcast(q))
+        shared = spark.sparkContext.broadcast(Queries(own["query_id"].to_numpy(np.int64), start, at, terms, idf[first]))
+        found = materialise(search(shared), "search-found")
+        shared.destroy()
         out = found if out is None else out.unionByName(found)
     return out
