@@ -103,24 +103,39 @@ def test_search_equals_brute_force(spark):
         np.testing.assert_allclose([s for _, s in found.get(i, [])], [s for _, s in best], atol=1e-7)
 
 
-def test_shards_are_searched_together(monkeypatch):
+def test_blocks_are_skipped_and_shards_agree(monkeypatch):
     import pyarrow as pa
 
     rng = random.Random(6)
-    texts = [" ".join(f"w{min(300, int(rng.paretovariate(0.5)))}" for _ in range(rng.randint(0, 40))) for _ in range(500)]
-    batch = pa.RecordBatch.from_arrays([pa.array(range(500), pa.int64()), pa.array(texts)], names=["id", "text"])
+    speak = lambda lang, n: " ".join(f"{lang}{min(300, int(rng.paretovariate(0.5)))}" for _ in range(n))
+    texts = [speak("ab"[i % 2], rng.randint(0, 40)) for i in range(4000)]
+    texts[9:21:2] = [texts[7]] * 6
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["id", "text"])
     terms = np.unique(np.concatenate([search.terms_of(t) for t in texts]))
     own = np.searchsorted(terms, np.unique(search.terms_of(texts[7])))
     q = search.Queries(np.array([7]), np.array([0, len(own)]), own, terms, np.ones(len(terms)))
     found = []
-    for tokens in (10**9, 900):
+    for tokens in (10**9, 9_000):
         monkeypatch.setattr(search, "SHARD_TOKENS", tokens)
         rows = [r for b in search._build(iter([batch])) for r in b.to_pylist()]
-        assert (len(rows) > 5) == (tokens == 900)
-        best, ids = np.full(10, -np.inf), np.zeros(10, np.int64)
-        search._Index(rows, q, 20.0).search(own, 7, best, ids)
+        assert (len(rows) > 5) == (tokens == 9_000)
+        best, ids, scored = np.full((1, 5), -np.inf), np.zeros((1, 5), np.int64), 0
+        for r in rows:
+            for part in search._parts(r, q, 20.0):
+                scored += part.search(own, np.zeros(len(own), np.int64), q.ids, best, ids)
         found.append((best.tolist(), ids.tolist()))
-    assert found[0] == found[1]
+        assert tokens == 9_000 or scored < len(texts) * 0.8
+    assert found[0] == found[1] and found[0][1] == [[9, 11, 13, 15, 17]]
+
+
+def test_query_blocks_and_parts_agree(spark, monkeypatch):
+    rng = random.Random(8)
+    docs = frame(spark, [(i, " ".join(f"w{min(90, int(rng.paretovariate(0.6)))}" for _ in range(rng.randint(0, 30))), "s") for i in range(300)])
+    asked = docs.filter("doc_id % 10 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    whole = sorted(map(tuple, search.bm25_topk(docs, asked, k=4).collect()))
+    monkeypatch.setattr(search, "BLOCK_QUERIES", 7)
+    monkeypatch.setattr(search, "TOGETHER", 3)
+    assert sorted(map(tuple, search.bm25_topk(docs, asked, k=4).collect())) == whole and len(whole) > 100
 
 
 def test_search_odd_rows(odd, none):
@@ -133,30 +148,49 @@ def test_search_odd_rows(odd, none):
 # ------------------------------------------------------------------ language model
 
 
-def brute_lm(texts, alpha=0.4):
-    pairs, where, first, words = Counter(), {}, Counter(), Counter()
+def brute_lm(texts, order, alpha=0.4):
+    grams, where, followed = Counter(), {}, Counter()
     for d, t in enumerate(texts):
-        w = t.split()
-        for a, b in zip([None, *w], w, strict=False):
-            pairs[a, b] += 1
-            where.setdefault((a, b), set()).add(d)
-            first[a] += 1
-            words[b] += 1
-    n = words.total()
-    return [sum(math.log(pairs[p] / first[p[0]]) if len(where[p]) > 1 else math.log(alpha * words[p[1]] / n) for p in zip([None, *t.split()], t.split(), strict=False)) for t in texts]
-
-
-@pytest.mark.parametrize("hot", [2, 4_000])
-def test_lm_equals_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(lm, "PART_PAIRS", 300)
-    monkeypatch.setattr(lm, "HOT_WORDS", hot)
+        seq = [None, *t.split()]
+        for m in range(1, order + 1):
+            for i in range(m - 1, len(seq)):
+                g = tuple(seq[i - m + 1 : i + 1])
+                grams[g] += 1
+                where.setdefault(g, set()).add(d)
+                followed[g] += i < len(seq) - 1
+    n = sum(len(t.split()) for t in texts)
+
+    def score(g):
+        if len(g) == 1:
+            return grams[g] / n
+        return grams[g] / followed[g[:-1]] if len(where[g]) > 1 else alpha * score(g[1:])
+
+    out = []
+    for t in texts:
+        seq = (None, *t.split())
+        out.append(sum(math.log(score(seq[max(0, i - order + 1) : i + 1])) for i in range(1, len(seq))))
+    return out
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_lm_equals_brute_force(spark, monkeypatch, order):
+    monkeypatch.setattr(lm, "SEGMENT_TOKENS", 200)
+    monkeypatch.setattr(lm, "PART_TOKENS", 300)
     rng = random.Random(7)
     texts = [" ".join(f"w{min(40, int(rng.paretovariate(0.6)))}" for _ in range(rng.randint(0, 30))) for _ in range(120)]
-    out = {r.doc_id: r for r in lm.score_documents(frame(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
-    for i, s in enumerate(brute_lm(texts)):
+    out = {r.doc_id: r for r in lm.score_documents(frame(spark, [(i, t, "s") for i, t in enumerate(texts)]), order=order).collect()}
+    assert len(out) == len(texts)
+    for i, s in enumerate(brute_lm(texts, order)):
         assert out[i].log_score == pytest.approx(s, abs=1e-9) and out[i].n_words == len(texts[i].split())
 
 
+def test_lm_shuffles_the_documents_once(spark):
+    out = lm.score_documents(frame(spark, [(1, "a b", "s"), (2, "a b c", "s")]))
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("ReusedExchange") == 2  # the documents', and the n-grams'
+
+
 def test_lm_odd_rows(odd, none):
     out = lm.score_documents(odd).collect()
     assert len(out) == odd.count() and lm.score_documents(none).count() == 0

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hidden, materialise, skew_join
+from .common import materialise, skew_join
 
 #: Rows of the index, and queries, that one task compares at a time.
 SHARD_ROWS, QUERY_ROWS = 8_192, 2_048
@@ -165,5 +165,5 @@ def nearest(
     best = materialise(best.groupBy("key", F.col("q").alias("v")).agg(F.sort_array(F.collect_list(F.struct("score", "vec_id"))).alias("best")), "ann-best")
     each = skew_join(asked.withColumnRenamed("vec_id", "query_id"), best, ["key", "v"])
     own = F.slice(F.filter("best", lambda b: b["vec_id"] != F.col("query_id")), 1, k)
-    out = each.select("query_id", F.posexplode(own).alias(hidden("pos"), hidden("hit")))
-    return out.select("query_id", (F.col(hidden("pos")) + 1).cast("int").alias("rank"), F.col(f"{hidden('hit')}.vec_id").alias("vec_id"), F.col(f"{hidden('hit')}.score").alias("score"))
+    out = each.select("query_id", F.posexplode(own).alias("pos", "hit"))
+    return out.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score"))

@@ -23,10 +23,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = skew_join(both.filter("v > u"), least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialise(large, "large-star")
+        large, last = materialise(large, "large-star"), e
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         rest = skew_join(large, least, ["u"]).filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialise(rest.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        e = materialise(rest.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star", large, last)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == state:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))

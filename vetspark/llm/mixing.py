@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise, n_words
+from .common import WORD, hidden, materialise, n_words
 
 #: Per-source tables up to this many rows (about 100 bytes each) are broadcast; larger ones are joined by shuffle.
 MAX_BROADCAST_SOURCES = 20_000
@@ -105,6 +105,7 @@ def take_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
     Rows equal in id and text stand at one place of the order: if the border falls among
     them, all are taken whole.  A null or empty text takes no words and doesn't come.
     """
+    m_source, m_cut, m_here, m_part, m_copy, m_cut_here = (hidden(x, docs) for x in ("source", "cut", "here", "part", "copy", "cut_here"))
     decided = mix_sources(docs, doc_id, text, source, seed=seed, **options)
     place = F.struct("key", "doc_id")
     borders = materialise(
@@ -114,18 +115,18 @@ def take_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
             F.max(F.when((F.col("extra") > 0) & (F.col("extra") < F.col("size")), F.struct("key", "doc_id", "extra"))).alias("part"),
         ),
         "mix-borders",
-    ).select(F.col("source").alias("__source"), F.struct("epochs", "whole", "part").alias("__cut"))
+    ).select(F.col("source").alias(m_source), F.struct("epochs", "whole", "part").alias(m_cut))
     here = F.struct(_key(seed, doc_id, text).alias("key"), F.col(f"`{doc_id}`").alias("doc_id"))
-    out = docs.join(_small(borders, borders.count()), F.col(f"`{source}`").cast("string").eqNullSafe(F.col("__source"))).withColumn("__here", here)
-    whole = F.coalesce(F.col("__here") <= F.col("__cut.whole"), F.lit(False))
-    part = F.col("__here").eqNullSafe(F.struct(F.col("__cut.part.key").alias("key"), F.col("__cut.part.doc_id").alias("doc_id"))) & ~whole
+    out = docs.join(_small(borders, borders.count()), F.col(f"`{source}`").cast("string").eqNullSafe(F.col(m_source))).withColumn(m_here, here)
+    whole = F.coalesce(F.col(m_here) <= F.col(f"{m_cut}.whole"), F.lit(False))
+    part = F.col(m_here).eqNullSafe(F.struct(F.col(f"{m_cut}.part.key").alias("key"), F.col(f"{m_cut}.part.doc_id").alias("doc_id"))) & ~whole
     t = F.col(f"`{text}`")
-    head = F.array_join(F.slice(F.regexp_extract_all(t, F.lit(WORD), F.lit(0)), 1, F.coalesce(F.col("__cut.part.extra"), F.lit(0)).cast("int")), " ")
-    times = F.when(n_words(t) > 0, F.col("__cut.epochs") + F.when(whole | part, 1).otherwise(0)).otherwise(0).cast("int")
-    copies = out.withColumn("__part", part).withColumn("__copy", F.explode(F.sequence(F.lit(0), times)))
-    copies = copies.filter(F.col("__copy") < times)
-    copies = copies.withColumn("__cut_here", F.col("__part") & (F.col("__copy") == F.col("__cut.epochs")))
-    out = copies.withColumn(text, F.when(F.col("__cut_here"), head).otherwise(t))
+    head = F.array_join(F.slice(F.regexp_extract_all(t, F.lit(WORD), F.lit(0)), 1, F.coalesce(F.col(f"{m_cut}.part.extra"), F.lit(0)).cast("int")), " ")
+    times = F.when(n_words(t) > 0, F.col(f"{m_cut}.epochs") + F.when(whole | part, 1).otherwise(0)).otherwise(0).cast("int")
+    copies = out.withColumn(m_part, part).withColumn(m_copy, F.explode(F.sequence(F.lit(0), times)))
+    copies = copies.filter(F.col(m_copy) < times)
+    copies = copies.withColumn(m_cut_here, F.col(m_part) & (F.col(m_copy) == F.col(f"{m_cut}.epochs")))
+    out = copies.withColumn(text, F.when(F.col(m_cut_here), head).otherwise(t))
     if n_chars in docs.columns:
-        out = out.withColumn(n_chars, F.when(F.col("__cut_here"), F.length(t).cast(docs.schema[n_chars].dataType)).otherwise(F.col(f"`{n_chars}`")))
+        out = out.withColumn(n_chars, F.when(F.col(m_cut_here), F.length(t).cast(docs.schema[n_chars].dataType)).otherwise(F.col(f"`{n_chars}`")))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

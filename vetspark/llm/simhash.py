@@ -236,12 +236,11 @@ def similar(
 
 def _keep_first(docs: DataFrame, found: DataFrame, doc_id: str, text: str) -> DataFrame:
     """One row of ``docs`` for each ``first`` (doc_id, text_hash) of ``found``."""
-    d, h = hidden("id"), hidden("hash")
+    d, h, own, n = (hidden(x, docs) for x in ("id", "hash", "h", "n"))
     keep = found.select("first").distinct().select(F.col("first.doc_id").alias(d), F.col("first.text_hash").alias(h))
-    marked = docs.withColumn(hidden("h"), F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))))
-    kept = marked.join(keep.hint("merge"), (F.col(hidden("h")) == F.col(h)) & F.col(f"`{doc_id}`").eqNullSafe(F.col(d)), "left_semi")
-    n = hidden("n")
-    kept = kept.withColumn(n, F.row_number().over(Window.partitionBy(hidden("h"), F.col(f"`{doc_id}`")).orderBy(hidden("h"))))
+    marked = docs.withColumn(own, F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))))
+    kept = marked.join(keep.hint("merge"), (F.col(own) == F.col(h)) & F.col(f"`{doc_id}`").eqNullSafe(F.col(d)), "left_semi")
+    kept = kept.withColumn(n, F.row_number().over(Window.partitionBy(own, F.col(f"`{doc_id}`")).orderBy(own)))
     return kept.filter(F.col(n) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
