@@ -87,7 +87,7 @@ def test_probes(spark):
 def test_domains(spark):
     hosts = ["albaberlin.de", "live.albaberlin.de", "notalbaberlin.de", None]
     df = spark.createDataFrame([(i, h) for i, h in enumerate(hosts)], "i int, host string")
-    assert [r.matched and r.matched.tier for r in C.match_domains(df, P.approved_sources(spark), "i").orderBy("i").collect()] == [5, 5, None, None]
+    assert [r.matched and r.matched.tier for r in C.match_domains(df, P.approved_sources(spark)).orderBy("i").collect()] == [5, 5, None, None]
 
 
 # ------------------------------------------------------------------ checks
@@ -181,6 +181,8 @@ def test_interval_join_without_key_has_an_equality(spark):
 def test_tiers_links_and_summary(spark):
     df = spark.createDataFrame([("g", 1, "a", "u1"), ("g", 1, "b", "u2"), ("g", 2, "c", "u3"), ("g", 1, "a", "u1"), (None, 3, "d", "u4")], "game string, tier int, source string, url string")
     assert {(r.game, r.url) for r in R.tier_prune(df, ["game"]).collect()} == {("g", "u1"), ("g", "u2"), (None, "u4")}
+    untiered = spark.createDataFrame([("g", None, "u1"), ("h", None, "u2"), ("h", 2, "u3")], "game string, tier int, url string").withColumn("__best", F.lit(0))
+    assert {r.url for r in R.tier_prune(untiered, ["game"]).collect()} == {"u1", "u3"} and R.tier_prune(untiered, ["game"]).columns == untiered.columns
     assert {r.game: [x.url for x in r.links] for r in R.merge_links(df, ["game"]).collect()} == {"g": ["u1", "u2", "u3"], None: ["u4"]}
     flags = spark.createDataFrame([(True, False), (None, True), (False, None)], "r boolean, d boolean")
     assert tuple(R.run_summary(flags, F.col("r"), F.col("d")).first()) == (3, 1, 1, 1, None)
@@ -219,6 +221,82 @@ def test_sinks_run_twice(spark, tmp_path):
     assert spark.read.parquet(log).count() == 6
 
 
+def test_one_batch_holds_no_duplicates(spark, tmp_path):
+    at = lambda m: T0 + dt.timedelta(minutes=m)
+    rows = [("1", "a|b", at(0)), ("2", "a|b", at(5)), ("3", "a|b", at(30)), ("4", "a|b", at(31)), ("5", "a|b", at(61)), ("6", "a|c", at(5)), ("7", " ", at(0)), ("8", " ", at(0)), ("9", None, None), ("9", None, None), ("10", "a|b", None), ("11", "a|b", at(62))]
+    kept = {r.event_id for r in R.new_in_batch(events(spark, rows)).collect()}
+    assert kept == {"1", "4", "6", "7", "8", "9", "10", "11"} and R.new_in_batch(events(spark, rows).limit(0)).count() == 0
+    event_sink(events(spark, rows), str(tmp_path / "e"), "2026-06-26")
+    assert {r.event_id for r in spark.read.parquet(str(tmp_path / "e")).collect()} == kept
+
+
+def test_blank_keys_match_nothing(spark):
+    c = spark.createDataFrame([(1, "", T0), (2, " ", T0), (3, None, T0), (4, "k", T0)], "cid long, k string, ts timestamp_ntz")
+    e = c.select(F.col("cid").alias("eid"), "k", "ts")
+    assert {r.cid for r in R.new_only(c, e, "cid", "eid", "ts", "ts", "k", "k").collect()} == {1, 2, 3}
+    assert {r.cid: r.matches for r in R.duplicate_match(c, e, "cid", "eid", "ts", "ts", "k", "k").collect()} == {1: 0, 2: 0, 3: 0, 4: 1}
+
+
+def test_clash_counts_equal_brute_force_and_make_no_pairs(spark):
+    offsets = [0, 0, 1, 59, 1799, 1800, 1801, 3600, -1800, -1801, 900, 900]
+    own = [T0 + dt.timedelta(seconds=s) for s in offsets] + [T0 + dt.timedelta(seconds=1800, microseconds=1), None]
+    c = spark.createDataFrame([*enumerate(own)], "cid long, ts timestamp_ntz")
+    e = spark.createDataFrame([(i, t) for i, t in enumerate(own) if i % 3], "eid long, ts timestamp_ntz")
+    out = R.clash_counts(c, e, "cid", "ts", "ts")
+    want = {i: sum(t is not None and x is not None and abs((t - x).total_seconds()) <= 1800 for j, x in enumerate(own) if j % 3) for i, t in enumerate(own)}
+    assert {r.cand_id: r.clashes for r in out.collect()} == want and R.clash_counts(c.limit(0), e, "cid", "ts", "ts").count() == 0
+    assert {r.clashes for r in R.clash_counts(c, e.limit(0), "cid", "ts", "ts").collect()} == {0}
+
+
+def test_links_are_audited_by_rule_probe_and_status(spark):
+    e = spark.createDataFrame([("e", "s", "t", ["https://a.de/user/x", "https://a.de/1", "https://a.de/2", "https://a.de/3", "https://a.de/4", "https://a.de/4", None])], "event_id string, source_ref string, validated_at string, links array<string>")
+    probes = spark.createDataFrame([("https://a.de/user/x", 200, None), ("https://a.de/1", 404, None), ("https://a.de/2", 204, None), ("https://a.de/4", 200, None)], "url string, http_status int, final_url string")
+    got = {r.link[-1]: (r.source_ref, r.validated_at, r.http_status, r.failed) for r in R.audit_links(e, probes, P.URL_RULES).collect()}
+    assert got == {"x": ("s", "t", 200, "legacy user address"), "1": ("s", "t", 404, "HTTP 404"), "2": ("s", "t", 204, "HTTP 204"), "3": ("s", "t", None, "HTTP error")}
+
+
+def test_parameter_tables(spark):
+    channels = {(r.channel, r.via) for r in P.approved_channels(spark).collect()}
+    assert {c for c, _ in channels if c} == set(P.CHANNELS) and ("@fiba", None) in channels and (None, "albaberlin.de") in channels
+    assert {r.reason for r in P.excluded_sources(spark).filter("source = 'DAZN'").collect()} == {"Paid subscription"}
+    assert P.vocabularies(spark).filter("vocabulary = 'paid' and term = 'Abo'").count() == 1
+
+
+def test_game_records(spark):
+    rows = [("A vs B", "BBL: x", None, T0, "https://a.de/1", True, None), (None, "ALBA vs. Ulm", " ", None, " ", None, "r")]
+    df = spark.createDataFrame(rows, "teams string, title string, league string, start_ts timestamp_ntz, url string, free_tier boolean, source_ref string")
+    a, b = D.game_record(df, "2026-06-26", P.team_aliases(spark)).orderBy("team1").collect()
+    assert (a.league, a.link, a.access, a.source_ref, a.validated_at) == ("BBL", "https://a.de/1", "free", "https://a.de/1", "2026-06-26") and a.start.endswith("+02:00")
+    assert (b.team1, b.team2, b.league, b.start, b.link, b.access, b.source_ref) == ("ALBA Berlin", "ratiopharm ulm", None, None, None, "unknown", "r")
+
+
+def test_corpora_fixtures_and_missing_documents(spark):
+    docs = spark.createDataFrame([(1, '{"skill_name": "x", "evals": []}'), (2, '{"skill_name": "WRONG", "evals": [{"id": 1}, {"id": 1}]}'), (3, "{"), (4, '{"skill_name": "x"}'), (5, None)], "i int, raw string")
+    got = {r.i: r.errors for r in V.corpus_conformance(docs, "raw", "x").collect()}
+    assert got == {1: [], 2: ["skill_name is not x: WRONG", "repeated id"], 3: ["not JSON"], 4: ["evals is no list"], 5: ["not JSON"]}
+    checks = spark.createDataFrame([("a",), ("b",), ("c",)], "check string")
+    runs = spark.createDataFrame([("a", "FAIL"), ("b", "PASS")], "check string, verdict string")
+    assert {(r.check, r.problem) for r in V.unproven_checks(checks, runs).collect()} == {("b", "its fixtures pass"), ("c", "no failing fixture")}
+    assert [r.warning for r in V.missing_documents(checks.withColumnRenamed("check", "name"), runs.select(F.col("check").alias("name"))).collect()] == ["c: document missing for reference scan"]
+
+
+def test_page_text_takes_part_in_no_exchange(spark):
+    from vetspark.plans.vetting import vet_candidates
+
+    c = spark.createDataFrame([(1, "https://a.de/x", "t", "p", "l", "A vs B", T0, True)], "cand_id long, url string, title string, page_text string, league string, teams string, start_ts timestamp_ntz, free_tier boolean")
+    probes = spark.createDataFrame([("https://a.de/x", 200, None)], "url string, http_status int, final_url string")
+    said = spark.createDataFrame([("a|b", T0.date())], "pair_key string, local_date date")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = vet_candidates(c, probes, said, "2026-06-26")._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    lines = plan.split("\n")
+    lowest_join = max(i for i, line in enumerate(lines) if "Join" in line)
+    assert any("page_text" in line for line in lines) and not any("page_text" in line for line in lines[: lowest_join + 1])
+
+
 def test_stream_adds_nothing_twice(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     events(spark, [("1", "a|b", T0)]).write.parquet(source)
@@ -289,5 +367,5 @@ def test_gate_quota_and_platform(spark):
     df = spark.createDataFrame([(1, "k", True, "x.joyn.de"), (2, "z", True, "amazon.de"), (3, None, False, "a.de"), (4, None, True, None)], "i long, k string, g boolean, host string")
     said = spark.createDataFrame([("k",), (None,), ("k",)], "k string")
     assert [r.announced for r in C.announcement_gate(df, said, F.col("g"), ["k"]).orderBy("i").collect()] == [True, False, True, False]
-    assert [r.platform_free for r in C.platform_rule(df, P.FREE_PLATFORMS, "i").orderBy("i").collect()] == [True, False, None, None]
+    assert [r.platform_free for r in C.platform_rule(df, P.FREE_PLATFORMS).orderBy("i").collect()] == [True, False, None, None]
     assert [tuple(r) for r in C.quota_violation(df, ["g"]).collect()] == [(True, 3)]

@@ -5,13 +5,25 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: How umlauts are written without them.
 UMLAUTS = {"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss"}
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names for intermediate results that ``df`` doesn't have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        n = f"__{n}"
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def text_or_empty(x: Column) -> Column:
     return F.coalesce(x.cast("string"), F.lit(""))
 

@@ -39,6 +39,11 @@ APPROVED = {
 # Approved channels on a video site, by the first part of the path.
 CHANNELS = ["@fiba", "@bbl_basketball", "@EuroLeague", "user/TheDBBTV"]
 CHANNEL_HOSTS = ["youtube.com", "youtu.be"]
+# Whose channels they are (tier 6), and who is found through a site of tier 5 instead.
+CHANNEL_NAMES = {"@fiba": "FIBA (official)", "user/TheDBBTV": "DBB - Deutscher Basketball Bund", "@bbl_basketball": "Basketball Bundesliga", "@EuroLeague": "EuroLeague"}
+CHANNEL_VIA = {"ALBA Berlin": "albaberlin.de", "FC Bayern Basketball": "fcbayern.com"}
+# Excluded sources and why.
+EXCLUDED = {"Sky Sport": "Paid subscription", "DAZN": "Paid subscription", "Sport1+": "Paid", "Amazon Prime (general)": "Paid (Dyn Sport Mix free tier only)", "Pirate/aggregator sites": "Unofficial", "Third-party stream sites": "Unofficial"}
 # Vocabularies of the checks.
 PAID_TERMS = ["Abo", "kostenpflichtig", "pay-per-view", "subscription", "mit MagentaSport Abo", "nur für Abonnenten", "Login erforderlich", "Registration required"]
 PAID_BRANDS = ["Sky", "DAZN", "Prime", "Sport1+"]
@@ -81,5 +86,22 @@ def approved_sources(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([*rows], "tier int, name string, domain string")
 
 
+def approved_channels(spark: SparkSession) -> DataFrame:
+    """(tier, name, host, channel, via): the channels of tier 6; ``via`` is the site that links to a channel whose address isn't listed."""
+    listed = [(6, CHANNEL_NAMES[c], CHANNEL_HOSTS[0], c, None) for c in CHANNELS]
+    return spark.createDataFrame([*listed, *((6, name, CHANNEL_HOSTS[0], None, site) for name, site in CHANNEL_VIA.items())], "tier int, name string, host string, channel string, via string")
+
+
+def excluded_sources(spark: SparkSession) -> DataFrame:
+    """(source, reason)."""
+    return spark.createDataFrame([*EXCLUDED.items()], "source string, reason string")
+
+
+def vocabularies(spark: SparkSession) -> DataFrame:
+    """(vocabulary, term): the words of every check, a row each."""
+    own = {"paid": PAID_TERMS, "paid_brand": PAID_BRANDS, "free": FREE_TERMS, "replay": REPLAY_TERMS, "live": LIVE_TERMS, "topic": TOPIC_TERMS, "other_topic": OTHER_TOPICS}
+    return spark.createDataFrame([(name, term) for name, terms in own.items() for term in terms], "vocabulary string, term string")
+
+
 def team_aliases(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([*TEAM_ALIASES.items()], "alias string, canonical string")

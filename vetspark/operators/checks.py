@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import params as P
-from ..functions.columns import fold, fold_text, has_word, host_suffixes, text_or_empty, to_local, word_pattern
+from ..functions.columns import fold, fold_text, fresh, has_word, host_suffixes, text_or_empty, to_local, word_pattern
 
 PASS, FAIL, NA = "PASS", "FAIL", "N/A"
 CHECKS = ("freeAccess", "liveContent", "officialSource", "topic", "dateTimeRange", "workingLink", "directStream")
@@ -21,10 +21,16 @@ def result(reason: Column) -> Column:
 
 
 def keyword_hits(text: Column, words: Sequence[str], folded: bool = False) -> Column:
-    """Array of the words that stand in the text as whole words, in the order given."""
+    """Array of the words that stand in the text as whole words, in the order given.
+
+    One pass over the text finds whether any does; only texts that hold one are looked through word by word.
+    """
+    none = F.array().cast("array<string>")
+    if not words:
+        return none
     subject = fold_text(text) if folded else text
     one = [F.when(subject.rlike(word_pattern([fold(w) if folded else w])), F.lit(w)) for w in words]
-    return F.filter(F.array(*one), lambda x: x.isNotNull()) if words else F.array().cast("array<string>")
+    return F.when(has_word(text, words, folded), F.filter(F.array(*one), lambda x: x.isNotNull())).otherwise(none)
 
 
 def without_phrases(text: Column, phrases: Sequence[str]) -> Column:
@@ -38,9 +44,9 @@ def without_phrases(text: Column, phrases: Sequence[str]) -> Column:
 def check_free_access(text: Column, free_flag: Column | None = None, paid: Sequence[str] = tuple(P.PAID_TERMS), brands: Sequence[str] = tuple(P.PAID_BRANDS), free: Sequence[str] = tuple(P.FREE_TERMS), price: str | None = r"\d+([.,]\d\d)?\s*(€|eur\b|euro\b)") -> Column:
     """Fails on a paid term that no free phrase contains, a paid brand, a price, or a flag that isn't set; else needs a flag or a free term."""
     t = text_or_empty(text)
-    rest = without_phrases(t, free)
+    rest = without_phrases(t, free)  # only looked at where a paid term stands at all: blanking makes no new words
     flag = F.lit(None).cast("boolean") if free_flag is None else free_flag
-    reason = F.when(has_word(rest, [fold(w) for w in paid]), "paid term").when(has_word(t, brands, folded=True), "paid brand")
+    reason = F.when(has_word(t, paid, folded=True) & has_word(rest, [fold(w) for w in paid]), "paid term").when(has_word(t, brands, folded=True), "paid brand")
     if price:
         reason = reason.when(fold_text(t).rlike(price), "price")
     reason = reason.when(flag == F.lit(False), "not free").when(~F.coalesce(flag, F.lit(False)) & ~has_word(t, free, folded=True), "no sign of free access")
@@ -53,16 +59,18 @@ def check_live_content(text: Column, scheduled: Column | None = None, live: Sequ
     return result(F.when(has_word(text, replay, folded=True), "replay").when(~has_word(text, live, folded=True) & ~ahead, "not live"))
 
 
-def match_domains(df: DataFrame, domains: DataFrame, key: str, host: str = "host", domain: str = "domain", out: str = "matched") -> DataFrame:
+def match_domains(df: DataFrame, domains: DataFrame, host: str = "host", domain: str = "domain", out: str = "matched") -> DataFrame:
     """Adds ``out``: the row of ``domains`` whose domain is the host or the longest one above it, null if none.
 
-    The host's suffixes are exploded and joined by equality to the small table of domains, one row each (the
-    smallest of rows that repeat a domain).  ``key`` identifies rows; rows that repeat it count once in the look-up.
+    The suffixes of the distinct hosts are exploded and joined by equality to the domains, one row each (the
+    smallest of rows that repeat a domain); what is found goes back by host.  Spark broadcasts either table where its size allows.
     """
-    dim = domains.groupBy(F.col(domain).alias("__suffix")).agg(F.min(F.struct(*domains.columns)).alias("__row"))
-    suffixes = df.select(F.col(key).alias("__key"), F.explode(host_suffixes(F.col(host))).alias("__suffix"))
-    best = suffixes.join(F.broadcast(dim), "__suffix").groupBy("__key").agg(F.max_by("__row", F.length("__suffix")).alias(out))
-    return df.join(best, F.col(key) == F.col("__key"), "left").drop("__key")
+    own, suffix, row = fresh(df, "host", "suffix", "row")
+    dim = domains.groupBy(F.col(domain).alias(suffix)).agg(F.min(F.struct(*domains.columns)).alias(row))
+    hosts = df.select(F.col(host).alias(own)).filter(F.col(own).isNotNull()).distinct()
+    suffixes = hosts.select(own, F.explode(host_suffixes(F.col(own))).alias(suffix))
+    best = suffixes.join(dim, suffix).groupBy(own).agg(F.max_by(row, F.length(suffix)).alias(out))
+    return df.join(best, F.col(host) == F.col(own), "left").drop(own)
 
 
 def check_official_source(host: Column, path: Column, matched: Column, channels: Sequence[str] = tuple(P.CHANNELS), channel_hosts: Sequence[str] = tuple(P.CHANNEL_HOSTS)) -> Column:
@@ -105,18 +113,19 @@ def check_direct_stream(html: Column, scheduled: Column | None = None, evidence:
     return result(F.when(html.isNull(), "page unreadable").when(~html.rlike(evidence) & ~ahead, "no stream on the page"))
 
 
-def platform_rule(df: DataFrame, platforms: Mapping[str, bool], key: str, host: str = "host") -> DataFrame:
+def platform_rule(df: DataFrame, platforms: Mapping[str, bool], host: str = "host") -> DataFrame:
     """Adds ``platform_free``: what the table says of the row's domain, null where it says nothing."""
     table = df.sparkSession.createDataFrame([*platforms.items()], "domain string, free boolean")
-    return match_domains(df, table, key, host, out="__platform").withColumn("platform_free", F.col("__platform.free")).drop("__platform")
+    (found,) = fresh(df, "platform")
+    return match_domains(df, table, host, out=found).withColumn("platform_free", F.col(f"{found}.free")).drop(found)
 
 
 def announcement_gate(df: DataFrame, announcements: DataFrame, gated: Column, on: Sequence[str]) -> DataFrame:
     """Adds ``announced``: true where the row isn't ``gated`` or an announcement has its keys; null keys match nothing."""
-    keys = announcements.select(*[F.col(c).alias(f"__{c}") for c in on]).dropna().distinct().withColumn("__hit", F.lit(True))
-    cond = [F.col(c) == F.col(f"__{c}") for c in on]
-    out = df.join(keys, cond, "left")
-    return out.withColumn("announced", ~F.coalesce(gated, F.lit(False)) | F.col("__hit").isNotNull()).drop("__hit", *[f"__{c}" for c in on])
+    hit, *names = fresh(df, "hit", *on)
+    keys = announcements.select(*[F.col(c).alias(n) for c, n in zip(on, names, strict=True)]).dropna().distinct().withColumn(hit, F.lit(True))
+    out = df.join(keys, [F.col(c) == F.col(n) for c, n in zip(on, names, strict=True)], "left")
+    return out.withColumn("announced", ~F.coalesce(gated, F.lit(False)) | F.col(hit).isNotNull()).drop(hit, *names)
 
 
 def quota_violation(df: DataFrame, group: Sequence[str | Column], most: int = 1) -> DataFrame:

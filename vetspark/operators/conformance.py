@@ -7,11 +7,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import strip
+from ..functions.columns import fresh, strip
 from .scoring import kind_of
 
-#: What marks an identifier as a placeholder.
+# Fixed value: what marks an identifier as a placeholder.
 PLACEHOLDERS = r"(?i)YOUR_|HERE|TODO|FIXME|XXX|\.\.\.|placeholder|example|sample"
+# Fixed value: the form of a calendar's identifier.
 CALENDAR_ID = r"(?i)^[a-f0-9]{64}@group\.calendar\.google\.com$"
 
 
@@ -41,6 +42,17 @@ def record_conformance(df: DataFrame, raw: str, required: Sequence[str], types:
     return df.withColumn("errors", out)
 
 
+def corpus_conformance(df: DataFrame, raw: str, name: str | None, field: str = "evals", name_key: str = "skill_name") -> DataFrame:
+    """Adds ``errors`` of a JSON document that holds an array of records: not JSON; another name than ``name``; ``field`` is no list; the same ``id`` twice."""
+    v = F.try_parse_json(F.col(raw))
+    own = F.try_variant_get(v, f"$.{name_key}", "string")
+    items = F.try_variant_get(v, f"$.{field}", "array<variant>")
+    ids = F.filter(F.transform(items, lambda x: F.try_variant_get(x, "$.id", "string")), lambda x: x.isNotNull())
+    other = F.when(~own.eqNullSafe(F.lit(name)), F.concat(F.lit(f"{name_key} is not {name}: "), F.coalesce(own, F.lit("missing")))) if name is not None else F.lit(None).cast("string")
+    found = [other, F.when(items.isNull(), f"{field} is no list"), F.when(F.size(F.array_distinct(ids)) < F.size(ids), "repeated id")]
+    return df.withColumn("errors", F.when(v.isNull(), F.array(F.lit("not JSON"))).otherwise(errors(found)))
+
+
 def document_conformance(
     df: DataFrame, text: str, expected_name: str | None, required_keys: Sequence[str] = ("name", "description", "version", "category"), headings: Sequence[str] = (),
     max_name: int = 64, max_description: int = 1024, max_compatibility: int = 500, max_lines: int = 250, name_pattern: str = r"^[a-z0-9]+(-[a-z0-9]+)*$",
@@ -79,6 +91,13 @@ def dangling_references(references: DataFrame, known: DataFrame, reference: str
     return references.select(F.col(reference).alias("reference")).filter("reference is not null").distinct().join(known.select(F.col(target).alias("reference")).distinct(), "reference", "left_anti")
 
 
+def missing_documents(wanted: DataFrame, documents: DataFrame, name: str = "name") -> DataFrame:
+    """(name, warning): documents that are to be scanned for references and aren't there.  A warning, not an error: the others are scanned all the same."""
+    there = documents.select(F.col(name).alias("name")).distinct()
+    absent = wanted.select(F.col(name).alias("name")).filter("name is not null").distinct().join(there, "name", "left_anti")
+    return absent.select("name", F.concat("name", F.lit(": document missing for reference scan")).alias("warning"))
+
+
 def path_references(df: DataFrame, text: str, pattern: str = r"`([\w/.-]+\.md)`") -> DataFrame:
     """(reference): every back-quoted path with a slash that a text names."""
     found = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1))
@@ -101,6 +120,14 @@ def missing_fields(fields: Mapping[str, Column]) -> Column:
 
 def conformance_verdict(registry: DataFrame, found: DataFrame, check: str = "check") -> DataFrame:
     """(check, n_errors, verdict) for every registered check, also those that found nothing."""
-    n = found.groupBy(F.col(check).alias("__check")).agg(F.count("*").alias("__n"))
-    out = registry.select(check).distinct().join(n, F.col(check) == F.col("__check"), "left")
-    return out.select(check, F.coalesce("__n", F.lit(0)).alias("n_errors"), F.when(F.col("__n") > 0, "FAIL").otherwise("PASS").alias("verdict"))
+    own, n = fresh(registry, "check", "n")
+    counts = found.groupBy(F.col(check).alias(own)).agg(F.count("*").alias(n))
+    out = registry.select(check).distinct().join(counts, F.col(check) == F.col(own), "left")
+    return out.select(check, F.coalesce(n, F.lit(0)).alias("n_errors"), F.when(F.col(n) > 0, "FAIL").otherwise("PASS").alias("verdict"))
+
+
+def unproven_checks(registry: DataFrame, fixtures: DataFrame, check: str = "check", verdict: str = "verdict") -> DataFrame:
+    """(check, problem): registered checks that no fixture makes fail.  ``fixtures``: one row per fixture run, with the check it is for and its verdict."""
+    runs = fixtures.groupBy(F.col(check).alias("check")).agg(F.bool_or(F.col(verdict) == "FAIL").alias("failed"))
+    out = registry.select(F.col(check).alias("check")).filter("check is not null").distinct().join(runs, "check", "left")
+    return out.filter(~F.coalesce("failed", F.lit(False))).select("check", F.when(F.col("failed").isNull(), "no failing fixture").otherwise("its fixtures pass").alias("problem"))

@@ -8,14 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import params as P
-from ..functions.columns import end_time, fold_text, iso_offset, pair_key, strip, text_or_empty, to_local
+from ..functions.columns import end_time, fold_text, fresh, iso_offset, pair_key, strip, text_or_empty, to_local
 
 
 def normalise(df: DataFrame, column: str, aliases: DataFrame, out: str | None = None) -> DataFrame:
     """Replaces aliases by canonical names, compared folded; unknown names stay.  Of several canonical names the smallest counts."""
-    dim = aliases.groupBy(strip(fold_text(F.col("alias"))).alias("__alias")).agg(F.min("canonical").alias("__canonical"))
-    joined = df.join(F.broadcast(dim), strip(fold_text(F.col(column))) == F.col("__alias"), "left")
-    return joined.withColumn(out or column, F.coalesce("__canonical", column)).drop("__alias", "__canonical")
+    alias, canonical = fresh(df, "alias", "canonical")
+    dim = aliases.groupBy(strip(fold_text(F.col("alias"))).alias(alias)).agg(F.min("canonical").alias(canonical))
+    joined = df.join(dim, strip(fold_text(F.col(column))) == F.col(alias), "left")
+    return joined.withColumn(out or column, F.coalesce(canonical, column)).drop(alias, canonical)
 
 
 def split_pair(text: Column, separator: str = r"\s+vs\.?\s+") -> Column:
@@ -28,12 +29,27 @@ def split_pair(text: Column, separator: str = r"\s+vs\.?\s+") -> Column:
 def extract_game(df: DataFrame, aliases: DataFrame | None = None, teams: str = "teams", title: str = "title") -> DataFrame:
     """Adds team1, team2 (canonical if ``aliases`` are given) and pair_key, from the teams or else the title."""
     both = F.coalesce(F.nullif(strip(F.col(teams)), F.lit("")), F.col(title))
-    out = df.withColumn("__pair", split_pair(both)).withColumns({"team1": F.col("__pair.first"), "team2": F.col("__pair.second")}).drop("__pair")
+    (pair,) = fresh(df, "pair")
+    out = df.withColumn(pair, split_pair(both)).withColumns({"team1": F.col(f"{pair}.first"), "team2": F.col(f"{pair}.second")}).drop(pair)
     for t in ("team1", "team2") if aliases is not None else ():
         out = normalise(out, t, aliases)
     return out.withColumn("pair_key", pair_key(F.col("team1"), F.col("team2")))
 
 
+def game_record(df: DataFrame, validated_at: str, aliases: DataFrame | None = None, tz: str = P.TIMEZONE, teams: str = "teams", title: str = "title", league: str = "league", start: str = "start_ts", link: str = "url", free: str = "free_tier", source_ref: str = "source_ref") -> DataFrame:
+    """Adds what is taken down of a game: teams and pair_key as :func:`extract_game`, and league, start, link, access, source_ref, validated_at.
+
+    ``league``: stripped, or else the title's beginning up to a colon; ``start`` as ISO 8601 with its offset in ``tz``; ``access``:
+    ``free`` or ``restricted`` by the flag, ``unknown`` without; ``source_ref``: the link where none is given.  Blanks are null.
+    """
+    said = lambda c: F.nullif(strip(F.col(c).cast("string")), F.lit(""))
+    reference = F.coalesce(said(source_ref), said(link)) if source_ref in df.columns else said(link)
+    return extract_game(df, aliases, teams, title).withColumns({
+        "league": F.coalesce(said(league), F.nullif(strip(F.regexp_extract(F.col(title), r"^([^:]+):", 1)), F.lit(""))), "start": iso_offset(F.col(start), tz), "link": said(link),
+        "access": F.when(F.col(free), "free").when(~F.col(free), "restricted").otherwise("unknown"), "source_ref": reference, "validated_at": F.lit(validated_at),
+    })
+
+
 def event_colour(league: Column, event_type: Column, strict: bool = False) -> Column:
     """Colour of an event: internationals, finals of the cup leagues, everything else.
 

@@ -2,26 +2,35 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import fresh
+from ..functions.params import UrlRule
+from .checks import check_working_link
+from .urls import probe_verdict, url_rule_verdict
+
 MINUTES = 30
 
 
 def tier_prune(df: DataFrame, entity: Sequence[str], tier: str = "tier") -> DataFrame:
-    """Per entity the rows of the smallest tier, ties and all.
+    """Per entity the rows of the smallest tier, ties and all; a null tier is the last, so that an entity without any keeps its rows.
 
     The best tier per entity is aggregated before it is joined, so that an entity with many rows doesn't meet in one task.
     """
-    best = df.groupBy(*[F.col(c).alias(f"__{c}") for c in entity]).agg(F.min(tier).alias("__best"))
-    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in entity]
-    return df.join(best, [*same, F.col(tier) == F.col("__best")], "left_semi")
+    names = fresh(df, *entity, "best")
+    best = df.groupBy(*[F.col(c).alias(n) for c, n in zip(entity, names, strict=False)]).agg(F.min(tier).alias(names[-1]))
+    same = [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(entity, names, strict=False)]
+    return df.join(best, [*same, F.col(tier).eqNullSafe(F.col(names[-1]))], "left_semi")
 
 
 def merge_links(df: DataFrame, entity: Sequence[str | Column], tier: str = "tier", source: str = "source", url: str = "url") -> DataFrame:
-    """One row per entity with ``links``: its distinct (tier, source, url), best tier first."""
+    """One row per entity with ``links``: its distinct (tier, source, url), best tier first.
+
+    All links of an entity meet in one row, as the result asks; bind it to entities that are small, such as games.
+    """
     return df.groupBy(*entity).agg(F.sort_array(F.collect_set(F.struct(F.col(tier).alias("tier"), F.col(source).alias("source"), F.col(url).alias("url")))).alias("links"))
 
 
@@ -34,12 +43,14 @@ def close_pairs(candidates: DataFrame, existing: DataFrame, cand_id: str, event_
 
     Starts are put in buckets of that length; the existing side is listed in
     its own and both neighbouring buckets, so that the join is by equality and every pair comes once.  With keys, both sides
-    must have the same, and null matches nothing.
+    must have the same, and a null or blank key matches nothing.
     """
     width = minutes * 60_000_000
+    filled = lambda df, k: df.filter(F.trim(F.col(k).cast("string")) != "")
     bucket = lambda x: F.floor(F.unix_micros(x.cast("timestamp_ntz").cast("timestamp")) / width)
-    left = candidates.select(F.col(cand_id).alias("cand_id"), F.col(start).alias("a"), (F.col(key) if key else F.lit(0)).alias("k")).filter("a is not null and k is not null")
-    right = existing.select(F.col(event_id).alias("event_id"), F.col(existing_start).alias("b"), (F.col(existing_key) if existing_key else F.lit(0)).alias("k2")).filter("b is not null and k2 is not null")
+    left = candidates.select(F.col(cand_id).alias("cand_id"), F.col(start).alias("a"), (F.col(key) if key else F.lit(0)).alias("k")).filter("a is not null")
+    right = existing.select(F.col(event_id).alias("event_id"), F.col(existing_start).alias("b"), (F.col(existing_key) if existing_key else F.lit(0)).alias("k2")).filter("b is not null")
+    left, right = filled(left, "k"), filled(right, "k2")
     left = left.withColumn("slot", bucket(F.col("a")))
     right = right.withColumn("slot2", F.explode(F.sequence(bucket(F.col("b")) - 1, bucket(F.col("b")) + 1)))
     cond = (F.col("slot") == F.col("slot2")) & (_seconds(F.col("a"), F.col("b")) <= width)
@@ -51,15 +62,66 @@ def close_pairs(candidates: DataFrame, existing: DataFrame, cand_id: str, event_
 def duplicate_match(candidates: DataFrame, existing: DataFrame, cand_id: str, event_id: str, start: str, existing_start: str, key: str | None = None, existing_key: str | None = None, minutes: int = MINUTES) -> DataFrame:
     """Candidates with ``matched_event`` (the closest, then lowest, null if none) and ``matches``, how many there are."""
     pairs = close_pairs(candidates, existing, cand_id, event_id, start, existing_start, key, existing_key, minutes)
-    best = pairs.groupBy("cand_id").agg(F.min(F.struct("gap", "event_id")).alias("__best"), F.count("*").alias("matches"))
-    out = candidates.join(best.withColumnRenamed("cand_id", "__cand"), F.col(cand_id) == F.col("__cand"), "left")
-    return out.withColumn("matched_event", F.col("__best.event_id")).withColumn("matches", F.coalesce("matches", F.lit(0))).drop("__cand", "__best")
+    best, cand = fresh(candidates, "best", "cand")
+    found = pairs.groupBy(F.col("cand_id").alias(cand)).agg(F.struct(F.min(F.struct("gap", "event_id")).alias("least"), F.count("*").alias("n")).alias(best))
+    out = candidates.join(found, F.col(cand_id) == F.col(cand), "left")
+    return out.withColumns({"matched_event": F.col(f"{best}.least.event_id"), "matches": F.coalesce(F.col(f"{best}.n"), F.lit(0))}).drop(cand, best)
+
+
+def clash_counts(candidates: DataFrame, existing: DataFrame, cand_id: str, start: str, existing_start: str, minutes: int = MINUTES) -> DataFrame:
+    """(cand_id, clashes): how many existing events start at most ``minutes`` from each candidate, whatever their keys; no pairs are made.
+
+    A candidate's count is the number of events before the end of its window less the number before its beginning.  Those numbers are
+    running sums over the distinct instants of both sides, taken inside seconds, over the seconds of a slot and over the slots
+    (one short row per half hour), so that no slot or instant, however full, meets in one task.  A candidate without
+    start has 0.  ``cand_id`` must be unique.
+    """
+    width, second = minutes * 60_000_000, 1_000_000
+    micros = lambda x: F.unix_micros(x.cast("timestamp_ntz").cast("timestamp"))
+    before = lambda w: F.coalesce(F.sum("n").over(w), F.lit(0))
+    asked = candidates.select(F.col(cand_id).alias("cand_id"), micros(F.col(start)).alias("a")).filter("a is not null")
+    ends = F.array(F.struct((F.col("a") - width).alias("t"), F.lit(-1).alias("sign")), F.struct((F.col("a") + width + 1).alias("t"), F.lit(1).alias("sign")))
+    edges = asked.select("cand_id", F.inline(ends))
+    points = existing.select(micros(F.col(existing_start)).alias("t"), F.lit(1).alias("n")).filter("t is not null").unionByName(edges.select("t", F.lit(0).alias("n")))
+    points = points.groupBy("t").agg(F.sum("n").alias("n")).withColumn("second", F.floor(F.col("t") / second))
+    seconds = points.groupBy("second").agg(F.sum("n").alias("n")).withColumn("slot", F.floor(F.col("second") / 1800))
+    slots = seconds.groupBy("slot").agg(F.sum("n").alias("n"))
+    until = lambda order, *by: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    slots = slots.select("slot", before(until("slot")).alias("of_slots"))
+    seconds = seconds.withColumn("of_seconds", before(until("second", "slot"))).join(slots, "slot").select("second", (F.col("of_seconds") + F.col("of_slots")).alias("earlier"))
+    points = points.withColumn("inside", before(until("t", "second"))).join(seconds, "second").select("t", (F.col("earlier") + F.col("inside")).alias("below"))
+    n = edges.join(points, "t").groupBy("cand_id").agg(F.sum(F.col("sign") * F.col("below")).alias("clashes"))
+    return candidates.select(F.col(cand_id).alias("cand_id")).join(n, "cand_id", "left").withColumn("clashes", F.coalesce("clashes", F.lit(0)))
 
 
 def new_only(candidates: DataFrame, existing: DataFrame, cand_id: str, event_id: str, start: str, existing_start: str, key: str | None = None, existing_key: str | None = None, minutes: int = MINUTES) -> DataFrame:
     """Candidates that no existing event matches; a null or blank key matches nothing."""
     pairs = close_pairs(candidates, existing, cand_id, event_id, start, existing_start, key, existing_key, minutes)
-    return candidates.join(pairs.select(F.col("cand_id").alias("__cand")), F.col(cand_id) == F.col("__cand"), "left_anti")
+    (cand,) = fresh(candidates, "cand")
+    return candidates.join(pairs.select(F.col("cand_id").alias(cand)), F.col(cand_id) == F.col(cand), "left_anti")
+
+
+def new_in_batch(events: DataFrame, event_id: str = "event_id", start: str = "start_ts", key: str = "pair_key", minutes: int = MINUTES) -> DataFrame:
+    """Events of a batch without those that another of the batch makes duplicates, by id and by pair.
+
+    Of rows that repeat an id the earliest stays (then by key and the rest of the row).  In the order of starts, an event
+    goes if one of its pair that stays starts at most ``minutes`` before it.  Events without start, or with a null or blank
+    key, go by their id only.  A pair's events are followed in chains whose gaps are ``minutes`` at most, never a whole pair at once.
+    """
+    gap, chain, kept, n = fresh(events, "gap", "chain", "kept", "n")
+    rest = F.to_json(F.struct(*[F.col(f"`{c}`") for c in events.columns]))
+    df = events.withColumn(n, F.row_number().over(Window.partitionBy(event_id).orderBy(F.col(start).asc_nulls_last(), F.col(key).asc_nulls_last(), rest)))
+    df = df.filter(F.col(n) == 1).drop(n)
+    filled = F.coalesce((F.trim(F.col(key).cast("string")) != "") & F.col(start).isNotNull(), F.lit(False))
+    order = Window.partitionBy(key).orderBy(start, event_id)
+    width = minutes * 60_000_000
+    far = F.coalesce(_seconds(F.col(start), F.lag(start).over(order)) > width, F.lit(True))
+    own = df.filter(filled).select(event_id, key, start, far.cast("int").alias(gap)).withColumn(chain, F.sum(gap).over(order))
+    later = lambda acc, x: F.when(F.coalesce(_seconds(x["at"], F.element_at(acc, -1)["at"]) > width, F.lit(True)), F.concat(acc, F.array(x))).otherwise(acc)
+    rows = F.sort_array(F.collect_list(F.struct(F.col(start).alias("at"), F.col(event_id).alias("id"))))
+    groups = own.groupBy(key, chain).agg(rows.alias(kept))
+    stay = groups.select(F.inline(F.aggregate(F.slice(kept, 2, F.size(kept)), F.slice(kept, 1, 1), later))).select(F.col("id").alias(kept))
+    return df.join(stay, filled & (F.col(event_id) == F.col(kept)), "left").filter(~filled | F.col(kept).isNotNull()).drop(kept)
 
 
 def results_table(created: DataFrame, skipped: DataFrame, columns: Sequence[str], event: str = "event_id") -> DataFrame:
@@ -69,10 +131,17 @@ def results_table(created: DataFrame, skipped: DataFrame, columns: Sequence[str]
     return made.unionByName(left)
 
 
-def run_summary(df: DataFrame, rejected: Column, duplicate: Column, none_found: str = "no streams found", none_passed: str = "found {n} candidates, none passed") -> DataFrame:
-    """One row: found, rejected, duplicates, created, and the message if nothing came of it; also for no rows."""
+def run_summary(df: DataFrame, rejected: Column, duplicate: Column, none_found: str = "no streams found", none_passed: str = "found {n} candidates, none passed", stages: Mapping[str, Column] | None = None) -> DataFrame:
+    """One row: found, rejected, duplicates, created, and the message if nothing came of it; also for no rows.
+
+    ``stages``: conditions in order; ``rejected_<name>`` counts the rows that a stage is the first to reject.
+    """
     r, d = F.coalesce(rejected, F.lit(False)), F.coalesce(duplicate, F.lit(False))
-    out = df.agg(F.count("*").alias("found"), F.count_if(r).alias("rejected"), F.count_if(~r & d).alias("duplicates"), F.count_if(~r & ~d).alias("created"))
+    first = F.lit(None).cast("string")
+    for name, c in reversed((stages or {}).items()):
+        first = F.when(F.coalesce(c, F.lit(False)), name).otherwise(first)
+    per_stage = [F.count_if(F.coalesce(first == name, F.lit(False))).alias(f"rejected_{name}") for name in stages or {}]
+    out = df.agg(F.count("*").alias("found"), F.count_if(r).alias("rejected"), F.count_if(~r & d).alias("duplicates"), F.count_if(~r & ~d).alias("created"), *per_stage)
     before, _, after = none_passed.partition("{n}")
     message = F.when(F.col("found") == 0, none_found).when(F.col("found") == F.col("rejected"), F.concat(F.lit(before), F.col("found").cast("string"), F.lit(after)))
     return out.withColumn("message", message)
@@ -86,6 +155,20 @@ def audit_published(events: DataFrame, verdict: Column, keys: Sequence[str], lin
     return events.select(*keys, F.explode(links).alias("link")).withColumn("failed", verdict).filter("failed is not null").select(*keys, "link", "failed")
 
 
+def audit_links(events: DataFrame, probes: DataFrame, rules: Sequence[UrlRule], keys: Sequence[str] = ("event_id", "source_ref", "validated_at"), links: str = "links") -> DataFrame:
+    """Links of published events that fail the URL rules, the probe or the exact check for 200: ``keys``, link, http_status, failed.
+
+    The rules come first; then a missing probe, a status other than 200, and a redirect to a wall.  ``probes``: url, http_status,
+    final_url, as for :func:`probe_verdict`.  Each event names a link once; null links don't count.
+    """
+    each = events.select(*keys, F.explode(F.array_distinct(links)).alias("link")).filter("link is not null")
+    probed = probe_verdict(each, probes.withColumnRenamed("url", "link"), on="link")
+    rule = url_rule_verdict(F.col("link"), rules)
+    link = check_working_link(F.col("http_status"), rule["valid"], F.col("probe.final_url"))
+    return probed.withColumn("failed", F.coalesce(rule["reason"], link["reason"])).filter("failed is not null").select(*keys, "link", "http_status", "failed")
+
+
 def best_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:
     """The first ``n`` rows of each group; the order must leave no ties."""
-    return df.withColumn("__n", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col("__n") <= n).drop("__n")
+    (at,) = fresh(df, "n")
+    return df.withColumn(at, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col(at) <= n).drop(at)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,11 +30,20 @@ def parse_expected(text: Column) -> Column:
     return F.struct(get(r"Decision=(\w+)").alias("decision"), get(r"reason=([^;]*)").alias("reason"), found.alias("checks"), F.coalesce(text.rlike("all PASS"), F.lit(False)).alias("all_pass"))
 
 
-def assertion_needles(cases: DataFrame, case_id: str = "id", assertions: str = "assertions", pattern: str = r"^(\S+)\s+expected\s+(PASS|FAIL)$") -> DataFrame:
+#: An assertion, and how its parts are read.
+ASSERTION = r"^(\S+)\s+expected\s+(PASS|FAIL)$"
+
+
+def needle_of(assertion: Column, pattern: str = ASSERTION) -> Column:
+    """``name=STATUS`` of an assertion, null if it is malformed."""
+    a = strip(assertion)
+    return F.when(a.rlike(pattern), F.concat(F.regexp_extract(a, pattern, 1), F.lit("="), F.regexp_extract(a, pattern, 2)))
+
+
+def assertion_needles(cases: DataFrame, case_id: str = "id", assertions: str = "assertions", pattern: str = ASSERTION) -> DataFrame:
     """One row per assertion: (id, assertion, needle ``name=STATUS``); a malformed one has no needle, a case without any has one row of nulls."""
     out = cases.select(F.col(case_id).alias("id"), F.explode_outer(assertions).alias("assertion"))
-    a = strip(F.col("assertion"))
-    return out.withColumn("needle", F.when(a.rlike(pattern), F.concat(F.regexp_extract(a, pattern, 1), F.lit("="), F.regexp_extract(a, pattern, 2))))
+    return out.withColumn("needle", needle_of(F.col("assertion"), pattern))
 
 
 def score_cases(cases: DataFrame, outputs: DataFrame, case_id: str = "id", expected: str = "expected_output", assertions: str | None = "assertions", key: str = "key", output: str = "output") -> DataFrame:
@@ -40,19 +51,15 @@ def score_cases(cases: DataFrame, outputs: DataFrame, case_id: str = "id", expec
 
     Keys are read as whole numbers; others match nothing.  Texts are compared stripped.  Of several outputs of a case the largest counts; extra outputs don't.
     """
-    said = outputs.select(try_int(F.col(key)).alias("__key"), F.col(output).alias("__output")).filter("__key is not null").groupBy("__key").agg(F.max("__output").alias("__output"))
-    needles = assertion_needles(cases, case_id, assertions) if assertions else None
-    out = cases.select(F.col(case_id).alias("id"), F.col(expected).alias("__expected")).join(said, F.col("id") == F.col("__key"), "left")
-    out = out.withColumn("why", F.when(F.col("__output").isNull(), "no output").when(strip(F.col("__output")) != strip(F.col("__expected")), "output differs"))
-    n = F.lit(0).cast("long")
-    if needles is not None:
-        bad = F.col("needle").isNull() & F.col("assertion").isNotNull()
-        joined = needles.join(said, F.col("id") == F.col("__key"), "left")
-        found = joined.groupBy(F.col("id").alias("__case")).agg(F.count("assertion").alias("__n"), F.bool_or(bad).alias("__bad"), F.bool_and(F.col("assertion").isNull() | F.coalesce(F.col("__output").contains(F.col("needle")), F.lit(False))).alias("__all"))
-        out = out.join(found, F.col("id") == F.col("__case"), "left")
-        out = out.withColumn("why", F.coalesce("why", F.when(F.col("__bad"), "malformed assertion").when(~F.col("__all"), "assertion not met")))
-        n = F.coalesce("__n", F.lit(0))
-    return out.select("id", F.col("why").isNull().alias("passed"), "why", n.alias("n_assertions"))
+    said = outputs.select(try_int(F.col(key)).alias("key"), F.col(output).alias("output")).filter("key is not null").groupBy("key").agg(F.max("output").alias("output"))
+    own = F.col(assertions) if assertions else F.array().cast("array<string>")
+    out = cases.select(F.col(case_id).alias("id"), F.col(expected).alias("expected"), own.alias("assertions")).join(said, F.col("id") == F.col("key"), "left")
+    given = F.filter(F.coalesce("assertions", F.array().cast("array<string>")), lambda x: x.isNotNull())
+    needles = F.transform(given, needle_of)
+    bad = F.exists(needles, lambda x: x.isNull())
+    met = F.forall(needles, lambda x: F.coalesce(F.col("output").contains(x), F.lit(False)))
+    why = F.when(F.col("output").isNull(), "no output").when(strip(F.col("output")) != strip(F.col("expected")), "output differs").when(bad, "malformed assertion").when(~met, "assertion not met")
+    return out.select("id", why.isNull().alias("passed"), why.alias("why"), F.size(given).cast("long").alias("n_assertions"))
 
 
 def score_summary(scores: DataFrame) -> DataFrame:
@@ -65,10 +72,14 @@ def kind_of(variant: Column, path: str) -> Column:
     return F.schema_of_variant(F.try_variant_get(variant, path, "variant"))
 
 
-def structural_report(df: DataFrame, raw: str, rules: list[tuple[str, str, str]]) -> DataFrame:
-    """Adds ``problem``: the first (path, type prefix, message) that the JSON breaks, or that it isn't JSON; null if none."""
+def structural_report(df: DataFrame, raw: str, rules: list[tuple[str, str, str]], sizes: Mapping[str, str] | None = None) -> DataFrame:
+    """Adds ``problem``: the first (path, type prefix, message) that the JSON breaks, or that it isn't JSON; null if none.
+
+    ``sizes``: columns to add, each with the path of an array, whose elements are counted, or of a text, whose characters are; null for anything else.
+    """
     v = F.try_parse_json(F.col(raw))
     out = F.when(v.isNull(), "not JSON")
     for path, kind, message in rules:
         out = out.when(~F.coalesce(kind_of(v, path).startswith(kind), F.lit(False)), message)
-    return df.withColumn("problem", out)
+    size = lambda path: F.coalesce(F.size(F.try_variant_get(v, path, "array<variant>")), F.when(kind_of(v, path) == "STRING", F.length(F.try_variant_get(v, path, "string"))))
+    return df.withColumns({"problem": out} | {name: F.when(v.isNotNull(), size(path)).cast("long") for name, path in (sizes or {}).items()})

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import fresh
 from ..functions.params import CHANNEL_HOSTS, URL_KINDS, UrlRule
 
 VERDICT = "struct<valid:boolean,reason:string,final_url:string>"
@@ -62,23 +63,29 @@ def probe_verdict(df: DataFrame, probes: DataFrame, on: str = "url", status: str
     ``probes`` has one row per URL; the newest wins if it has ``probed_at`` and more, else the largest status.
     """
     newest = F.struct(*([F.col("probed_at")] if "probed_at" in probes.columns else []), F.col(status), F.col(final) if final in probes.columns else F.lit(None).cast("string").alias(final))
-    own = probes.groupBy(F.col(on).alias("__on")).agg(F.max(newest).alias("__p"))
-    out = df.join(own, F.col(on) == F.col("__on"), "left")
-    s, url = F.col(f"__p.{status}"), F.col(on).cast("string")
+    key, found = fresh(df, "on", "probe")
+    own = probes.groupBy(F.col(on).alias(key)).agg(F.max(newest).alias(found))
+    out = df.join(own, F.col(on) == F.col(key), "left")
+    s, url = F.col(f"{found}.{status}"), F.col(on).cast("string")
     reason = F.when(s.isNull(), "HTTP error").when(s >= 400, F.concat(F.lit("HTTP "), s.cast("string")))
-    verdict = F.struct(reason.isNull().alias("valid"), reason.alias("reason"), F.when(reason.isNull(), F.coalesce(F.col(f"__p.{final}"), url)).alias("final_url")).cast(VERDICT)
-    return out.withColumns({"http_status": s, "probe": verdict}).drop("__on", "__p")
+    verdict = F.struct(reason.isNull().alias("valid"), reason.alias("reason"), F.when(reason.isNull(), F.coalesce(F.col(f"{found}.{final}"), url)).alias("final_url")).cast(VERDICT)
+    return out.withColumns({"http_status": s, "probe": verdict}).drop(key, found)
 
 
-def live_url_rule(url: Column, host: Column, hosts: Sequence[str] = tuple(CHANNEL_HOSTS), exempt: str | None = "/user/TheDBBTV") -> Column:
-    """False for a URL on ``hosts`` (or below) that doesn't point at a live page; true elsewhere."""
-    on_host = F.lit(False)
-    for h in hosts:
-        on_host |= (host == h) | host.endswith("." + h)
-    live = url.contains("/live") | url.contains("live=") | F.lower(url).contains("/@")
+def live_url_rule(url: Column, host: Column, hosts: Sequence[str] = tuple(CHANNEL_HOSTS), exempt: str | None = "/user/TheDBBTV", live: Sequence[str] = ("/live", "live=", "/@"), on_host: Column | None = None) -> Column:
+    """False for a URL on ``hosts`` (or below) that doesn't point at a live page; true elsewhere.
+
+    A live page's URL holds one of ``live`` or the path segments ``exempt``.  ``on_host`` says instead of ``hosts`` which URLs are bound.
+    """
+    bound = F.lit(False) if on_host is None else on_host
+    for h in hosts if on_host is None else ():
+        bound |= (host == h) | host.endswith("." + h)
+    ok = F.lit(False)
+    for x in live:
+        ok |= url.contains(x)
     if exempt:
-        live |= _has_segments(url, exempt)
-    return F.coalesce(~on_host | live, F.lit(True))
+        ok |= _has_segments(url, exempt)
+    return F.coalesce(~bound | ok, F.lit(True))
 
 
 def split_by_verdict(df: DataFrame, verdict: str = "verdict") -> tuple[DataFrame, DataFrame]:

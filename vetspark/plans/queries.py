@@ -104,8 +104,8 @@ def probe_verdict(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(rf"select page_id, not starts_with({HOST}, 'blog.') or contains(url, '/en/') as ok from pages")
 def conditional_url_rule(spark: SparkSession, sf: str) -> DataFrame:
-    df = pages(spark, sf)
-    return df.select("page_id", (~F.col("host").startswith("blog.") | F.col("url").contains("/en/")).alias("ok"))
+    on_blog = F.col("host").startswith("blog.")
+    return pages(spark, sf).select("page_id", U.live_url_rule(F.col("url"), F.col("host"), exempt=None, live=["/en/"], on_host=on_blog).alias("ok"))
 
 
 @query(f"select coalesce({_RULES}, 'accepted') as reason, count(*) as n from pages group by 1")
@@ -148,7 +148,7 @@ _DOMAINS = "(values " + ", ".join(map(str, DOMAINS)) + ") as t(tier, name, domai
   left join {_DOMAINS} on host = domain or ends_with(host, '.' || domain) group by page_id, host""")
 def domain_suffix_join(spark: SparkSession, sf: str) -> DataFrame:
     dim = spark.createDataFrame(DOMAINS, "tier int, name string, domain string")
-    return C.match_domains(pages(spark, sf), dim, "page_id").select("page_id", "host", "matched.tier", "matched.domain")
+    return C.match_domains(pages(spark, sf), dim).select("page_id", "host", "matched.tier", "matched.domain")
 
 
 @query(f"""select doc_id, case when regexp_matches({FOLD.format("text")}, '{word("fuer", "ist")}') then 'other topic'
@@ -184,7 +184,7 @@ PLATFORMS = {"example.net": True, "example.org": False, "blog.tionsh.example.net
 @query(f"""select page_id, max_by(free, length(domain)) as platform_free from (select page_id, {HOST} as host from pages)
   left join (values {", ".join(f"('{k}', {v})" for k, v in PLATFORMS.items())}) as t(domain, free) on host = domain or ends_with(host, '.' || domain) group by page_id""")
 def platform_rule(spark: SparkSession, sf: str) -> DataFrame:
-    return C.platform_rule(pages(spark, sf), PLATFORMS, "page_id").select("page_id", "platform_free")
+    return C.platform_rule(pages(spark, sf), PLATFORMS).select("page_id", "platform_free")
 
 
 @query("""select event_id, exists (select 1 from events s where s.event_type = 'signup' and s.user_id = e.user_id and cast(s.ts as date) = cast(e.ts as date)) as announced
@@ -343,7 +343,13 @@ def new_only(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"select event_id, count(m) as clashes from {_TIMED} group by event_id")
 def slot_clash_counts(spark: SparkSession, sf: str) -> DataFrame:
     c, p = sides(spark, sf)
-    return R.duplicate_match(c, p, "event_id", "event_id", "ts", "ts").select("event_id", F.col("matches").alias("clashes"))
+    return R.clash_counts(c, p, "event_id", "ts", "ts").withColumnRenamed("cand_id", "event_id")
+
+
+@query("""select unnest(list_reduce(list([{'at': epoch_us(ts), 'id': event_id}] order by ts, event_id), (kept, x) ->
+    case when x[1]['at'] - kept[len(kept)]['at'] > 1800000000 then list_concat(kept, x) else kept end), recursive := false)['id'] as event_id, user_id from events group by user_id""")
+def new_in_batch(spark: SparkSession, sf: str) -> DataFrame:
+    return R.new_in_batch(table(spark, sf, "events"), "event_id", "ts", "user_id").select("event_id", "user_id")
 
 
 @query(f"""select case when m is null then 'created' else 'skipped' end as status, event_id, user_id, strftime(timezone('Europe/Berlin', timezone('UTC', ts)), '%Y-%m-%d %H:%M') as local_time,
@@ -363,6 +369,17 @@ def run_summary(spark: SparkSession, sf: str) -> DataFrame:
     return R.run_summary(table(spark, sf, "pages"), ~v["valid"], F.col("url").contains("#"))
 
 
+@query(f"""select *, case when found = 0 then 'no streams found' when found = rejected then 'found ' || found || ' candidates, none passed' end as message from (
+  select count(*) as found, count(*) filter (r is not null or q) as rejected, cast(0 as bigint) as duplicates, count(*) filter (r is null and not q) as created,
+    count(*) filter (r is not null) as rejected_rules, count(*) filter (r is null and q) as rejected_query, cast(0 as bigint) as rejected_address
+  from (select {_RULES} as r, contains(url, '?') as q from pages))""")
+def run_summary_stages(spark: SparkSession, sf: str) -> DataFrame:
+    url = F.col("url")
+    bad = ~U.url_rule_verdict(url, RULES)["valid"]
+    stages = {"rules": bad, "query": url.contains("?"), "address": url.isNull()}
+    return R.run_summary(table(spark, sf, "pages"), bad | url.contains("?"), F.lit(False), stages=stages)
+
+
 _HREFS = """(select page_id, url, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) as link from pages)"""
 HREF = r'href="([^"]+)"'
 
@@ -375,6 +392,31 @@ def audit_published(spark: SparkSession, sf: str) -> DataFrame:
     return R.audit_published(e, failed, ["page_id"])
 
 
+@query(f"""with links as (select distinct page_id, url, link from (select page_id, url, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) as link from pages union all select page_id, url, url from pages)),
+  judged as (select page_id, url as source_ref, link, s as http_status, case when contains(link, 'cheap-pills') then 'spam host' when contains(link, 'spam-farm') then 'link farm'
+      when contains(link, '?page=') and not regexp_matches(link, '/fr([/?#]|$)') then 'listing page' when s is null then 'HTTP error' when s <> 200 then 'HTTP ' || s end as failed
+    from (select *, case when length(link) % 5 = 0 then null when length(link) % 7 = 0 then 404 when length(link) % 11 = 0 then 301 else 200 end as s from links))
+  select page_id, source_ref, '2024-02-01' as validated_at, link, http_status, failed from judged where failed is not null""")
+def audit_links(spark: SparkSession, sf: str) -> DataFrame:
+    found = F.regexp_extract_all(F.col("html"), F.lit(HREF), F.lit(1))
+    e = table(spark, sf, "pages").select("page_id", F.col("url").alias("source_ref"), F.lit("2024-02-01").alias("validated_at"), F.concat(found, F.array("url")).alias("links"))
+    n = F.length("url")
+    status = F.when(n % 7 == 0, 404).when(n % 11 == 0, 301).otherwise(200)
+    probes = e.select(F.explode("links").alias("url")).distinct().filter(n % 5 != 0).select("url", status.alias("http_status"), F.lit(None).cast("string").alias("final_url"))
+    return R.audit_links(e, probes, RULES, ["page_id", "source_ref", "validated_at"])
+
+
+@query(f"""select event_id, 'user ' || user_id as team1, 'event' as team2, 'event|user ' || user_id as pair_key, case when event_type = 'click' then 'CLICK' else event_type end as league,
+  strftime({_LOCAL}, '%Y-%m-%dT%H:%M:%S') || '+01:00' as start, 'https://a.example/' || event_id as link, case when value < 5 then 'unknown' when value < 20 then 'restricted' else 'free' end as access,
+  case when event_id % 2 = 0 then 'ref ' || event_id else 'https://a.example/' || event_id end as source_ref, '2024-02-01' as validated_at from events""")
+def game_record(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").select(
+        "event_id", F.concat(F.lit("user "), "user_id", F.lit(" vs. event")).alias("teams"), F.concat(F.upper("event_type"), F.lit(": game")).alias("title"), F.when(F.col("event_type") != "click", F.col("event_type")).otherwise(" ").alias("league"),
+        F.col("ts").alias("start_ts"), F.concat(F.lit("https://a.example/"), "event_id").alias("url"), F.when(F.col("value") >= 5, F.col("value") >= 20).alias("free_tier"), F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("ref "), "event_id")).alias("source_ref"),
+    )
+    return D.game_record(e, "2024-02-01").select("event_id", "team1", "team2", "pair_key", "league", "start", "link", "access", "source_ref", "validated_at")
+
+
 # ---------------------------------------------------------------- scoring and conformance
 
 
@@ -425,6 +467,15 @@ def structural_report(spark: SparkSession, sf: str) -> DataFrame:
     return S.structural_report(table(spark, sf, "events"), "props", [("$.k", "BIGINT", "k is no number"), ("$.note", "STRING", "note is no text")]).select("event_id", "problem")
 
 
+@query("""select doc_id, case when doc_id % 5 = 0 then 'assertions is no list' end as problem, case when doc_id % 5 > 0 then doc_id % 4 end as n_assertions, length(source) as output_length from documents""")
+def structural_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").select("doc_id", "source")
+    own = F.when(F.col("doc_id") % 5 > 0, F.array_repeat("source", (F.col("doc_id") % 4).cast("int")))
+    raw = F.to_json(F.struct(F.col("doc_id").alias("id"), F.col("source").alias("expected_output"), own.alias("assertions")))
+    out = S.structural_report(d.withColumn("raw", raw), "raw", [("$.assertions", "ARRAY", "assertions is no list")], {"n_assertions": "$.assertions", "output_length": "$.expected_output"})
+    return out.select("doc_id", "problem", "n_assertions", "output_length")
+
+
 @query("select event_id, concat_ws('; ', case when cast(props->>'$.k' as bigint) > 90 then 'k too large' end, case when value < 1 then 'value too small' end) as errors from events")
 def record_conformance(spark: SparkSession, sf: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").try_cast("long")
@@ -438,6 +489,46 @@ def document_conformance(spark: SparkSession, sf: str) -> DataFrame:
     return V.measured_conformance(table(spark, sf, "documents"), limits).select("doc_id", F.array_join("errors", "; ").alias("errors"))
 
 
+_LINES = "case when text = '' then 0 else len(string_split(regexp_replace(text, '\\n$', ''), chr(10))) end"
+
+
+@query(f"""select doc_id, concat_ws('; ', case when doc_id % 2 = 1 then 'missing keys: description' end, case when doc_id % 3 = 0 then 'name malformed' end, case when doc_id % 2 = 0 and doc_id % 1500 > 1024 then 'description too long' end,
+  case when {_LINES} > 12 then 'body too long' end, case when not regexp_matches(text, '(^|\\n)## Usage(\\n|$)') then 'missing sections: ## Usage' end) as errors
+  from (select doc_id, text || case when doc_id % 5 = 0 then chr(10) || '## Usage' || chr(10) else '' end as text from documents)""")
+def document_frontmatter(spark: SparkSession, sf: str) -> DataFrame:
+    i = F.col("doc_id")
+    name = F.concat(F.when(i % 3 == 0, "Doc ").otherwise("doc-"), i.cast("string"))
+    described = F.when(i % 2 == 0, F.concat(F.lit("description: "), F.repeat(F.lit("x"), (i % 1500).cast("int")), F.lit("\n"))).otherwise("")
+    front = F.concat(F.lit("---\nname: "), name, F.lit("\nversion: 1\ncategory: text\n"), described, F.lit("---\n"))
+    text = F.concat(front, "text", F.when(i % 5 == 0, "\n## Usage\n").otherwise(""))
+    out = V.document_conformance(table(spark, sf, "documents").select("doc_id", text.alias("text")), "text", None, headings=["## Usage"], max_lines=12)
+    return out.select("doc_id", F.array_join("errors", "; ").alias("errors"))
+
+
+@query("""select l_orderkey as id, concat_ws('; ', case when o_orderstatus <> 'F' then 'skill_name is not F: ' || o_orderstatus end, case when l_orderkey % 7 = 0 then 'evals is no list' end,
+  case when l_orderkey % 7 > 0 and count(distinct l_quantity) < count(*) then 'repeated id' end) as errors from lineitem join orders on l_orderkey = o_orderkey group by l_orderkey, o_orderstatus""")
+def corpus_conformance(spark: SparkSession, sf: str) -> DataFrame:
+    cases = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_quantity").cast("long").alias("id"))).alias("evals"))
+    own = cases.join(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), F.col("l_orderkey") == F.col("o_orderkey"))
+    raw = F.to_json(F.struct(F.col("o_orderstatus").alias("skill_name"), F.when(F.col("l_orderkey") % 7 > 0, F.col("evals")).alias("evals")))
+    return V.corpus_conformance(own.select(F.col("l_orderkey").alias("id"), raw.alias("raw")), "raw", "F").select("id", F.array_join("errors", "; ").alias("errors"))
+
+
+@query("select distinct o_orderpriority || '-' || o_custkey % 50 as name, o_orderpriority || '-' || o_custkey % 50 || ': document missing for reference scan' as warning from orders where o_custkey % 50 not in (select c_custkey % 50 from customer where c_acctbal > 9000)")
+def missing_documents(spark: SparkSession, sf: str) -> DataFrame:
+    name = lambda p, k: F.concat(p, F.lit("-"), (k % 50).cast("string")).alias("name")
+    o = table(spark, sf, "orders")
+    there = table(spark, sf, "customer").filter("c_acctbal > 9000").select((F.col("c_custkey") % 50).alias("k")).distinct()
+    documents = o.join(there, F.col("o_custkey") % 50 == F.col("k"), "left_semi").select(name(F.col("o_orderpriority"), F.col("o_custkey")))
+    return V.missing_documents(o.select(name(F.col("o_orderpriority"), F.col("o_custkey"))), documents)
+
+
+@query("""select p_brand || '-' || p_type as "check", case when count(*) filter (p_size > 25) = 0 then 'no failing fixture' else 'its fixtures pass' end as problem from part group by 1 having count(*) filter (p_size > 45) = 0""")
+def unproven_checks(spark: SparkSession, sf: str) -> DataFrame:
+    part = table(spark, sf, "part").select(F.concat("p_brand", F.lit("-"), "p_type").alias("check"), "p_size")
+    return V.unproven_checks(part, part.filter("p_size > 25").select("check", F.when(F.col("p_size") > 45, "FAIL").otherwise("PASS").alias("verdict")))
+
+
 @query(f"select distinct link as reference from {_HREFS} where link not in (select link from {_HREFS} where contains(url, '://blog.tionsh.example.net/'))")
 def dangling_references(spark: SparkSession, sf: str) -> DataFrame:
     links = pages(spark, sf).select("host", F.explode(F.regexp_extract_all(F.col("html"), F.lit(HREF), F.lit(1))).alias("reference"))
@@ -463,7 +554,7 @@ def conformance_verdict(spark: SparkSession, sf: str) -> DataFrame:
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Pages through the URL rules, the domain join and the checks: how many per decision and first reason."""
     dim = spark.createDataFrame(DOMAINS, "tier int, name string, domain string")
-    df = C.match_domains(page_checks(spark, sf), dim, "page_id")
+    df = C.match_domains(page_checks(spark, sf), dim)
     decision = F.when(F.col("matched").isNull(), "SKIP").otherwise(F.col("decision"))
     return df.groupBy(decision.alias("decision"), F.coalesce("reason", F.when(F.col("matched").isNull(), "domain not approved"), F.lit("all checks pass")).alias("reason")).agg(F.count("*").alias("n"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import params as P
-from ..functions.columns import strip
+from ..functions.columns import fresh, strip
 from ..operators import checks as C
 from ..operators import urls as U
 from ..operators.entities import extract_game
@@ -14,36 +14,40 @@ from ..operators.reconcile import duplicate_match
 
 
 def vet_candidates(candidates: DataFrame, probes: DataFrame, announcements: DataFrame, as_of: str, tz: str = P.TIMEZONE) -> DataFrame:
-    """Candidates with ``checks``, ``decision``, ``reasons``, ``reason``, team1, team2, pair_key.
+    """Candidates without ``page_text``, with ``checks``, ``decision``, ``reasons``, ``reason``, team1, team2, pair_key.
 
     ``candidates``: cand_id, url, title, page_text, league, teams, start_ts (instant as UTC wall-clock), free_tier.
     ``probes``: url, http_status, final_url.  ``announcements``: pair_key, local_date.  ``cand_id`` must be unique.
+    What the page's text decides is decided where it is read, so that no join moves it.
     """
     spark = candidates.sparkSession
     df = U.with_url_parts(candidates).withColumn("verdict", U.url_rule_verdict(F.col("url"), P.URL_RULES))
+    said = F.concat_ws(" ", "title", "page_text")
+    words = F.concat_ws(" ", "url", "title", "page_text")
+    known = F.coalesce(strip(F.col("league")), F.lit("")) != ""
+    scheduled = F.col("page_text").isNotNull() & F.col("start_ts").isNotNull() & C.has_word(words, ["upcoming", "scheduled"], folded=True)
+    (by_text,) = fresh(df, "by_text")
+    df = df.withColumn(by_text, F.struct(
+        C.check_free_access(said, F.col("free_tier"))["reason"].alias("free"), C.check_live_content(words, scheduled).alias("live"), C.has_word(said, P.PAID_BRANDS, folded=True).alias("brand"),
+        C.check_topic(F.concat_ws(" ", said, "league", "teams"), known=known).alias("topic"), C.check_direct_stream(F.when(F.col("page_text").isNotNull(), words), scheduled).alias("direct"),
+    )).drop("page_text")
     df = U.probe_verdict(df, probes)
-    live_url = U.live_url_rule(F.col("url"), F.col("host"))
-    df = C.match_domains(df, P.approved_sources(spark), "cand_id")
-    df = C.platform_rule(df, P.FREE_PLATFORMS, "cand_id")
+    df = C.match_domains(df, P.approved_sources(spark))
+    df = C.platform_rule(df, P.FREE_PLATFORMS)
     df = extract_game(df, P.team_aliases(spark))
     df = df.withColumn("local_date", F.to_date(F.convert_timezone(F.lit("UTC"), F.lit(tz), F.col("start_ts").cast("timestamp_ntz"))))
     gated = (F.col("host") == "magenta.tv") | F.col("host").endswith(".magenta.tv")
     df = C.announcement_gate(df, announcements, gated, ["pair_key", "local_date"])
 
-    said = F.concat_ws(" ", "title", "page_text")
-    words = F.concat_ws(" ", "url", "title", "page_text")
-    free = C.check_free_access(said, F.col("free_tier"))
-    reason = F.coalesce(free["reason"], F.when(~F.col("announced"), "no announcement"), F.when(F.col("platform_free") == F.lit(False), "platform not free"))
-    known = F.coalesce(strip(F.col("league")), F.lit("")) != ""
-    scheduled = F.col("page_text").isNotNull() & F.col("start_ts").isNotNull() & C.has_word(words, ["upcoming", "scheduled"], folded=True)
-    ok_url = F.col("verdict.valid") & F.col("probe.valid") & live_url
+    text = F.col(by_text)
+    reason = F.coalesce(text["free"], F.when(~F.col("announced"), "no announcement"), F.when(F.col("platform_free") == F.lit(False), "platform not free"))
+    ok_url = F.col("verdict.valid") & F.col("probe.valid") & U.live_url_rule(F.col("url"), F.col("host"))
     return C.decide(df.withColumn("checks", C.check_array({
-        "freeAccess": C.result(reason), "liveContent": C.check_live_content(words, scheduled),
-        "officialSource": C.result(F.coalesce(F.when(~F.col("verdict.valid"), F.col("verdict.reason")), F.when(C.has_word(said, P.PAID_BRANDS, folded=True), "excluded brand"), C.check_official_source(F.col("host"), F.col("path"), F.col("matched"))["reason"])),
-        "topic": C.check_topic(F.concat_ws(" ", said, "league", "teams"), known=known), "dateTimeRange": C.check_date_window(F.col("start_ts"), as_of, tz=tz),
-        "workingLink": C.check_working_link(F.col("http_status"), ok_url, F.col("probe.final_url")),
-        "directStream": C.check_direct_stream(F.when(F.col("page_text").isNotNull(), words), scheduled),
-    })))
+        "freeAccess": C.result(reason), "liveContent": text["live"],
+        "officialSource": C.result(F.coalesce(F.when(~F.col("verdict.valid"), F.col("verdict.reason")), F.when(text["brand"], "excluded brand"), C.check_official_source(F.col("host"), F.col("path"), F.col("matched"))["reason"])),
+        "topic": text["topic"], "dateTimeRange": C.check_date_window(F.col("start_ts"), as_of, tz=tz),
+        "workingLink": C.check_working_link(F.col("http_status"), ok_url, F.col("probe.final_url")), "directStream": text["direct"],
+    })).drop(by_text))
 
 
 def vet_and_reconcile(vetted: DataFrame, existing: DataFrame) -> DataFrame:

@@ -6,16 +6,16 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.reconcile import new_only
+from ..operators.reconcile import new_in_batch, new_only
 
 
 def event_sink(events: DataFrame, path: str, run_date: str, minutes: int = 30) -> None:
     """Append events that the stored table doesn't have: same pair within ``minutes``; others with a null pair if their id is new.
 
-    Needs event_id, pair_key, start_ts.  Partitioned by ``run_date``.
+    Of the batch's own events that are left, the earliest of a pair stays, by :func:`new_in_batch`.  Needs event_id, pair_key, start_ts.  Partitioned by ``run_date``.
     """
     spark = events.sparkSession
-    fresh = events.dropDuplicates(["event_id"])
+    fresh = events
     try:
         stored = spark.read.parquet(path)
     except AnalysisException as e:
@@ -25,6 +25,7 @@ def event_sink(events: DataFrame, path: str, run_date: str, minutes: int = 30) -
     if stored is not None:
         fresh = new_only(fresh, stored, "event_id", "event_id", "start_ts", "start_ts", "pair_key", "pair_key", minutes)
         fresh = fresh.join(stored.select("event_id"), "event_id", "left_anti")
+    fresh = new_in_batch(fresh, minutes=minutes)
     fresh.withColumn("run_date", F.lit(run_date)).write.mode("append").partitionBy("run_date").parquet(path)
 
 
