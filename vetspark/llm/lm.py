@@ -10,13 +10,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import n_words
 
-#: Tokens of a segment, whose n-grams a task holds at a time, and tokens for each hash part of the count tables, about.
-SEGMENT_TOKENS, PART_TOKENS = 3_000_000, 1_000_000
+#: Tokens and documents of a segment, whose n-grams a task holds at a time, and tokens for each hash part of the count tables, about.
+SEGMENT_TOKENS, SEGMENT_DOCS, PART_TOKENS = 3_000_000, 200_000, 1_000_000
 #: Stands before a text's first word.
 START = np.uint64(0x9E3779B97F4A7C15)
 
@@ -48,15 +51,15 @@ class Grams:
 
 
 class Segment:
-    """Some texts as one row of tokens: for each text that has words START and its words."""
+    """Some texts as one row of tokens: for each text that has words START and its words.  ``packed``: texts on lines, words between spaces."""
 
-    def __init__(self, texts: Iterator[str]) -> None:
+    def __init__(self, packed: bytes) -> None:
         place: defaultdict[bytes, int] = defaultdict()
         place.default_factory = place.__len__
         place[b""]  # START: no word is empty
         codes, sizes = [], []
-        for t in texts:
-            words = t.encode().split()
+        for t in zstandard.decompress(packed).split(b"\n")[:-1]:
+            words = t.split(b" ") if t else []
             sizes.append(len(words))
             if words:
                 codes.append(np.fromiter(map(place.__getitem__, (b"", *words)), np.int32, len(words) + 1))
@@ -84,7 +87,7 @@ class Segment:
             yield Grams(m, own[at], tokens, np.append(at, len(own)), before[tokens[at]])
 
     def counts(self, highest: int) -> Iterator[tuple[np.ndarray, ...]]:
-        """For each order: n-grams, occurrences, occurrences that a word follows, texts (2 stands for more)."""
+        """For each order: n-grams, occurrences, occurrences that a word follows (1 for the highest order, where nothing asks), texts (2 stands for more)."""
         n = len(self.hash)
         first, last = np.zeros(n, np.int32), np.zeros(n, np.int32)
         first[self.code[::-1]], last[self.code] = self.doc[::-1], self.doc
@@ -96,7 +99,35 @@ class Segment:
             here = np.diff(g.at)
             ends = np.concatenate(([0], np.cumsum(self.last[g.tokens])))[g.at] if g.order < highest else here
             texts = 1 + (self.doc[g.tokens[g.at[:-1]]] != self.doc[g.tokens[g.at[1:] - 1]])
-            yield g.gram, here, here - np.diff(ends) if g.order < highest else np.zeros(len(here), np.int64), texts
+            yield g.gram, here, here - np.diff(ends) if g.order < highest else np.ones_like(here), texts
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, text) as segments: a number of their own, the ids, and the words of the texts, compressed."""
+    task, count = TaskContext.get().partitionId(), 0
+    ids: list[pa.Array] = []
+    texts: list[bytes] = []
+    held = 0
+
+    def segment() -> pa.RecordBatch:
+        own = pa.concat_arrays(ids)
+        words = zstandard.compress(b"\n".join(texts) + b"\n", 3)
+        return pa.RecordBatch.from_arrays([pa.array([task << 32 | count], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own), pa.array([words], pa.binary())], names=["segment", "ids", "words"])
+
+    for b in batches:
+        begin = 0
+        for i, t in enumerate(b.column(1)):
+            words = t.as_py().encode().split()
+            texts.append(b" ".join(words))
+            held += len(words)
+            if held >= SEGMENT_TOKENS or len(texts) == SEGMENT_DOCS:
+                ids.append(b.column(0).slice(begin, i + 1 - begin))
+                yield segment()
+                ids, texts, held, count, begin = [], [], 0, count + 1, i + 1
+        if begin < b.num_rows:
+            ids.append(b.column(0).slice(begin))
+    if texts:
+        yield segment()
 
 
 def _list(x: np.ndarray, kind: pa.DataType, offsets: np.ndarray) -> pa.ListArray:
@@ -112,40 +143,49 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     natural logarithms, summed over a text.  Words are runs of anything but ASCII white space; n-grams are
     told apart by 64 bits of a hash.
 
-    Documents are dealt to segments of bounded size.  A segment's distinct n-grams, with their counts there, are
-    dealt out by hash, exploded, and summed to the count table; the table of those that two documents share is
-    joined to the exploded n-grams, and what each segment has of it goes back to score its documents.  Other n-grams have no
-    counts elsewhere.  An n-gram has one row for each segment at most, however often it occurs, so that no part grows with a hot
-    word.  Rows are dealt to segments by their place in the input (a table read, or materialised), so that equal rows don't meet in one.
+    Every task packs its documents into segments of bounded size.  A segment's distinct n-grams, with their counts there, are
+    dealt out by hash and exploded; there each n-gram meets its count over all segments, and what two documents share
+    goes back to its segments, which score their documents with it.  Other n-grams have no counts elsewhere.
+    An n-gram has one row for each segment at most, however often it occurs, so that no part grows with a hot word; equal rows of
+    ``docs`` are dealt to segments as they come.
 
     Null and empty texts have 0 words, log_score 0 and a null mean.  Every row is a document of its own, also
     if it repeats another's id or text.  No rows give no rows.
     """
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    id_type = rows.schema["doc_id"].dataType.simpleString()
     tokens = rows.agg(F.sum(n_words(F.col("text")))).first()[0] or 0
-    segments, parts = (max(1, math.ceil(tokens / x)) for x in (SEGMENT_TOKENS, PART_TOKENS))
-    segment = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(segments))
-    dealt = rows.select(segment.alias("segment"), "doc_id", "text").repartition("segment")
+    parts = max(1, math.ceil(tokens / PART_TOKENS))
+    dealt = rows.mapInArrow(_pack, f"segment long, ids array<{id_type}>, words binary").repartition("segment")
     log_alpha, log_tokens = math.log(alpha), math.log(max(tokens, 1))
 
-    def explode(key: tuple[pa.Scalar], table: pa.Table) -> pa.Table:
-        own = Segment(x.as_py() for x in table.column("text"))
-        gram, n, followed, texts = (np.concatenate(x) for x in zip(*own.counts(order), strict=True))
-        part = (gram % np.uint64(parts)).astype(np.uint16 if parts < 2**16 else np.int64)
-        by = np.argsort(part, kind="stable")
-        there, at = np.unique(part[by], return_index=True)
-        at = np.append(at, len(by))
-        columns = (_list(x[by], kind, at) for x, kind in ((gram.view(np.int64), pa.int64()), (n, pa.int32()), (followed, pa.int32()), (texts, pa.int8())))
-        return pa.Table.from_arrays([pa.array([key[0].as_py()] * len(there), pa.int64()), pa.array(there.astype(np.int64)), *columns], names=["segment", "part", "gram", "n", "followed", "texts"])
-
-    packed = dealt.groupBy("segment").applyInArrow(explode, "segment long, part long, gram array<long>, n array<int>, followed array<int>, texts array<tinyint>")
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for segment, words in zip(b.column(0).to_pylist(), b.column(2), strict=True):
+                gram, n, followed, texts = (np.concatenate(x) for x in zip(*Segment(words.as_py()).counts(order), strict=True))
+                part = (gram % np.uint64(parts)).astype(np.int64)
+                # those that come once, most of them, take no room but for the hash
+                once = (n == 1) & (followed == 1)
+                for kind in (True, False):
+                    own = np.flatnonzero(once == kind)
+                    own = own[np.lexsort((followed[own], n[own], part[own]))]
+                    there, at = np.unique(part[own], return_index=True)
+                    at = np.append(at, len(own))
+                    counts = [_list(x[:0] if kind else x, t, at * 0 if kind else at) for x, t in ((n[own], pa.int32()), (followed[own], pa.int32()), (texts[own], pa.int8()))]
+                    columns = [np.full(len(there), segment), there]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), _list(gram[own].view(np.int64), pa.int64(), at), *counts], names=["segment", "part", "gram", "n", "followed", "texts"])
+
+    packed = dealt.mapInArrow(explode, "segment long, part long, gram array<long>, n array<int>, followed array<int>, texts array<tinyint>")
     ngrams = packed.repartition("part").select("segment", "part", F.inline(F.arrays_zip("gram", "n", "followed", "texts")))
-    table = ngrams.groupBy("part", "gram").agg(F.sum("n").alias("n"), F.sum("followed").alias("followed"), F.sum("texts").alias("texts")).filter("texts > 1").drop("texts")
-    shared = ngrams.select("segment", "part", "gram").join(table.hint("shuffle_hash"), ["part", "gram"])
-    back = shared.groupBy("part", "segment").agg(*[F.collect_list(c).alias(c) for c in ("gram", "n", "followed")])
+    each = Window.partitionBy("gram", "part")
+    total = lambda c: F.sum(F.coalesce(c, F.lit(1))).over(each)
+    counted = ngrams.select("segment", "part", "gram", total("n").alias("n"), total("followed").alias("followed"), total("texts").alias("texts"))
+    back = counted.filter("texts > 1").groupBy("part", "segment").agg(*[F.collect_list(c).alias(c) for c in ("gram", "n", "followed")])
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        own = Segment(x.as_py() for x in left.column("text"))
+        if not left.num_rows:
+            return none
+        own = Segment(left.column("words")[0].as_py())
         gram, n, followed = (right.column(c).combine_chunks().flatten().to_numpy() for c in ("gram", "n", "followed"))
         gram = gram.view(np.uint64)
         by = np.argsort(gram)
@@ -166,7 +206,8 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         value[own.place == 0] = 0
         total = np.bincount(own.doc, value, minlength=len(own.sizes))
         mean = pa.array(total / np.maximum(own.sizes, 1), mask=own.sizes == 0)
-        return pa.Table.from_arrays([left.column("doc_id"), pa.array(own.sizes), pa.array(total), mean], names=["doc_id", "n_words", "log_score", "mean_log_score"])
+        return pa.Table.from_arrays([left.column("ids").combine_chunks().flatten(), pa.array(own.sizes), pa.array(total), mean], names=["doc_id", "n_words", "log_score", "mean_log_score"])
 
-    shape = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_words long, log_score double, mean_log_score double"
+    shape = f"doc_id {id_type}, n_words long, log_score double, mean_log_score double"
+    none = pa.table({"doc_id": pa.array([], to_arrow_type(rows.schema["doc_id"].dataType)), "n_words": pa.array([], pa.int64()), "log_score": pa.array([], pa.float64()), "mean_log_score": pa.array([], pa.float64())})
     return dealt.groupBy("segment").cogroup(back.groupBy("segment")).applyInArrow(score, shape)
