@@ -204,7 +204,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             where = g.tokens[np.repeat(at >= 0, times)]
             value[where] = np.repeat(v, times[hit]) + (backed[where] - (g.order - 1)) * log_alpha
         value[own.place == 0] = 0
-        total = np.bincount(own.doc, value, minlength=len(own.sizes))
+        total = np.bincount(own.doc, value, minlength=len(own.sizes)).astype(np.float64)
         mean = pa.array(total / np.maximum(own.sizes, 1), mask=own.sizes == 0)
         return pa.Table.from_arrays([left.column("ids").combine_chunks().flatten(), pa.array(own.sizes), pa.array(total), mean], names=["doc_id", "n_words", "log_score", "mean_log_score"])
 
