@@ -19,7 +19,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import n_words
 
 #: Tokens and documents of a segment, whose n-grams a task holds at a time, and tokens for each hash part of the count tables, about.
-SEGMENT_TOKENS, SEGMENT_DOCS, PART_TOKENS = 3_000_000, 200_000, 1_000_000
+SEGMENT_TOKENS, SEGMENT_DOCS, PART_TOKENS = 2_000_000, 200_000, 1_000_000
+#: Counts up to this one, of n-grams that are no context, go back as one list of n-grams each.
+FEW = 32
 #: Stands before a text's first word.
 START = np.uint64(0x9E3779B97F4A7C15)
 
@@ -87,19 +89,19 @@ class Segment:
             yield Grams(m, own[at], tokens, np.append(at, len(own)), before[tokens[at]])
 
     def counts(self, highest: int) -> Iterator[tuple[np.ndarray, ...]]:
-        """For each order: n-grams, occurrences, occurrences that a word follows (1 for the highest order, where nothing asks), texts (2 stands for more)."""
+        """For each order: n-grams, occurrences, occurrences that a word follows (0 for the highest order, which is no context), texts (2 stands for more)."""
         n = len(self.hash)
         first, last = np.zeros(n, np.int32), np.zeros(n, np.int32)
         first[self.code[::-1]], last[self.code] = self.doc[::-1], self.doc
         here = np.bincount(self.code, minlength=n)
         some = slice(None) if here[0] else slice(1, None)
-        followed = here - np.bincount(self.code[self.last], minlength=n)
+        followed = here - np.bincount(self.code[self.last], minlength=n) if highest > 1 else np.zeros_like(here)
         yield self.hash[some], here[some], followed[some], (1 + (first != last))[some]
         for g in self.orders(highest):
             here = np.diff(g.at)
             ends = np.concatenate(([0], np.cumsum(self.last[g.tokens])))[g.at] if g.order < highest else here
             texts = 1 + (self.doc[g.tokens[g.at[:-1]]] != self.doc[g.tokens[g.at[1:] - 1]])
-            yield g.gram, here, here - np.diff(ends) if g.order < highest else np.ones_like(here), texts
+            yield g.gram, here, here - np.diff(ends) if g.order < highest else np.zeros_like(here), texts
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,34 +164,40 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for segment, words in zip(b.column(0).to_pylist(), b.column(2), strict=True):
-                gram, n, followed, texts = (np.concatenate(x) for x in zip(*Segment(words.as_py()).counts(order), strict=True))
-                part = (gram % np.uint64(parts)).astype(np.int64)
-                # those that come once, most of them, take no room but for the hash
-                once = (n == 1) & (followed == 1)
-                for kind in (True, False):
-                    own = np.flatnonzero(once == kind)
-                    own = own[np.lexsort((followed[own], n[own], part[own]))]
-                    there, at = np.unique(part[own], return_index=True)
-                    at = np.append(at, len(own))
-                    counts = [_list(x[:0] if kind else x, t, at * 0 if kind else at) for x, t in ((n[own], pa.int32()), (followed[own], pa.int32()), (texts[own], pa.int8()))]
-                    columns = [np.full(len(there), segment), there]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), _list(gram[own].view(np.int64), pa.int64(), at), *counts], names=["segment", "part", "gram", "n", "followed", "texts"])
-
-    packed = dealt.mapInArrow(explode, "segment long, part long, gram array<long>, n array<int>, followed array<int>, texts array<tinyint>")
-    ngrams = packed.repartition("part").select("segment", "part", F.inline(F.arrays_zip("gram", "n", "followed", "texts")))
+                for m, (gram, n, followed, texts) in enumerate(Segment(words.as_py()).counts(order), 1):
+                    part = (gram % np.uint64(parts)).astype(np.int64)
+                    usual = int(m < order)
+                    once = (n == 1) & (followed == usual)
+                    for kind in (True, False):  # those that come once, most of them, take no room but for the hash
+                        own = np.flatnonzero(once == kind)
+                        own = own[np.lexsort((followed[own], n[own], part[own]))]
+                        there, at = np.unique(part[own], return_index=True)
+                        at = np.append(at, len(own))
+                        counts = [_list(x[own][:0] if kind else x[own], t, at * 0 if kind else at) for x, t in ((n, pa.int32()), (followed, pa.int32()), (texts, pa.int8()))]
+                        columns = [pa.array(np.full(len(there), segment)), pa.array(there), pa.array(np.full(len(there), usual, np.int32)), _list(gram[own].view(np.int64), pa.int64(), at)]
+                        yield pa.RecordBatch.from_arrays([*columns, *counts], names=["segment", "part", "usual", "gram", "n", "followed", "texts"])
+
+    packed = dealt.mapInArrow(explode, "segment long, part long, usual int, gram array<long>, n array<int>, followed array<int>, texts array<tinyint>")
+    ngrams = packed.repartition("part").select("segment", "part", "usual", F.inline(F.arrays_zip("gram", "n", "followed", "texts")))
     each = Window.partitionBy("gram", "part")
-    total = lambda c: F.sum(F.coalesce(c, F.lit(1))).over(each)
-    counted = ngrams.select("segment", "part", "gram", total("n").alias("n"), total("followed").alias("followed"), total("texts").alias("texts"))
-    back = counted.filter("texts > 1").groupBy("part", "segment").agg(*[F.collect_list(c).alias(c) for c in ("gram", "n", "followed")])
+    total = lambda c, usual: F.sum(F.coalesce(c, usual)).over(each)
+    counted = ngrams.select("segment", "part", "gram", total("n", F.lit(1)).alias("n"), total("followed", F.col("usual")).alias("followed"), total("texts", F.lit(1)).alias("texts"))
+    few = F.when((F.col("followed") == 0) & (F.col("n") <= FEW), F.col("n").cast("int"))
+    shared = counted.filter("texts > 1").select("part", "segment", few.alias("few"), "gram", F.when(few.isNull(), F.col("n")).alias("n"), F.when(few.isNull(), F.col("followed")).alias("followed"))
+    back = shared.groupBy("part", "segment", "few").agg(*[F.collect_list(c).alias(c) for c in ("gram", "n", "followed")])
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return none
         own = Segment(left.column("words")[0].as_py())
-        gram, n, followed = (right.column(c).combine_chunks().flatten().to_numpy() for c in ("gram", "n", "followed"))
-        gram = gram.view(np.uint64)
+        gram, n, followed, few = (right.column(c).combine_chunks() for c in ("gram", "n", "followed", "few"))
+        few = np.repeat(few.fill_null(0).to_numpy(zero_copy_only=False), np.diff(gram.offsets.to_numpy()))
+        known = few == 0
+        n_, followed_ = few.astype(np.int64), np.zeros(len(few), np.int64)
+        n_[known], followed_[known] = n.flatten().to_numpy(), followed.flatten().to_numpy()
+        gram = gram.flatten().to_numpy().view(np.uint64)
         by = np.argsort(gram)
-        gram, n, followed = gram[by], n[by], followed[by]
+        gram, n, followed = gram[by], n_[by], followed_[by]
         at = _find(gram, own.hash)
         count = np.bincount(own.code, minlength=len(own.hash))
         if len(gram):
