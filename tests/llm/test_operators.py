@@ -438,7 +438,7 @@ def test_nearest_equals_brute_force_when_all_leaves_are_searched(spark):
     x[50:70] = x[0]
     rows = [(i, [float(v) for v in r], "c") for i, r in enumerate(x)] + [(900, None, "c"), (901, [0.0] * 8, "c"), (902, [math.nan] + [1.0] * 7, "c"), (903, [None] + [1.0] * 7, "c"), (904, [math.inf] + [1.0] * 7, "c"), (None, [1.0] * 8, "c"), (905, [1.0], "c")]
     df = spark.createDataFrame(rows + rows[:3], "vec_id long, embedding array<float>, key string")
-    found = ann.nearest(df, F.col("vec_id") % 50 == 0, share=1.0, leaf=16).toPandas()
+    found = ann.nearest(df, F.col("vec_id") % 50 == 0, effort=1, power=1, leaf=16).toPandas()
     y = x.astype(np.float64)
     for i in range(0, 400, 50):
         d = np.sqrt(((y - y[i]) ** 2).sum(axis=1))
@@ -448,6 +448,34 @@ def test_nearest_equals_brute_force_when_all_leaves_are_searched(spark):
     assert set(found.query_id) == set(range(0, 400, 50))
 
 
+@pytest.mark.parametrize("n", [600, 4_000, 16_000])
+def test_recall_on_vectors_without_structure(n):
+    """The forest alone, in one process: recall stays while the share of the rows that are compared falls."""
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    forest = ann.fit(x[: ann.SAMPLE], n)
+    leaves, recall, compared = forest.leaves(x), [], []
+    for i in range(0, n, n // 40):
+        hit = np.zeros(n, bool)
+        for t, leaf in forest.visit(x[i], ann.searched(*forest.shape, 0.9, 0.7)):
+            hit |= leaves[:, t] == leaf
+        d = ((x - x[i]) ** 2).sum(axis=1)
+        d[i] = 9
+        recall.append(hit[np.argsort(d)[:10]].mean())
+        compared.append(hit.mean())
+    assert np.mean(recall) >= 0.9 and (n < 10_000 or np.mean(compared) < 0.6)
+
+
+def test_a_large_leaf_is_split(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(60, 8)), 0.001 * rng.normal(size=(300, 8)) + 5])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    whole = sorted(map(tuple, ann.nearest(df, F.col("vec_id") % 30 == 0, effort=1, power=1).collect()))
+    monkeypatch.setattr(ann, "GROUP_ROWS", 40)
+    assert sorted(map(tuple, ann.nearest(df, F.col("vec_id") % 30 == 0, effort=1, power=1).collect())) == whole and len(whole) == 120
+
+
 def test_nearest_of_few_and_no_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r.query_id, r["rank"], r.vec_id) for r in ann.nearest(df, F.col("vec_id") == 0).collect()] == [(0, 1, 1)]
