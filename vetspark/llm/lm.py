@@ -12,16 +12,14 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import n_words
 
-#: Tokens and documents of a segment, whose n-grams a task holds at a time, and tokens for each hash part of the count tables, about.
-SEGMENT_TOKENS, SEGMENT_DOCS, PART_TOKENS = 2_000_000, 200_000, 1_000_000
-#: Counts up to this one, of n-grams that are no context, go back as one list of n-grams each.
-FEW = 32
+#: Tokens and documents of a segment, whose n-grams a task holds at a time, and tokens for each hash part of the count table, about.
+SEGMENT_TOKENS, SEGMENT_DOCS, PART_TOKENS = 1_000_000, 100_000, 2_000_000
 #: Stands before a text's first word.
 START = np.uint64(0x9E3779B97F4A7C15)
 
@@ -49,7 +47,6 @@ class Grams:
     gram: np.ndarray
     tokens: np.ndarray
     at: np.ndarray
-    context: np.ndarray  # the n-gram of the order below that it starts with
 
 
 class Segment:
@@ -79,14 +76,13 @@ class Segment:
         word = self.hash[self.code]
         gram = word
         for m in range(2, highest + 1):
-            before = np.roll(gram, 1)
-            gram = _mix(before * np.uint64(0xD6E8FEB86659FD93) + word)
+            gram = _mix(np.roll(gram, 1) * np.uint64(0xD6E8FEB86659FD93) + word)
             tokens = np.flatnonzero(self.place >= m - 1).astype(np.int32)
             own = gram[tokens]
             by = np.argsort(own, kind="stable")
             tokens, own = tokens[by], own[by]
             at = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))[: len(own)])
-            yield Grams(m, own[at], tokens, np.append(at, len(own)), before[tokens[at]])
+            yield Grams(m, own[at], tokens, np.append(at, len(own)))
 
     def counts(self, highest: int) -> Iterator[tuple[np.ndarray, ...]]:
         """For each order: n-grams, occurrences, occurrences that a word follows (0 for the highest order, which is no context), texts (2 stands for more)."""
@@ -136,6 +132,37 @@ def _list(x: np.ndarray, kind: pa.DataType, offsets: np.ndarray) -> pa.ListArray
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(x, kind))
 
 
+def _slots(own: Segment, order: int) -> Iterator[tuple[int, np.ndarray, tuple[np.ndarray, ...]]]:
+    """A segment's n-grams as they are dealt out: slot, the places that it has, and the counts of its order.
+
+    A slot holds those of one order that come once (its number is even), which need no counts, or the others.
+    """
+    for m, counts in enumerate(own.counts(order), 1):
+        once = (counts[1] == 1) & (counts[2] == int(m < order))
+        yield 2 * m, np.flatnonzero(once), counts
+        yield 2 * m + 1, np.flatnonzero(~once), counts
+
+
+def _dealt(gram: np.ndarray, places: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places by part; the parts that have any, and where each begins."""
+    part = (gram[places] % np.uint64(parts)).astype(np.int64)
+    by = np.lexsort((gram[places], part))
+    there, at = np.unique(part[by], return_index=True)
+    return places[by], there, np.append(at, len(by))
+
+
+def _bytes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts as bytes, -1 where one is too large, and the large ones."""
+    large = x > 126
+    return np.where(large, -1, x).astype(np.int8), x[large]
+
+
+def _counts(small: pa.ListArray, large: pa.ListArray) -> np.ndarray:
+    out = small.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    out[out < 0] = large.flatten().to_numpy(zero_copy_only=False)
+    return out
+
+
 def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", alpha: float = 0.4, order: int = 2) -> DataFrame:
     """(doc_id, n_words, log_score, mean_log_score) for every row, by stupid backoff of ``order`` over all ``docs``.
 
@@ -146,10 +173,10 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     told apart by 64 bits of a hash.
 
     Every task packs its documents into segments of bounded size.  A segment's distinct n-grams, with their counts there, are
-    dealt out by hash and exploded; there each n-gram meets its count over all segments, and what two documents share
-    goes back to its segments, which score their documents with it.  Other n-grams have no counts elsewhere.
-    An n-gram has one row for each segment at most, however often it occurs, so that no part grows with a hot word; equal rows of
-    ``docs`` are dealt to segments as they come.
+    dealt out by hash; exploded and summed they are the count table, partitioned by hash, of the n-grams that two documents share.  In each part
+    the table is joined to the segments' n-grams, and the counts go back to the segments, in the order in which the n-grams came, to score their documents.
+    Other n-grams have no counts elsewhere.  An n-gram has one row for each segment at most, however often it occurs, so that no part grows with a hot word;
+    equal rows of ``docs`` are dealt to segments as they come.
 
     Null and empty texts have 0 words, log_score 0 and a null mean.  Every row is a document of its own, also
     if it repeats another's id or text.  No rows give no rows.
@@ -164,53 +191,68 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for segment, words in zip(b.column(0).to_pylist(), b.column(2), strict=True):
-                for m, (gram, n, followed, texts) in enumerate(Segment(words.as_py()).counts(order), 1):
-                    part = (gram % np.uint64(parts)).astype(np.int64)
-                    usual = int(m < order)
-                    once = (n == 1) & (followed == usual)
-                    for kind in (True, False):  # those that come once, most of them, take no room but for the hash
-                        own = np.flatnonzero(once == kind)
-                        own = own[np.lexsort((followed[own], n[own], part[own]))]
-                        there, at = np.unique(part[own], return_index=True)
-                        at = np.append(at, len(own))
-                        counts = [_list(x[own][:0] if kind else x[own], t, at * 0 if kind else at) for x, t in ((n, pa.int32()), (followed, pa.int32()), (texts, pa.int8()))]
-                        columns = [pa.array(np.full(len(there), segment)), pa.array(there), pa.array(np.full(len(there), usual, np.int32)), _list(gram[own].view(np.int64), pa.int64(), at)]
-                        yield pa.RecordBatch.from_arrays([*columns, *counts], names=["segment", "part", "usual", "gram", "n", "followed", "texts"])
-
-    packed = dealt.mapInArrow(explode, "segment long, part long, usual int, gram array<long>, n array<int>, followed array<int>, texts array<tinyint>")
-    ngrams = packed.repartition("part").select("segment", "part", "usual", F.inline(F.arrays_zip("gram", "n", "followed", "texts")))
-    each = Window.partitionBy("gram", "part")
-    total = lambda c, usual: F.sum(F.coalesce(c, usual)).over(each)
-    counted = ngrams.select("segment", "part", "gram", total("n", F.lit(1)).alias("n"), total("followed", F.col("usual")).alias("followed"), total("texts", F.lit(1)).alias("texts"))
-    few = F.when((F.col("followed") == 0) & (F.col("n") <= FEW), F.col("n").cast("int"))
-    shared = counted.filter("texts > 1").select("part", "segment", few.alias("few"), "gram", F.when(few.isNull(), F.col("n")).alias("n"), F.when(few.isNull(), F.col("followed")).alias("followed"))
-    back = shared.groupBy("part", "segment", "few").agg(*[F.collect_list(c).alias(c) for c in ("gram", "n", "followed")])
+                for slot, places, counts in _slots(Segment(words.as_py()), order):
+                    places, there, at = _dealt(counts[0], places, parts)
+                    columns = [pa.array(np.full(len(there), segment)), pa.array(there), pa.array(np.full(len(there), slot, np.int32)), _list(counts[0][places].view(np.int64), pa.int64(), at)]
+                    kept = at if slot % 2 else at * 0
+                    yield pa.RecordBatch.from_arrays([*columns, *(_list(x[places[: kept[-1]]], t, kept) for x, t in zip(counts[1:], (pa.int32(), pa.int32(), pa.int8()), strict=True))], names=names)
+
+    names = ["segment", "part", "slot", "gram", "n", "followed", "texts"]
+    packed = dealt.mapInArrow(explode, "segment long, part long, slot int, gram array<long>, n array<int>, followed array<int>, texts array<tinyint>").repartition("part")
+    ngrams = packed.select("segment", "part", "slot", F.inline(F.arrays_zip("gram", "n", "followed", "texts")))
+    usual = (F.col("slot") < 2 * order).cast("int")  # n-grams that come once are followed once, but for the highest order
+    sums = {"n": F.lit(1), "followed": usual, "texts": F.lit(1)}
+    # every column is used, so that both readers of what is dealt out share one shuffle
+    table = ngrams.groupBy("part", "gram").agg(*[F.sum(F.coalesce(c, x)).alias(c) for c, x in sums.items()], F.max("segment").alias("segment"))
+    table = table.filter("texts > 1 and segment >= 0").select("part", "gram", "n", "followed")
+
+    def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Of one part: the counts of the segments' n-grams, in their order, 0 for those that no other document has."""
+        gram, n, followed = (right.column(c).to_numpy() for c in ("gram", "n", "followed"))
+        by = np.argsort(gram)
+        gram, n, followed = gram[by], n[by], followed[by]
+        grams = left.column("gram").combine_chunks()
+        offsets = grams.offsets.to_numpy()
+        at = _find(gram, grams.flatten().to_numpy())
+        columns = []
+        for x in (n, followed):
+            small, large = _bytes(np.where(at >= 0, x[at], 0) if len(x) else np.zeros(len(at), np.int64))
+            columns += [_list(small, pa.int8(), offsets - offsets[0]), _list(large, pa.int64(), np.concatenate(([0], np.cumsum(small < 0)))[offsets - offsets[0]])]
+        return pa.Table.from_arrays([left.column("segment"), left.column("part"), left.column("slot"), *columns], names=["segment", "part", "slot", "n", "n_large", "followed", "followed_large"])
+
+    back = packed.groupBy("part").cogroup(table.groupBy("part")).applyInArrow(look_up, "segment long, part long, slot int, n array<tinyint>, n_large array<long>, followed array<tinyint>, followed_large array<long>")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return none
         own = Segment(left.column("words")[0].as_py())
-        gram, n, followed, few = (right.column(c).combine_chunks() for c in ("gram", "n", "followed", "few"))
-        few = np.repeat(few.fill_null(0).to_numpy(zero_copy_only=False), np.diff(gram.offsets.to_numpy()))
-        known = few == 0
-        n_, followed_ = few.astype(np.int64), np.zeros(len(few), np.int64)
-        n_[known], followed_[known] = n.flatten().to_numpy(), followed.flatten().to_numpy()
-        gram = gram.flatten().to_numpy().view(np.uint64)
-        by = np.argsort(gram)
-        gram, n, followed = gram[by], n_[by], followed_[by]
-        at = _find(gram, own.hash)
-        count = np.bincount(own.code, minlength=len(own.hash))
-        if len(gram):
-            count = np.where(at >= 0, n[at], count)
+        right = right.sort_by([("slot", "ascending"), ("part", "ascending")]).combine_chunks()
+        slots = right.column("slot").to_numpy()
+        shared: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # of each order
+        for slot, places, counts in _slots(own, order):
+            n, followed = shared.setdefault(slot // 2, (np.zeros(len(counts[0]), np.int64), np.zeros(len(counts[0]), np.int64)))
+            begin, end = np.searchsorted(slots, (slot, slot + 1))
+            some = right.slice(begin, end - begin)
+            places = _dealt(counts[0], places, parts)[0]
+            for x, c in ((n, "n"), (followed, "followed")):
+                if len(places):
+                    x[places] = _counts(*(some.column(k).chunk(0) for k in (c, f"{c}_large")))
+        here = np.bincount(own.code, minlength=len(own.hash))
+        words = slice(None) if here[0] else slice(1, None)
+        count = here.copy()
+        count[words] = np.where(shared[1][0] > 0, shared[1][0], here[words])
         backed = np.minimum(own.place, order - 1)  # orders above the first that a token has
         value = backed * log_alpha + (np.log(np.maximum(count, 1)) - log_tokens)[own.code]
+        below, below_of = shared[1][1], own.code - (0 if here[0] else 1)  # how often a token's n-gram of the order below is followed
         for g in own.orders(order):
-            at = _find(gram, g.gram)
-            hit = np.flatnonzero(at >= 0)
-            v = np.log(n[at[hit]]) - np.log(followed[_find(gram, g.context[hit])])
+            n, followed = shared[g.order]
             times = np.diff(g.at)
-            where = g.tokens[np.repeat(at >= 0, times)]
-            value[where] = np.repeat(v, times[hit]) + (backed[where] - (g.order - 1)) * log_alpha
+            hit = np.flatnonzero(n)
+            context = below_of[g.tokens[g.at[hit]] - 1]
+            where = g.tokens[np.repeat(n > 0, times)]
+            value[where] = np.repeat(np.log(n[hit]) - np.log(below[context]), times[hit]) + (backed[where] - (g.order - 1)) * log_alpha
+            below, below_of = followed, np.full(len(own.code), -1)
+            below_of[g.tokens] = np.repeat(np.arange(len(times)), times)
         value[own.place == 0] = 0
         total = np.bincount(own.doc, value, minlength=len(own.sizes)).astype(np.float64)
         mean = pa.array(total / np.maximum(own.sizes, 1), mask=own.sizes == 0)
