@@ -126,6 +126,8 @@ def format_conversations(messages: DataFrame, tree: str = "conv_id", order: str
     """Formats messages that stand in a line: one conversation (tree, leaf, formatted, loss) per ``tree``.
 
     A null ``tree`` is one conversation of its own; other columns are ignored; no rows give no rows.
+
+    A conversation is one row of text, so all rows of one ``tree`` meet in a task; rows without a tree are one conversation of their own.
     """
     nodes = materialise(linear_tree(messages, tree, order, role, text), "chat-said")
     return format_paths(branch_paths(nodes), nodes)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import is_held_out
 
-#: Documents longer than this are scored, but not learnt from.
+#: Labelled documents longer than this are scored, but not learnt from: part of the bound on what is learnt.
 LEARN_CHARS = 200_000
 
 
@@ -18,7 +18,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, d
     """Up to ``rows`` labelled documents in hash order: (text, y double, h).
 
     Only ids outside the held-out fifth come.  Labels other than 0 and 1, and
-    nulls, are none; of several labels of an id the largest counts.  Repeated
+    nulls, are none; documents of more than ``LEARN_CHARS`` characters aren't learnt from; of several labels of an id the largest counts.  Repeated
     documents come as often as they are there, within the bound.
     """
     own = labels.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{label}`").cast("double").alias("y")).filter("id is not null and y in (0, 1)")

@@ -158,7 +158,10 @@ def in_parts(texts: list[str], size: int) -> Iterator[list[str]]:
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text") -> Crf | float:
-    """Fit the field on at most ``sample`` labelled documents outside the held-out fifth; their lines are measured on the executors."""
+    """Fit the field on at most ``sample`` labelled documents outside the held-out fifth; their lines are measured on the executors.
+
+    Bounds of what is learnt, never of what is scored: ``sample`` documents, of ``LEARN_CHARS`` characters at most, in chains of ``LEARN_LINES`` lines.
+    """
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

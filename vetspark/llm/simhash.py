@@ -81,8 +81,8 @@ def _signed(x: int) -> int:
 def close_links(fps: DataFrame, radius: int = 2) -> DataFrame:
     """Links (a, b) that connect the distinct values ``fp`` of ``fps`` at ``radius`` (1 or 2) or fewer differing bits.
 
-    Every pair within the radius shares a bucket of some mask.  Buckets with
-    one fingerprint end there.  Members of the others meet halfway: each is
+    Every pair within the radius shares a bucket of some mask: the masks find who has a partner, and which bits may differ.  Buckets with
+    one fingerprint end there.  Comparing all pairs of a bucket would grow with the square of a hot one, so links are made another way.  Members of the others meet halfway: each is
     listed under itself and under itself with one bit changed that the bucket leaves open; two meet if and
     only if they differ in two bits at most.  One meeting place has at most 65 members, however
     large the bucket, and each is linked to the smallest of them.

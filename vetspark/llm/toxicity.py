@@ -101,7 +101,10 @@ def fit(docs: list[np.ndarray], y: np.ndarray, steps: int = 150, l2: float = 2e-
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text") -> Machine:
-    """Fit the machine on at most ``sample`` labelled documents outside the held-out fifth; their terms are hashed on the executors."""
+    """Fit the machine on at most ``sample`` labelled documents outside the held-out fifth; their terms are hashed on the executors.
+
+    Bounds of what is learnt, never of what is scored: ``sample`` documents, of ``LEARN_CHARS`` characters at most.
+    """
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
