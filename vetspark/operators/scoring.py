@@ -55,7 +55,7 @@ def score_cases(cases: DataFrame, outputs: DataFrame, case_id: str = "id", expec
     own = F.col(assertions) if assertions else F.array().cast("array<string>")
     out = cases.select(F.col(case_id).alias("id"), F.col(expected).alias("expected"), own.alias("assertions")).join(said, F.col("id") == F.col("key"), "left")
     given = F.filter(F.coalesce("assertions", F.array().cast("array<string>")), lambda x: x.isNotNull())
-    needles = F.transform(given, needle_of)
+    needles = F.transform(given, lambda x: needle_of(x))
     bad = F.exists(needles, lambda x: x.isNull())
     met = F.forall(needles, lambda x: F.coalesce(F.col("output").contains(x), F.lit(False)))
     why = F.when(F.col("output").isNull(), "no output").when(strip(F.col("output")) != strip(F.col("expected")), "output differs").when(bad, "malformed assertion").when(~met, "assertion not met")

@@ -346,8 +346,8 @@ def slot_clash_counts(spark: SparkSession, sf: str) -> DataFrame:
     return R.clash_counts(c, p, "event_id", "ts", "ts").withColumnRenamed("cand_id", "event_id")
 
 
-@query("""select unnest(list_reduce(list([{'at': epoch_us(ts), 'id': event_id}] order by ts, event_id), (kept, x) ->
-    case when x[1]['at'] - kept[len(kept)]['at'] > 1800000000 then list_concat(kept, x) else kept end), recursive := false)['id'] as event_id, user_id from events group by user_id""")
+@query("""select unnest(list_reduce(list([{'at': epoch_us(ts), 'id': event_id}] order by ts, event_id), lambda kept, x:
+    case when x[1]['at'] - kept[len(kept)]['at'] > 1800000000 then list_concat(kept, x) else kept end))['id'] as event_id, user_id from events group by user_id""")
 def new_in_batch(spark: SparkSession, sf: str) -> DataFrame:
     return R.new_in_batch(table(spark, sf, "events"), "event_id", "ts", "user_id").select("event_id", "user_id")
 
