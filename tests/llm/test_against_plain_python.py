@@ -187,3 +187,24 @@ def test_fingerprints_carry_line_dedup(spark, monkeypatch):
     assert linededup.repeated_runs(docs).count() > 0
     monkeypatch.setattr(linededup, "fingerprints", lambda *a: selected.filter("doc_id % 2 = 0"))
     assert all(r.doc_id % 2 == 0 for r in linededup.repeated_runs(docs).collect())
+
+
+# ------------------------------------------------------------------ repeated rows
+
+
+def test_repeated_rows_are_taken_together(spark):
+    rows = [(7, "one two three", "s", 13)] * 40 + [(i, "a b c d", "s", 7) for i in range(100, 130)]
+    docs = spark.createDataFrame(rows, DOCS)
+    decided = mixing.mix_sources(docs).toPandas()
+    assert len(decided) == 70 and abs(decided.taken.sum() - decided.target.iloc[0]) <= 0.5  # the decision itself is exact
+    copies = {r["count"] for r in mixing.take_mix(docs).filter("doc_id = 7").groupBy("text").count().collect()}
+    assert copies <= {40, 80}  # texts: whole groups only
+
+
+def test_repeated_ids_are_documents_of_their_own(spark):
+    from vetspark.llm import search
+
+    docs = frame(spark, ["x y z", "x y", "p q"]).unionByName(spark.createDataFrame([(1, "x y z w", "s", 7), (1, "x y", "s", 3)], DOCS))
+    asked = spark.createDataFrame([(9, "x y")], "query_id long, text string")
+    found = search.bm25_topk(docs, asked, k=10).orderBy("rank").collect()
+    assert [r.doc_id for r in found].count(1) == 3 and {r.doc_id for r in found} == {0, 1} and [r["rank"] for r in found] == [1, 2, 3, 4]
