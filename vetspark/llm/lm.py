@@ -19,7 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import n_words
 
 #: Tokens and documents of a segment, whose n-grams a task holds at a time, and tokens for each hash part of the count table, about.
-SEGMENT_TOKENS, SEGMENT_DOCS, PART_TOKENS = 1_000_000, 100_000, 2_000_000
+SEGMENT_TOKENS, SEGMENT_DOCS, PART_TOKENS = 750_000, 100_000, 2_000_000
 #: Stands before a text's first word.
 START = np.uint64(0x9E3779B97F4A7C15)
 
@@ -196,6 +196,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     columns = [pa.array(np.full(len(there), segment)), pa.array(there), pa.array(np.full(len(there), slot, np.int32)), _list(counts[0][places].view(np.int64), pa.int64(), at)]
                     kept = at if slot % 2 else at * 0
                     yield pa.RecordBatch.from_arrays([*columns, *(_list(x[places[: kept[-1]]], t, kept) for x, t in zip(counts[1:], (pa.int32(), pa.int32(), pa.int8()), strict=True))], names=names)
+                pa.default_memory_pool().release_unused()
 
     names = ["segment", "part", "slot", "gram", "n", "followed", "texts"]
     packed = dealt.mapInArrow(explode, "segment long, part long, slot int, gram array<long>, n array<int>, followed array<int>, texts array<tinyint>").repartition("part")
@@ -227,6 +228,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             return none
         own = Segment(left.column("words")[0].as_py())
         right = right.sort_by([("slot", "ascending"), ("part", "ascending")]).combine_chunks()
+        pa.default_memory_pool().release_unused()
         slots = right.column("slot").to_numpy()
         shared: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # of each order
         for slot, places, counts in _slots(own, order):
