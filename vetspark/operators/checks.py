@@ -41,7 +41,10 @@ def without_phrases(text: Column, phrases: Sequence[str]) -> Column:
     return out
 
 
-def check_free_access(text: Column, free_flag: Column | None = None, paid: Sequence[str] = tuple(P.PAID_TERMS), brands: Sequence[str] = tuple(P.PAID_BRANDS), free: Sequence[str] = tuple(P.FREE_TERMS), price: str | None = r"\d+([.,]\d\d)?\s*(€|eur\b|euro\b)") -> Column:
+def check_free_access(
+    text: Column, free_flag: Column | None = None, paid: Sequence[str] = tuple(P.PAID_TERMS), brands: Sequence[str] = tuple(P.PAID_BRANDS),
+    free: Sequence[str] = tuple(P.FREE_TERMS), price: str | None = r"\d+([.,]\d\d)?\s*(€|eur\b|euro\b)",
+) -> Column:
     """Fails on a paid term that no free phrase contains, a paid brand, a price, or a flag that isn't set; else needs a flag or a free term."""
     t = text_or_empty(text)
     rest = without_phrases(t, free)  # only looked at where a paid term stands at all: blanking makes no new words

@@ -36,7 +36,10 @@ def extract_game(df: DataFrame, aliases: DataFrame | None = None, teams: str = "
     return out.withColumn("pair_key", pair_key(F.col("team1"), F.col("team2")))
 
 
-def game_record(df: DataFrame, validated_at: str, aliases: DataFrame | None = None, tz: str = P.TIMEZONE, teams: str = "teams", title: str = "title", league: str = "league", start: str = "start_ts", link: str = "url", free: str = "free_tier", source_ref: str = "source_ref") -> DataFrame:
+def game_record(
+    df: DataFrame, validated_at: str, aliases: DataFrame | None = None, tz: str = P.TIMEZONE, teams: str = "teams", title: str = "title",
+    league: str = "league", start: str = "start_ts", link: str = "url", free: str = "free_tier", source_ref: str = "source_ref",
+) -> DataFrame:
     """Adds what is taken down of a game: teams and pair_key as :func:`extract_game`, and league, start, link, access, source_ref, validated_at.
 
     ``league``: stripped, or else the title's beginning up to a colon; ``start`` as ISO 8601 with its offset in ``tz``; ``access``:

@@ -131,7 +131,10 @@ def results_table(created: DataFrame, skipped: DataFrame, columns: Sequence[str]
     return made.unionByName(left)
 
 
-def run_summary(df: DataFrame, rejected: Column, duplicate: Column, none_found: str = "no streams found", none_passed: str = "found {n} candidates, none passed", stages: Mapping[str, Column] | None = None) -> DataFrame:
+def run_summary(
+    df: DataFrame, rejected: Column, duplicate: Column, none_found: str = "no streams found", none_passed: str = "found {n} candidates, none passed",
+    stages: Mapping[str, Column] | None = None,
+) -> DataFrame:
     """One row: found, rejected, duplicates, created, and the message if nothing came of it; also for no rows.
 
     ``stages``: conditions in order; ``rejected_<name>`` counts the rows that a stage is the first to reject.

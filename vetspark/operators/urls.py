@@ -72,7 +72,10 @@ def probe_verdict(df: DataFrame, probes: DataFrame, on: str = "url", status: str
     return out.withColumns({"http_status": s, "probe": verdict}).drop(key, found)
 
 
-def live_url_rule(url: Column, host: Column, hosts: Sequence[str] = tuple(CHANNEL_HOSTS), exempt: str | None = "/user/TheDBBTV", live: Sequence[str] = ("/live", "live=", "/@"), on_host: Column | None = None) -> Column:
+def live_url_rule(
+    url: Column, host: Column, hosts: Sequence[str] = tuple(CHANNEL_HOSTS), exempt: str | None = "/user/TheDBBTV",
+    live: Sequence[str] = ("/live", "live=", "/@"), on_host: Column | None = None,
+) -> Column:
     """False for a URL on ``hosts`` (or below) that doesn't point at a live page; true elsewhere.
 
     A live page's URL holds one of ``live`` or the path segments ``exempt``.  ``on_host`` says instead of ``hosts`` which URLs are bound.

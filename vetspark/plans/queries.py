@@ -117,10 +117,12 @@ def reject_reason_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""select doc_id, regexp_matches(text, '{word("MIT")}') as mit, regexp_matches(text, '{word("Licensed")}') as licensed, regexp_matches(text, '{word("Apache")}') as apache,
-  concat_ws(',', case when regexp_matches(text, '{word("MIT")}') then 'MIT' end, case when regexp_matches(text, '{word("Licensed")}') then 'Licensed' end) as hits from documents""")
+  concat_ws(',', case when regexp_matches(text, '{word("MIT")}') then 'MIT' end, case when regexp_matches(text, '{word("Licensed")}') then 'Licensed' end) as hits
+  from documents""")
 def keyword_hits(spark: SparkSession, sf: str) -> DataFrame:
     t = F.col("text")
-    return table(spark, sf, "documents").select("doc_id", *[C.has_word(t, [w]).alias(w.lower()) for w in ("MIT", "Licensed", "Apache")], F.array_join(C.keyword_hits(t, ["MIT", "Licensed"]), ",").alias("hits"))
+    single = [C.has_word(t, [w]).alias(w.lower()) for w in ("MIT", "Licensed", "Apache")]
+    return table(spark, sf, "documents").select("doc_id", *single, F.array_join(C.keyword_hits(t, ["MIT", "Licensed"]), ",").alias("hits"))
 
 
 FREE, PAID = ["under the MIT License", "MIT License"], ["License", "rights reserved"]
@@ -173,7 +175,8 @@ def working_link_check(spark: SparkSession, sf: str) -> DataFrame:
     return probed(spark, sf).select("doc_id", C.check_working_link(F.col("http_status"), F.col("n_chars") >= 100)["reason"].alias("reason"))
 
 
-@query("select page_id, case when html is null then 'page unreadable' when not regexp_matches(html, '<article[^>]*><h1>[^<]*</h1><p><b>') then 'no stream on the page' end as reason from pages")
+@query("""select page_id, case when html is null then 'page unreadable'
+  when not regexp_matches(html, '<article[^>]*><h1>[^<]*</h1><p><b>') then 'no stream on the page' end as reason from pages""")
 def page_element_check(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", C.check_direct_stream(F.col("html"), evidence="<article[^>]*><h1>[^<]*</h1><p><b>")["reason"].alias("reason"))
 
@@ -187,7 +190,8 @@ def platform_rule(spark: SparkSession, sf: str) -> DataFrame:
     return C.platform_rule(pages(spark, sf), PLATFORMS).select("page_id", "platform_free")
 
 
-@query("""select event_id, exists (select 1 from events s where s.event_type = 'signup' and s.user_id = e.user_id and cast(s.ts as date) = cast(e.ts as date)) as announced
+@query("""select event_id, exists (select 1 from events s where s.event_type = 'signup' and s.user_id = e.user_id and cast(s.ts as date) =
+  cast(e.ts as date)) as announced
   from events e where event_type = 'purchase'""")
 def announcement_gate(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").withColumn("day", F.to_date("ts"))
@@ -208,7 +212,8 @@ def page_checks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _CHECKED = f"""(select page_id, url, {HOST} as host, {_RULES} as c1, case when not starts_with({PATH}, '/en') then 'not English' end as c2,
-  case when html is null then 'page unreadable' when not regexp_matches(html, '<article[^>]*><h1>[^<]*</h1><p><b>') then 'no stream on the page' end as c3, case when length(html) > 4000 then 'too long' end as c4 from pages)"""
+  case when html is null then 'page unreadable' when not regexp_matches(html, '<article[^>]*><h1>[^<]*</h1><p><b>') then 'no stream on the page' end as c3, case
+  when length(html) > 4000 then 'too long' end as c4 from pages)"""
 _LOG = f"""(select page_id, host, n as check_no, check_name as "check", case when reason is null then 'PASS' else 'FAIL' end as status, reason from (
   select page_id, host, 1 as n, 'url' as check_name, c1 as reason from {_CHECKED} union all select page_id, host, 2, 'language', c2 from {_CHECKED}
   union all select page_id, host, 3, 'page', c3 from {_CHECKED} union all select page_id, host, 4, 'length', c4 from {_CHECKED}))"""
@@ -216,13 +221,15 @@ _LOG = f"""(select page_id, host, n as check_no, check_name as "check", case whe
 
 @query(f"""select page_id, case when coalesce(c1, c2, c3, c4) is null then 'CREATE' else 'SKIP' end as decision, coalesce(c1, c2, c3, c4) as reason, concat_ws('; ', c1, c2, c3, c4) as reasons,
   concat_ws(' ', case when c1 is null then 'PASS' else 'FAIL' end, case when c1 is not null then 'N/A' when c2 is null then 'PASS' else 'FAIL' end,
-   case when coalesce(c1, c2) is not null then 'N/A' when c3 is null then 'PASS' else 'FAIL' end, case when coalesce(c1, c2, c3) is not null then 'N/A' when c4 is null then 'PASS' else 'FAIL' end) as short from {_CHECKED}""")
+   case when coalesce(c1, c2) is not null then 'N/A' when c3 is null then 'PASS' else 'FAIL' end, case when coalesce(c1, c2, c3) is not null then 'N/A'
+  when c4 is null then 'PASS' else 'FAIL' end) as short from {_CHECKED}""")
 def decide(spark: SparkSession, sf: str) -> DataFrame:
     short = F.array_join(F.transform(C.short_circuit(F.col("checks")), lambda x: x["status"]), " ")
     return page_checks(spark, sf).select("page_id", "decision", "reason", F.array_join("reasons", "; ").alias("reasons"), short.alias("short"))
 
 
-@query(f"""select doc_id, case when trim(source) = '' then 'no direct link' when reason is not null then 'URL not valid' when n_chars < 1000 then 'live stream not confirmed' when source = 'src3' then 'no source reference' end as missing from {_PROBED}""")
+@query(f"""select doc_id, case when trim(source) = '' then 'no direct link' when reason is not null then 'URL not valid'
+  when n_chars < 1000 then 'live stream not confirmed' when source = 'src3' then 'no source reference' end as missing from {_PROBED}""")
 def creation_gate(spark: SparkSession, sf: str) -> DataFrame:
     ref = F.when(F.col("source") != "src3", F.col("source"))
     return probed(spark, sf).select("doc_id", C.creation_gate(F.col("source"), F.col("probe.valid"), F.col("n_chars") >= 1000, ref).alias("missing"))
@@ -244,12 +251,14 @@ def check_pass_rates(spark: SparkSession, sf: str) -> DataFrame:
 ALIASES = [("building", "Construction"), ("Furniture ", "Home"), ("household", "Home")]
 
 
-@query("""select c_custkey, case when c_mktsegment = 'BUILDING' then 'Construction' when c_mktsegment in ('FURNITURE', 'HOUSEHOLD') then 'Home' else c_mktsegment end as segment from customer""")
+@query("""select c_custkey, case when c_mktsegment = 'BUILDING' then 'Construction'
+  when c_mktsegment in ('FURNITURE', 'HOUSEHOLD') then 'Home' else c_mktsegment end as segment from customer""")
 def alias_normalise(spark: SparkSession, sf: str) -> DataFrame:
     return D.normalise(table(spark, sf, "customer"), "c_mktsegment", spark.createDataFrame(ALIASES, "alias string, canonical string"), "segment").select("c_custkey", "segment")
 
 
-@query("select p_partkey, case when contains(p_name, ' ') then split_part(p_name, ' ', 1) end as first, case when contains(p_name, ' ') then substr(p_name, instr(p_name, ' ') + 1) end as second from part")
+@query("""select p_partkey, case when contains(p_name, ' ') then split_part(p_name, ' ', 1) end as first, case
+  when contains(p_name, ' ') then substr(p_name, instr(p_name, ' ') + 1) end as second from part""")
 def split_pair(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", D.split_pair(F.col("p_name"), " ").alias("p")).select("p_partkey", "p.*")
 
@@ -260,7 +269,8 @@ def split_pair(spark: SparkSession, sf: str) -> DataFrame:
 def unordered_pair_counts(spark: SparkSession, sf: str) -> DataFrame:
     t = lambda name: table(spark, sf, name)
     lines = t("lineitem").select("l_orderkey", "l_suppkey").join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    keyed = lines.join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(t("supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    keyed = lines.join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    keyed = keyed.join(t("supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
     counts = keyed.groupBy("c_nationkey", "s_nationkey").agg(F.count("*").alias("c"))  # few pairs are left before names are looked up
     a, b = (t("nation").select(F.col("n_nationkey").alias(f"k{x}"), F.col("n_name").alias(x)) for x in "ab")
     named = counts.join(a, F.col("c_nationkey") == F.col("ka")).join(b, F.col("s_nationkey") == F.col("kb"))
@@ -273,7 +283,8 @@ _SUMMARY = "'[' || event_type || '] ' || 'user ' || user_id || ' vs ' || 'event'
 @query(f"""select event_id, {_SUMMARY} as summary, strftime({_LOCAL}, '%Y-%m-%dT%H:%M:%S') || '+01:00' as start_iso,
   strftime({_LOCAL} + case when event_type = 'purchase' then interval 180 minute else interval 150 minute end, '%Y-%m-%dT%H:%M:%S') || '+01:00' as end_iso,
   ts + case when event_type = 'purchase' then interval 180 minute else interval 150 minute end as end_ts, '6' as colour,
-  'League: ' || event_type || chr(10) || 'Teams: user ' || user_id || ' vs event' || chr(10) || 'Date/Time: ' || strftime({_LOCAL}, '%Y-%m-%dT%H:%M:%S') || '+01:00' || chr(10) || 'Free stream links:' || chr(10)
+  'League: ' || event_type || chr(10) || 'Teams: user ' || user_id || ' vs event' || chr(10) || 'Date/Time: ' ||
+  strftime({_LOCAL}, '%Y-%m-%dT%H:%M:%S') || '+01:00' || chr(10) || 'Free stream links:' || chr(10)
     || 'props: ' || props || chr(10) || 'Access: free' || chr(10) || 'Source: ' || event_id || ' at 2024-02-01' as description from events""")
 def event_record(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").select(
@@ -289,7 +300,8 @@ _LEAGUE = "case when p_type = 'PROMO' then 'FIBA ' when p_type = 'LARGE' then '
 _KIND = "case when p_brand = 'Brand#2' then 'Final' when p_brand = 'Brand#3' then ' SEMIFINALS ' else 'playoff' end"
 
 
-@query("""select p_partkey, case when p_type = 'SMALL' then null when p_type = 'PROMO' then '2' when p_type = 'LARGE' and p_brand in ('Brand#2', 'Brand#3') then '11' else '6' end as colour from part""")
+@query("""select p_partkey, case when p_type = 'SMALL' then null when p_type = 'PROMO' then '2'
+  when p_type = 'LARGE' and p_brand in ('Brand#2', 'Brand#3') then '11' else '6' end as colour from part""")
 def category_colour(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", D.event_colour(F.expr(_LEAGUE), F.expr(_KIND)).alias("colour"))
 
@@ -297,7 +309,8 @@ def category_colour(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- reconciliation
 
 
-@query("""with t as (select l_orderkey, l_linenumber, l_partkey, n_regionkey as tier from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey)
+@query("""with t as (select l_orderkey, l_linenumber, l_partkey, n_regionkey as tier from lineitem join supplier on l_suppkey = s_suppkey
+  join nation on s_nationkey = n_nationkey)
   select l_orderkey, l_linenumber, l_partkey, tier from t qualify tier = min(tier) over (partition by l_partkey)""")
 def tier_prune(spark: SparkSession, sf: str) -> DataFrame:
     region = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_regionkey").alias("tier"))
@@ -324,7 +337,9 @@ def sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return tuple(e.filter(F.col("event_type") == kind).drop("event_type") for kind in ("signup", "purchase"))
 
 
-_PAIRS = "select c.event_id, c.ts, c.user_id, p.event_id as m, abs(epoch_us(c.ts) - epoch_us(p.ts)) as gap from (select * from events where event_type = 'signup') c left join (select * from events where event_type = 'purchase') p on {} p.ts between c.ts - interval 30 minute and c.ts + interval 30 minute"
+_PAIRS = """select c.event_id, c.ts, c.user_id, p.event_id as m, abs(epoch_us(c.ts) - epoch_us(p.ts)) as gap
+  from (select * from events where event_type = 'signup') c left join (select * from events where event_type = 'purchase') p
+  on {} p.ts between c.ts - interval 30 minute and c.ts + interval 30 minute"""
 _KEYED, _TIMED = f"({_PAIRS.format('c.user_id = p.user_id and')})", f"({_PAIRS.format('')})"
 
 
@@ -352,7 +367,8 @@ def new_in_batch(spark: SparkSession, sf: str) -> DataFrame:
     return R.new_in_batch(table(spark, sf, "events"), "event_id", "ts", "user_id").select("event_id", "user_id")
 
 
-@query(f"""select case when m is null then 'created' else 'skipped' end as status, event_id, user_id, strftime(timezone('Europe/Berlin', timezone('UTC', ts)), '%Y-%m-%d %H:%M') as local_time,
+@query(f"""select case when m is null then 'created' else 'skipped' end as status, event_id, user_id,
+  strftime(timezone('Europe/Berlin', timezone('UTC', ts)), '%Y-%m-%d %H:%M') as local_time,
   case when m is null then cast(event_id as varchar) else 'Event already exists: ' || m end as calendar_event from
   (select event_id, user_id, ts, arg_min(m, struct_pack(a := gap, b := m)) filter (m is not null) as m from {_KEYED} group by all)""")
 def results_table(spark: SparkSession, sf: str) -> DataFrame:
@@ -384,7 +400,8 @@ _HREFS = """(select page_id, url, unnest(regexp_extract_all(html, 'href="([^"]+)
 HREF = r'href="([^"]+)"'
 
 
-@query(f"""select page_id, link, failed from (select page_id, link, case when contains(link, ',') then 'comma in path' when contains(link, '.') then 'full stop in path' when regexp_matches(link, '/[A-Z]') then 'upper case' end as failed from {_HREFS}) where failed is not null""")
+@query(f"""select page_id, link, failed from (select page_id, link, case when contains(link, ',') then 'comma in path'
+  when contains(link, '.') then 'full stop in path' when regexp_matches(link, '/[A-Z]') then 'upper case' end as failed from {_HREFS}) where failed is not null""")
 def audit_published(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "pages").select("page_id", F.regexp_extract_all(F.col("html"), F.lit(HREF), F.lit(1)).alias("links"))
     link = F.col("link")
@@ -392,9 +409,12 @@ def audit_published(spark: SparkSession, sf: str) -> DataFrame:
     return R.audit_published(e, failed, ["page_id"])
 
 
-@query(f"""with links as (select distinct page_id, url, link from (select page_id, url, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) as link from pages union all select page_id, url, url from pages)),
-  judged as (select page_id, url as source_ref, link, s as http_status, case when contains(link, 'cheap-pills') then 'spam host' when contains(link, 'spam-farm') then 'link farm'
-      when contains(link, '?page=') and not regexp_matches(link, '/fr([/?#]|$)') then 'listing page' when s is null then 'HTTP error' when s <> 200 then 'HTTP ' || s end as failed
+@query(f"""with links as (select distinct page_id, url, link from (select page_id, url, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) as link from pages
+  union all select page_id, url, url from pages)),
+  judged as (select page_id, url as source_ref, link, s as http_status, case when contains(link, 'cheap-pills') then 'spam host'
+  when contains(link, 'spam-farm') then 'link farm'
+      when contains(link, '?page=') and not regexp_matches(link, '/fr([/?#]|$)') then 'listing page' when s is null then 'HTTP error'
+  when s <> 200 then 'HTTP ' || s end as failed
     from (select *, case when length(link) % 5 = 0 then null when length(link) % 7 = 0 then 404 when length(link) % 11 = 0 then 301 else 200 end as s from links))
   select page_id, source_ref, '2024-02-01' as validated_at, link, http_status, failed from judged where failed is not null""")
 def audit_links(spark: SparkSession, sf: str) -> DataFrame:
@@ -406,13 +426,17 @@ def audit_links(spark: SparkSession, sf: str) -> DataFrame:
     return R.audit_links(e, probes, RULES, ["page_id", "source_ref", "validated_at"])
 
 
-@query(f"""select event_id, 'user ' || user_id as team1, 'event' as team2, 'event|user ' || user_id as pair_key, case when event_type = 'click' then 'CLICK' else event_type end as league,
-  strftime({_LOCAL}, '%Y-%m-%dT%H:%M:%S') || '+01:00' as start, 'https://a.example/' || event_id as link, case when value < 5 then 'unknown' when value < 20 then 'restricted' else 'free' end as access,
+@query(f"""select event_id, 'user ' || user_id as team1, 'event' as team2, 'event|user ' || user_id as pair_key, case
+  when event_type = 'click' then 'CLICK' else event_type end as league,
+  strftime({_LOCAL}, '%Y-%m-%dT%H:%M:%S') || '+01:00' as start, 'https://a.example/' || event_id as link, case when value < 5 then 'unknown'
+  when value < 20 then 'restricted' else 'free' end as access,
   case when event_id % 2 = 0 then 'ref ' || event_id else 'https://a.example/' || event_id end as source_ref, '2024-02-01' as validated_at from events""")
 def game_record(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").select(
-        "event_id", F.concat(F.lit("user "), "user_id", F.lit(" vs. event")).alias("teams"), F.concat(F.upper("event_type"), F.lit(": game")).alias("title"), F.when(F.col("event_type") != "click", F.col("event_type")).otherwise(" ").alias("league"),
-        F.col("ts").alias("start_ts"), F.concat(F.lit("https://a.example/"), "event_id").alias("url"), F.when(F.col("value") >= 5, F.col("value") >= 20).alias("free_tier"), F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("ref "), "event_id")).alias("source_ref"),
+        "event_id", F.concat(F.lit("user "), "user_id", F.lit(" vs. event")).alias("teams"),
+        F.concat(F.upper("event_type"), F.lit(": game")).alias("title"), F.when(F.col("event_type") != "click", F.col("event_type")).otherwise(" ").alias("league"),
+        F.col("ts").alias("start_ts"), F.concat(F.lit("https://a.example/"), "event_id").alias("url"),
+        F.when(F.col("value") >= 5, F.col("value") >= 20).alias("free_tier"), F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("ref "), "event_id")).alias("source_ref"),
     )
     return D.game_record(e, "2024-02-01").select("event_id", "team1", "team2", "pair_key", "league", "start", "link", "access", "source_ref", "validated_at")
 
@@ -426,17 +450,20 @@ def query_params(spark: SparkSession, sf: str) -> DataFrame:
     return pages(spark, sf).select("page_id", F.explode(S.key_values(F.col("query"), "&")).alias("name", "value"))
 
 
-@query("select doc_id, case when quality = 1 then 'CREATE' else 'SKIP' end as decision, case when quality = 0 then 'poor text' end as reason, case when toxic = 0 then 'quality=' || case when quality = 1 then 'PASS' else 'FAIL' end || ',toxic=PASS' else 'toxic=FAIL' end as checks from labels")
+@query("""select doc_id, case when quality = 1 then 'CREATE' else 'SKIP' end as decision, case when quality = 0 then 'poor text' end as reason, case
+  when toxic = 0 then 'quality=' || case when quality = 1 then 'PASS' else 'FAIL' end || ',toxic=PASS' else 'toxic=FAIL' end as checks from labels""")
 def parse_expected(spark: SparkSession, sf: str) -> DataFrame:
     text = F.concat(
         F.lit("Decision="), F.when(F.col("quality") == 1, "CREATE").otherwise("SKIP"), F.lit("; reason="), F.when(F.col("quality") == 0, "poor text").otherwise(""),
-        F.lit("; checks: "), F.when(F.col("toxic") == 0, F.concat(F.lit("quality="), F.when(F.col("quality") == 1, "PASS (fine)").otherwise("FAIL"), F.lit(", toxic=PASS"))).otherwise("toxic=FAIL; WARNING: look again"),
+        F.lit("; checks: "),
+        F.when(F.col("toxic") == 0, F.concat(F.lit("quality="), F.when(F.col("quality") == 1, "PASS (fine)").otherwise("FAIL"), F.lit(", toxic=PASS"))).otherwise("toxic=FAIL; WARNING: look again"),
     )
     p = S.parse_expected(text)
     return table(spark, sf, "labels").select("doc_id", p["decision"].alias("decision"), p["reason"].alias("reason"), F.array_join(p["checks"], ",").alias("checks"))
 
 
-@query(r"select o_orderkey as id, o_orderpriority || ' expected PASS' as assertion, o_orderpriority || '=PASS' as needle from orders where not contains(o_orderpriority, ' ') union all select o_orderkey, o_orderpriority || ' expected PASS', null from orders where contains(o_orderpriority, ' ')")
+@query(r"""select o_orderkey as id, o_orderpriority || ' expected PASS' as assertion, o_orderpriority || '=PASS' as needle from orders
+  where not contains(o_orderpriority, ' ') union all select o_orderkey, o_orderpriority || ' expected PASS', null from orders where contains(o_orderpriority, ' ')""")
 def regex_needles(spark: SparkSession, sf: str) -> DataFrame:
     cases = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.array(F.concat("o_orderpriority", F.lit(" expected PASS"))).alias("assertions"))
     return S.assertion_needles(cases)
@@ -444,12 +471,14 @@ def regex_needles(spark: SparkSession, sf: str) -> DataFrame:
 
 def label_scores(spark: SparkSession, sf: str) -> DataFrame:
     verdict = lambda good: F.when(good, "long=PASS").otherwise("long=FAIL")
-    cases = table(spark, sf, "labels").select(F.col("doc_id").alias("id"), F.concat(verdict(F.col("quality") == 1), F.lit("\n")).alias("expected_output"), F.when(F.col("toxic") == 1, F.array(F.lit("long expected PASS"))).otherwise(F.array().cast("array<string>")).alias("assertions"))
+    wanted = F.when(F.col("toxic") == 1, F.array(F.lit("long expected PASS"))).otherwise(F.array().cast("array<string>"))
+    cases = table(spark, sf, "labels").select(F.col("doc_id").alias("id"), F.concat(verdict(F.col("quality") == 1), F.lit("\n")).alias("expected_output"), wanted.alias("assertions"))
     said = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("key"), verdict(F.col("n_chars") >= 800).alias("output"))
     return S.score_cases(cases, said)
 
 
-_SCORES = """(select l.doc_id as id, case when (d.n_chars >= 800) <> (quality = 1) then 'output differs' when toxic = 1 and d.n_chars < 800 then 'assertion not met' end as why, cast(toxic as bigint) as n_assertions from labels l join documents d on d.doc_id = l.doc_id)"""
+_SCORES = """(select l.doc_id as id, case when (d.n_chars >= 800) <> (quality = 1) then 'output differs'
+  when toxic = 1 and d.n_chars < 800 then 'assertion not met' end as why, cast(toxic as bigint) as n_assertions from labels l join documents d on d.doc_id = l.doc_id)"""
 
 
 @query(f"select id, why is null as passed, why, n_assertions from {_SCORES}")
@@ -457,17 +486,20 @@ def score_cases(spark: SparkSession, sf: str) -> DataFrame:
     return label_scores(spark, sf)
 
 
-@query(f"select count(*) filter (why is null) as cases_passed, count(*) filter (why is not null) as cases_failed, cast(coalesce(sum(n_assertions) filter (why is null), 0) as bigint) as assertions_evaluated from {_SCORES}")
+@query(f"""select count(*) filter (why is null) as cases_passed, count(*) filter (why is not null) as cases_failed,
+  cast(coalesce(sum(n_assertions) filter (why is null), 0) as bigint) as assertions_evaluated from {_SCORES}""")
 def score_summary(spark: SparkSession, sf: str) -> DataFrame:
     return S.score_summary(label_scores(spark, sf))
 
 
-@query("select event_id, case when not json_valid(props) then 'not JSON' when json_type(props, '$.k') is null or json_type(props, '$.k') not in ('UBIGINT', 'BIGINT') then 'k is no number' else 'note is no text' end as problem from events")
+@query("""select event_id, case when not json_valid(props) then 'not JSON'
+  when json_type(props, '$.k') is null or json_type(props, '$.k') not in ('UBIGINT', 'BIGINT') then 'k is no number' else 'note is no text' end as problem from events""")
 def structural_report(spark: SparkSession, sf: str) -> DataFrame:
     return S.structural_report(table(spark, sf, "events"), "props", [("$.k", "BIGINT", "k is no number"), ("$.note", "STRING", "note is no text")]).select("event_id", "problem")
 
 
-@query("""select doc_id, case when doc_id % 5 = 0 then 'assertions is no list' end as problem, case when doc_id % 5 > 0 then doc_id % 4 end as n_assertions, length(source) as output_length from documents""")
+@query("""select doc_id, case when doc_id % 5 = 0 then 'assertions is no list' end as problem, case
+  when doc_id % 5 > 0 then doc_id % 4 end as n_assertions, length(source) as output_length from documents""")
 def structural_sizes(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select("doc_id", "source")
     own = F.when(F.col("doc_id") % 5 > 0, F.array_repeat("source", (F.col("doc_id") % 4).cast("int")))
@@ -476,14 +508,16 @@ def structural_sizes(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "problem", "n_assertions", "output_length")
 
 
-@query("select event_id, concat_ws('; ', case when cast(props->>'$.k' as bigint) > 90 then 'k too large' end, case when value < 1 then 'value too small' end) as errors from events")
+@query("""select event_id, concat_ws('; ', case when cast(props->>'$.k' as bigint) > 90 then 'k too large' end, case
+  when value < 1 then 'value too small' end) as errors from events""")
 def record_conformance(spark: SparkSession, sf: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").try_cast("long")
     extra = [F.when(k > 90, "k too large"), F.when(F.col("value") < 1, "value too small")]
     return V.record_conformance(table(spark, sf, "events"), "props", ["k"], {"k": "BIGINT"}, extra).select("event_id", F.array_join("errors", "; ").alias("errors"))
 
 
-@query(f"""select doc_id, concat_ws('; ', case when n_chars > 3000 then 'characters' end, case when len(string_split(text, chr(10))) > 12 then 'lines' end, case when not regexp_matches(text, '{word("the", "de", "und")}') then 'term' end) as errors from documents""")
+@query(f"""select doc_id, concat_ws('; ', case when n_chars > 3000 then 'characters' end, case when len(string_split(text, chr(10))) > 12 then 'lines' end, case
+  when not regexp_matches(text, '{word("the", "de", "und")}') then 'term' end) as errors from documents""")
 def document_conformance(spark: SparkSession, sf: str) -> DataFrame:
     limits = {"characters": F.col("n_chars") <= 3000, "lines": F.size(F.split("text", "\n")) <= 12, "term": C.has_word(F.col("text"), ["the", "de", "und"])}
     return V.measured_conformance(table(spark, sf, "documents"), limits).select("doc_id", F.array_join("errors", "; ").alias("errors"))
@@ -492,7 +526,8 @@ def document_conformance(spark: SparkSession, sf: str) -> DataFrame:
 _LINES = "case when text = '' then 0 else len(string_split(regexp_replace(text, '\\n$', ''), chr(10))) end"
 
 
-@query(f"""select doc_id, concat_ws('; ', case when doc_id % 2 = 1 then 'missing keys: description' end, case when doc_id % 3 = 0 then 'name malformed' end, case when doc_id % 2 = 0 and doc_id % 1500 > 1024 then 'description too long' end,
+@query(f"""select doc_id, concat_ws('; ', case when doc_id % 2 = 1 then 'missing keys: description' end, case when doc_id % 3 = 0 then 'name malformed' end, case
+  when doc_id % 2 = 0 and doc_id % 1500 > 1024 then 'description too long' end,
   case when {_LINES} > 12 then 'body too long' end, case when not regexp_matches(text, '(^|\\n)## Usage(\\n|$)') then 'missing sections: ## Usage' end) as errors
   from (select doc_id, text || case when doc_id % 5 = 0 then chr(10) || '## Usage' || chr(10) else '' end as text from documents)""")
 def document_frontmatter(spark: SparkSession, sf: str) -> DataFrame:
@@ -505,8 +540,10 @@ def document_frontmatter(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", F.array_join("errors", "; ").alias("errors"))
 
 
-@query("""select l_orderkey as id, concat_ws('; ', case when o_orderstatus <> 'F' then 'skill_name is not F: ' || o_orderstatus end, case when l_orderkey % 7 = 0 then 'evals is no list' end,
-  case when l_orderkey % 7 > 0 and count(distinct l_quantity) < count(*) then 'repeated id' end) as errors from lineitem join orders on l_orderkey = o_orderkey group by l_orderkey, o_orderstatus""")
+@query("""select l_orderkey as id, concat_ws('; ', case when o_orderstatus <> 'F' then 'skill_name is not F: ' || o_orderstatus end, case
+  when l_orderkey % 7 = 0 then 'evals is no list' end,
+  case when l_orderkey % 7 > 0 and count(distinct l_quantity) < count(*) then 'repeated id' end) as errors from lineitem join orders on l_orderkey = o_orderkey
+  group by l_orderkey, o_orderstatus""")
 def corpus_conformance(spark: SparkSession, sf: str) -> DataFrame:
     cases = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_quantity").cast("long").alias("id"))).alias("evals"))
     own = cases.join(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), F.col("l_orderkey") == F.col("o_orderkey"))
@@ -514,7 +551,9 @@ def corpus_conformance(spark: SparkSession, sf: str) -> DataFrame:
     return V.corpus_conformance(own.select(F.col("l_orderkey").alias("id"), raw.alias("raw")), "raw", "F").select("id", F.array_join("errors", "; ").alias("errors"))
 
 
-@query("select distinct o_orderpriority || '-' || o_custkey % 50 as name, o_orderpriority || '-' || o_custkey % 50 || ': document missing for reference scan' as warning from orders where o_custkey % 50 not in (select c_custkey % 50 from customer where c_acctbal > 9000)")
+@query("""select distinct o_orderpriority || '-' || o_custkey % 50 as name, o_orderpriority || '-' || o_custkey % 50 || ': document missing for reference scan' as warning
+  from orders
+  where o_custkey % 50 not in (select c_custkey % 50 from customer where c_acctbal > 9000)""")
 def missing_documents(spark: SparkSession, sf: str) -> DataFrame:
     name = lambda p, k: F.concat(p, F.lit("-"), (k % 50).cast("string")).alias("name")
     o = table(spark, sf, "orders")
@@ -523,7 +562,8 @@ def missing_documents(spark: SparkSession, sf: str) -> DataFrame:
     return V.missing_documents(o.select(name(F.col("o_orderpriority"), F.col("o_custkey"))), documents)
 
 
-@query("""select p_brand || '-' || p_type as "check", case when count(*) filter (p_size > 25) = 0 then 'no failing fixture' else 'its fixtures pass' end as problem from part group by 1 having count(*) filter (p_size > 45) = 0""")
+@query("""select p_brand || '-' || p_type as "check", case when count(*) filter (p_size > 25) = 0 then 'no failing fixture' else 'its fixtures pass' end as problem
+  from part group by 1 having count(*) filter (p_size > 45) = 0""")
 def unproven_checks(spark: SparkSession, sf: str) -> DataFrame:
     part = table(spark, sf, "part").select(F.concat("p_brand", F.lit("-"), "p_type").alias("check"), "p_size")
     return V.unproven_checks(part, part.filter("p_size > 25").select("check", F.when(F.col("p_size") > 45, "FAIL").otherwise("PASS").alias("verdict")))
@@ -544,7 +584,8 @@ def identifier_conformance(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""with found as (select 'characters' as c from documents where n_chars > 3000 union all select 'lines' from documents where len(string_split(text, chr(10))) > 12
     union all select 'term' from documents where not regexp_matches(text, '{word("the", "de", "und")}'))
-  select r.c as "check", count(f.c) as n_errors, case when count(f.c) > 0 then 'FAIL' else 'PASS' end as verdict from (values ('characters'), ('lines'), ('term'), ('unused')) as r(c) left join found f on f.c = r.c group by r.c""")
+  select r.c as "check", count(f.c) as n_errors, case when count(f.c) > 0 then 'FAIL' else 'PASS' end as verdict
+  from (values ('characters'), ('lines'), ('term'), ('unused')) as r(c) left join found f on f.c = r.c group by r.c""")
 def conformance_verdict(spark: SparkSession, sf: str) -> DataFrame:
     limits = {"characters": F.col("n_chars") <= 3000, "lines": F.size(F.split("text", "\n")) <= 12, "term": C.has_word(F.col("text"), ["the", "de", "und"])}
     found = V.measured_conformance(table(spark, sf, "documents"), limits).select(F.explode("errors").alias("check"))
