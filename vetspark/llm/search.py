@@ -20,7 +20,7 @@ SHARD_DOCS, SHARD_TOKENS, PART_DOCS, BLOCK_DOCS = 16_384, 2_000_000, 1024, 64
 #: A term that so many documents of a part hold is kept as a full row there; the rest are lists.  Queries that are scored together.
 FULL_ROW, TOGETHER = 64, 256
 #: Queries, and their terms, that are sent to all shards at a time: a bounded broadcast.
-BLOCK_QUERIES, BLOCK_TERMS = 8_192, 3_000_000
+BLOCK_QUERIES, BLOCK_TERMS = 6_000, 2_000_000
 #: Scores are rounded to this many decimals, so that equal texts tie whatever the order of summation.
 DECIMALS = 9
 SLACK = 1e-6
@@ -96,6 +96,16 @@ class Queries:
     idf: np.ndarray
 
 
+def _queries(rows: pa.Table) -> Queries:
+    """From (query_id, term array, idf array)."""
+    rows = rows.combine_chunks()
+    if not rows.num_rows:
+        return Queries(*(np.zeros(n, t) for n, t in ((0, np.int64), (1, np.int64), (0, np.int64), (0, np.int64), (0, np.float64))))
+    term, idf = (rows.column(c).chunk(0) for c in ("term", "idf"))
+    terms, first, at = np.unique(term.flatten().to_numpy(), return_index=True, return_inverse=True)
+    return Queries(rows.column("query_id").to_numpy(), (term.offsets.to_numpy() - term.offsets[0].as_py()).astype(np.int64), at, terms, idf.flatten().to_numpy()[first])
+
+
 def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Places starts[0], …, starts[0] + sizes[0] - 1, starts[1], …"""
     ends = np.cumsum(sizes)
@@ -264,12 +274,7 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10, doc_id: str = "d
 
     out = None
     for block in range(blocks):
-        own = weighed.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).select("query_id", "terms.term", "terms.idf").orderBy("query_id").toPandas()
-        flat = np.concatenate([np.asarray(x, np.int64) for x in own["term"]]) if len(own) else np.zeros(0, np.int64)
-        idf = np.concatenate([np.asarray(x, np.float64) for x in own["idf"]]) if len(own) else np.zeros(0)
-        terms, first, at = np.unique(flat, return_index=True, return_inverse=True)
-        start = np.concatenate(([0], np.cumsum([len(x) for x in own["term"]], dtype=np.int64))).astype(np.int64)
-        shared = spark.sparkContext.broadcast(Queries(own["query_id"].to_numpy(np.int64), start, at, terms, idf[first]))
+        shared = spark.sparkContext.broadcast(_queries(weighed.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).select("query_id", "terms.term", "terms.idf").toArrow()))
         found = materialise(search(shared), "search-found")
         shared.destroy()
         out = found if out is None else out.unionByName(found)
