@@ -18,8 +18,9 @@ from .common import materialise, skew_join
 
 #: Vectors that the trees are fitted on; every vector is indexed.
 SAMPLE = 10_000
-#: Leaves that are searched together share a subtree of so many levels; rows of such a subtree that one task compares at a time.
-GROUP_LEVELS, GROUP_ROWS = 3, 8_192
+#: Leaves that are searched together share a subtree of so many levels (a bit for each leaf makes a long), so that a query's bests are
+#: taken over many leaves before they are dealt out; rows of such a subtree that one task compares at a time.
+GROUP_LEVELS, GROUP_ROWS = 6, 8_192
 #: How fast the chance falls that a neighbour lies beyond a cut, by the cut's distance over the spread of all vectors along its direction.
 LEAN = 0.82
 
@@ -159,16 +160,16 @@ def nearest(
                 masks: defaultdict[tuple[int, int], int] = defaultdict(int)
                 for t, at in shared.value.visit(x, n_leaves):
                     masks[t, at >> up] |= 1 << (at & (2**up - 1))
-                visits.append([{"tree": t, "subtree": at, "mask": m} for (t, at), m in masks.items()])
-            kind = pa.list_(pa.struct([("tree", pa.int32()), ("subtree", pa.int64()), ("mask", pa.int32())]))
+                visits.append([{"tree": t, "subtree": at, "mask": m - (m >> 63 << 64)} for (t, at), m in masks.items()])
+            kind = pa.list_(pa.struct([("tree", pa.int32()), ("subtree", pa.int64()), ("mask", pa.int64())]))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(visits, kind)], names=["query", "q", "visits"])
 
     indexed = unique.mapInArrow(index, f"row long, ids array<{id_type}>, v array<double>, leaf array<long>")
-    indexed = indexed.select("row", "ids", "v", F.posexplode("leaf").alias("tree", "leaf")).withColumn("subtree", F.shiftright("leaf", up)).withColumn("within", F.col("leaf").bitwiseAND(F.lit(2**up - 1)).cast("int")).drop("leaf")
+    indexed = indexed.select("row", "ids", "v", F.posexplode("leaf").alias("tree", "leaf")).withColumn("subtree", F.shiftright("leaf", up)).withColumn("within", F.col("leaf").bitwiseAND(F.lit(2**up - 1))).drop("leaf")
     asked = rows.filter("is_query").select("key", "v", "vec_id").distinct()
     distinct = asked.select("key", F.col("v").alias("q")).distinct()
     numbered = materialise(distinct.select(F.monotonically_increasing_id().alias("query"), "key", "q"), "ann-queries")
-    planned = numbered.select("query", "q").mapInArrow(plan, "query long, q array<double>, visits array<struct<tree:int,subtree:long,mask:int>>").select("query", "q", F.inline("visits"))
+    planned = numbered.select("query", "q").mapInArrow(plan, "query long, q array<double>, visits array<struct<tree:int,subtree:long,mask:long>>").select("query", "q", F.inline("visits"))
 
     large = materialise(indexed.groupBy("tree", "subtree").count().filter(F.col("count") > GROUP_ROWS).select("tree", "subtree", F.ceil(F.col("count") / GROUP_ROWS).alias("pieces")), "ann-large")
     pieces = F.coalesce("pieces", F.lit(1).cast("long"))
