@@ -48,7 +48,7 @@ STAGES = [
     ("encoding", encoded),
 ]
 
-#: The quality model is learnt from data, which SQL can't express; tests compare near_dedup with brute force and check properties of the others.
+#: The quality model is learnt from data, which SQL can't express; tests compare every stage with brute force, or with SQL over what the stage before it kept.
 ORACLE_SQL = None
 
 
