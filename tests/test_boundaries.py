@@ -225,6 +225,7 @@ def test_one_batch_holds_no_duplicates(spark, tmp_path):
     at = lambda m: T0 + dt.timedelta(minutes=m)
     rows = [("1", "a|b", at(0)), ("2", "a|b", at(5)), ("3", "a|b", at(30)), ("4", "a|b", at(31)), ("5", "a|b", at(61)), ("6", "a|c", at(5)), ("7", " ", at(0)), ("8", " ", at(0)), ("9", None, None), ("9", None, None), ("10", "a|b", None), ("11", "a|b", at(62))]
     kept = {r.event_id for r in R.new_in_batch(events(spark, rows)).collect()}
+    assert R.new_in_batch(events(spark, [(None, "a|b", at(0)), (None, "a|b", at(5)), ("1", "a|b", at(6))])).count() == 1
     assert kept == {"1", "4", "6", "7", "8", "9", "10", "11"} and R.new_in_batch(events(spark, rows).limit(0)).count() == 0
     event_sink(events(spark, rows), str(tmp_path / "e"), "2026-06-26")
     assert {r.event_id for r in spark.read.parquet(str(tmp_path / "e")).collect()} == kept

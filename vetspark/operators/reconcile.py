@@ -120,8 +120,9 @@ def new_in_batch(events: DataFrame, event_id: str = "event_id", start: str = "st
     later = lambda acc, x: F.when(F.coalesce(_seconds(x["at"], F.element_at(acc, -1)["at"]) > width, F.lit(True)), F.concat(acc, F.array(x))).otherwise(acc)
     rows = F.sort_array(F.collect_list(F.struct(F.col(start).alias("at"), F.col(event_id).alias("id"))))
     groups = own.groupBy(key, chain).agg(rows.alias(kept))
-    stay = groups.select(F.inline(F.aggregate(F.slice(kept, 2, F.size(kept)), F.slice(kept, 1, 1), later))).select(F.col("id").alias(kept))
-    return df.join(stay, filled & (F.col(event_id) == F.col(kept)), "left").filter(~filled | F.col(kept).isNotNull()).drop(kept)
+    stay = groups.select(F.inline(F.aggregate(F.slice(kept, 2, F.size(kept)), F.slice(kept, 1, 1), later))).select(F.col("id").alias(kept), F.lit(True).alias(chain))
+    out = df.join(stay, filled & F.col(event_id).eqNullSafe(F.col(kept)), "left")
+    return out.filter(~filled | F.col(chain)).drop(kept, chain)
 
 
 def results_table(created: DataFrame, skipped: DataFrame, columns: Sequence[str], event: str = "event_id") -> DataFrame:
