@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import params as P
-from ..functions.columns import fold, fold_text, fresh, has_word, host_suffixes, text_or_empty, to_local, word_pattern
+from ..functions.columns import fold, fold_text, fresh, has_word, host_suffixes, let, text_or_empty, to_local, word_in, word_pattern
 
 PASS, FAIL, NA = "PASS", "FAIL", "N/A"
 CHECKS = ("freeAccess", "liveContent", "officialSource", "topic", "dateTimeRange", "workingLink", "directStream")
@@ -23,21 +23,19 @@ def result(reason: Column) -> Column:
 def keyword_hits(text: Column, words: Sequence[str], folded: bool = False) -> Column:
     """Array of the words that stand in the text as whole words, in the order given.
 
-    One pass over the text finds whether any does; only texts that hold one are looked through word by word.
+    A plain search for each word comes first; the pattern is tried on texts that hold the word as characters.
     """
-    none = F.array().cast("array<string>")
     if not words:
-        return none
-    subject = fold_text(text) if folded else text
-    one = [F.when(subject.rlike(word_pattern([fold(w) if folded else w])), F.lit(w)) for w in words]
-    return F.when(has_word(text, words, folded), F.filter(F.array(*one), lambda x: x.isNotNull())).otherwise(none)
+        return F.array().cast("array<string>")
+    one = lambda s: F.array(*[F.when(word_in(s, [fold(w) if folded else w]), F.lit(w)) for w in words])
+    return F.array_compact(let(fold_text(text) if folded else text, one))
 
 
 def without_phrases(text: Column, phrases: Sequence[str]) -> Column:
     """Folded text with whole phrases blanked, long ones first, so that a negated word doesn't count."""
     out = fold_text(text)
     for p in sorted({fold(x) for x in phrases}, key=lambda x: (-len(x), x)):
-        out = F.regexp_replace(out, word_pattern([p]), "$1 $3")
+        out = let(out, lambda s: F.when(s.contains(p), F.regexp_replace(s, word_pattern([p]), "$1 $3")).otherwise(s))
     return out
 
 
