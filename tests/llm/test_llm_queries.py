@@ -24,8 +24,8 @@ def test_same_as_sql(spark, name):
     assert mine == theirs
 
 
-def test_ten_operators():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in q.QUERIES) == [*range(1, 11)]
+def test_thirteen_operators():
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in q.QUERIES) == [*range(1, 14)]
 
 
 @pytest.mark.parametrize(("name", "label"), [("op4_quality", "quality"), ("op6_toxicity", "toxic")])
@@ -85,7 +85,7 @@ def test_nearest_recall(spark):
         d = np.sqrt(((x - x[ids == i][0]) ** 2).sum(axis=1))
         best = [j for j in np.lexsort((ids, d)) if ids[j] != i][:10]
         own = found[found.query_id == i].sort_values("rank")
-        assert own["rank"].tolist() == [*range(1, 11)] and i not in set(own.vec_id)
+        assert own["rank"].tolist() == [*range(1, 14)] and i not in set(own.vec_id)
         np.testing.assert_allclose(own.score, [d[ids == v][0] for v in own.vec_id], rtol=1e-12)
         hits, total = hits + len(set(own.vec_id) & set(ids[best])), total + 10
     assert hits / total >= 0.9

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, linededup, lm, mixing, quality, search, simhash, toxicity
+from . import ann, bpe, chat, fst, linededup, lm, mixing, quality, ranked, search, simhash, toxicity, variants
 from .common import is_held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,3 +169,36 @@ select conv_id, count(*) as n_turns,
   sha256(coalesce(string_agg(case when role = 'assistant' then coalesce(text, '') end, '' order by turn, role, text), '')) as loss_sha256,
   cast(sum({len(chat.TURN) + len(chat.SAID) + len(chat.END)} + length({_sql_escape("role")}) + length({_sql_escape("text")})) as bigint) as formatted_chars
 from said group by conv_id"""
+
+
+@query
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+SQL["op11_ranked_search"] = r"""
+with cut as (select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), []) as l from documents),
+ asked as (select item_id, term, count(*) as times from (select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+   '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark) group by all),
+ s as (select count(*)::bigint as n_docs, sum(len(l))::bigint as length from cut where len(l) > 0),
+ tf as (select doc_id, size, term, count(*)::bigint as tf from (select doc_id, len(l)::bigint as size, unnest(l) as term from cut) group by all),
+ df as (select term, count(*)::bigint as df from tf group by term),
+ w as (select f.term, cast(floor(1000 * ln((2 * s.n_docs + 2)::double / (2 * f.df + 1)::double)) as bigint) as w from df f cross join s),
+ scored as (select q.item_id, t.doc_id, cast(sum(q.times * w.w * ((1000000000 * t.tf) // (1000 * t.tf + 8 * (25 + (75 * t.size * s.n_docs) // s.length)))) as bigint) as score
+   from asked q join tf t on t.term = q.term join w on w.term = q.term cross join s group by 1, 2),
+ ranked as (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scored where score > 0)
+select item_id, cast(rank as int) as rank, doc_id, score from ranked where rank <= 10"""
+
+
+@query
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fst.round_trip(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
