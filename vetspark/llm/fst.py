@@ -149,12 +149,14 @@ class Transducer:
         self.words: dict[str, tuple[int, ...]] = {}
         self.marks = bytearray(MARKS)
         self.moves: dict[int, tuple[int, int]] = {}
-        self._forget()
-
-    def _forget(self) -> None:
         self.states: list[tuple] = []
         self.number: dict[tuple, int] = {}
         self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        for known in (self.states, self.number, self.steps):
+            known.clear()
         self.start = self._state(((0, ()),))
 
     def _state(self, readings: tuple) -> int:
@@ -210,7 +212,6 @@ class Transducer:
             state, sure = get(state << 8 | byte) or self._step(state, byte)
             if sure:
                 out += sure
-                get = self.steps.get
         out += self.states[state][-1][1]  # the reading that ends in a token comes last
         if len(out) > 1 and word in self.ranks:
             return [self.ranks[word]]
