@@ -35,7 +35,7 @@ WHITE = [(0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 OTHER, LETTER, NUMBER, SPACE = range(4)
 #: Characters that are cut into words together; what a worker keeps at most: the machine's states, its readings' moves, words with their tokens; tokens decoded at a time.
-TOGETHER, STATES, MOVES, WORDS, TOKENS = 1_000_000, 100_000, 400_000, 400_000, 65_536
+TOGETHER, STATES, MOVES, WORDS, TOKENS = 1_000_000, 80_000, 300_000, 350_000, 65_536
 #: Marks of words that were read before: a word is kept from its second reading on, so that words that come once don't fill the memory.
 MARKS = 1 << 23
 
@@ -350,25 +350,72 @@ def read_ranks(file: str) -> dict[bytes, int]:
 
 
 class _Vocabulary:
-    """The rank file, a fixed text of a few MB, for all workers; each worker compiles it once."""
+    """The rank file, a fixed text of a few MB, for all workers; each worker reads and compiles it once, and only as far as it needs it."""
 
-    _made: dict[int, tuple[Transducer, list[bytes | None]]] = {}
+    _ranks: dict[int, dict[bytes, int]] = {}
+    _machine: dict[int, Transducer] = {}
+    _bytes: dict[int, list[bytes | None]] = {}
 
     def __init__(self, df: DataFrame, path: str) -> None:
         with open(path, encoding="ascii") as f:
             text = f.read()
         self.key, self.text = hash(text), df.sparkSession.sparkContext.broadcast(text)
 
-    def machine(self) -> tuple[Transducer, list[bytes | None]]:
-        made = _Vocabulary._made
-        if self.key not in made:
-            made.clear()
-            ranks = read_ranks(self.text.value)
-            bytes_of: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
-            for t, rank in ranks.items():
-                bytes_of[rank] = t
-            made[self.key] = Transducer(ranks), bytes_of
-        return made[self.key]
+    def _once(self, known: dict, make):
+        if self.key not in known:
+            known.clear()
+            known[self.key] = make()
+        return known[self.key]
+
+    def ranks(self) -> dict[bytes, int]:
+        return self._once(_Vocabulary._ranks, lambda: read_ranks(self.text.value))
+
+    def machine(self) -> Transducer:
+        return self._once(_Vocabulary._machine, lambda: Transducer(self.ranks()))
+
+    def bytes_of(self) -> list[bytes | None]:
+        def make() -> list[bytes | None]:
+            out: list[bytes | None] = [None] * (max(self.ranks().values(), default=-1) + 1)
+            for t, rank in self.ranks().items():
+                out[rank] = t
+            return out
+
+        return self._once(_Vocabulary._bytes, make)
+
+
+def _encoded(vocabulary: _Vocabulary, batches: Iterator[pa.RecordBatch], packed: bool) -> Iterator[pa.RecordBatch]:
+    """(doc_id, ids) of batches (doc_id, text), a bounded number of characters at a time."""
+    machine = vocabulary.machine()
+    for batch in batches:
+        at = 0
+        for n, tokens, sizes in encode_texts(machine, (x.as_py() or "" for x in batch.column(1))):
+            if packed:
+                offsets = np.append(0, np.cumsum(sizes * 4)).astype(np.int32)
+                ids = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(tokens.astype("<u4"))])
+            else:
+                ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(tokens.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), ids], names=["doc_id", "ids"])
+            at += n
+
+
+def _decoded(vocabulary: _Vocabulary, column: pa.Array) -> list[pa.Array]:
+    """(texts, whether their bytes were well-formed) of ids, packed or as lists."""
+    texts, fine, bytes_of = [], [], vocabulary.bytes_of()
+    for x in column:
+        if not x.is_valid:
+            own = []
+        elif pa.types.is_binary(x.type):
+            own = np.frombuffer(x.as_buffer(), "<u4").tolist()
+        else:
+            own = x.values.to_numpy(zero_copy_only=False).tolist()
+        text, ok = decode_ids(bytes_of, own)
+        texts.append(text)
+        fine.append(ok)
+    return [pa.array(texts, pa.string()), pa.array(fine, pa.bool_())]
+
+
+def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
 
 
 def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ranks: str | None = None, packed: bool = False) -> DataFrame:
@@ -379,23 +426,9 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ranks: s
     integers, as training shards hold them.  Texts are taken a million characters at a time, long ones in pieces that are cut between words, so that memory
     doesn't grow with a text beyond the text and its tokens.  Repeated rows and ids stay as they are, null ids too; other columns are ignored; no rows give no rows.
     """
-    vocabulary = _Vocabulary(docs, ranks or tokenizer_file("byte_bpe_50k.tiktoken"))
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine, _ = vocabulary.machine()
-        for batch in batches:
-            at = 0
-            for n, tokens, sizes in encode_texts(machine, (x.as_py() or "" for x in batch.column(1))):
-                if packed:
-                    offsets = np.append(0, np.cumsum(sizes * 4)).astype(np.int32)
-                    ids = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(tokens.astype("<u4"))])
-                else:
-                    ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(tokens.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), ids], names=["doc_id", "ids"])
-                at += n
-
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    return rows.mapInArrow(of, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids {'binary' if packed else 'array<int>'}")
+    vocabulary, rows = _Vocabulary(docs, ranks or tokenizer_file("byte_bpe_50k.tiktoken")), _rows(docs, doc_id, text)
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids {'binary' if packed else 'array<int>'}"
+    return rows.mapInArrow(lambda batches: _encoded(vocabulary, batches, packed), schema)
 
 
 def decode(encoded: DataFrame, ids: str = "ids", out: str = "decoded", ranks: str | None = None) -> DataFrame:
@@ -407,27 +440,22 @@ def decode(encoded: DataFrame, ids: str = "ids", out: str = "decoded", ranks: st
     at = encoded.columns.index(ids)
     schema = StructType([*encoded.schema.fields, StructField(out, StringType()), StructField(f"{out}_well_formed", BooleanType())])
 
-    def rows(batch: pa.RecordBatch) -> Iterator[tuple[str, bool]]:
-        _, bytes_of = vocabulary.machine()
-        for x in batch.column(at):
-            if not x.is_valid:
-                own = []
-            elif pa.types.is_binary(x.type):
-                own = np.frombuffer(x.as_buffer(), "<u4").tolist()
-            else:
-                own = x.values.to_numpy(zero_copy_only=False).tolist()
-            yield decode_ids(bytes_of, own)
-
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 500):
                 batch = whole.slice(k, 500)
-                texts = [*rows(batch)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([t for t, _ in texts], pa.string()), pa.array([w for _, w in texts], pa.bool_())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*batch.columns, *_decoded(vocabulary, batch.column(at))], names=schema.names)
 
     return encoded.mapInArrow(of, schema)
 
 
 def round_trip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ranks: str | None = None) -> DataFrame:
-    """(doc_id, ids, decoded, decoded_well_formed): every text encoded, packed, and its ids decoded again."""
-    return decode(encode(docs, doc_id, text, ranks, packed=True), "ids", "decoded", ranks)
+    """(doc_id, ids, decoded, decoded_well_formed): every text encoded, packed, and its ids decoded again, in one worker."""
+    vocabulary, rows = _Vocabulary(docs, ranks or tokenizer_file("byte_bpe_50k.tiktoken")), _rows(docs, doc_id, text)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _encoded(vocabulary, batches, packed=True):
+            yield pa.RecordBatch.from_arrays([*b.columns, *_decoded(vocabulary, b.column(1))], names=["doc_id", "ids", "decoded", "decoded_well_formed"])
+
+    return rows.mapInArrow(of, f"doc_id {kind}, ids binary, decoded string, decoded_well_formed boolean")
