@@ -35,7 +35,7 @@ WHITE = [(0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 OTHER, LETTER, NUMBER, SPACE = range(4)
 #: Characters that are cut into words together; what a worker keeps at most: the machine's states, its readings' moves, words with their tokens; tokens decoded at a time.
-TOGETHER, STATES, MOVES, WORDS, TOKENS = 1_000_000, 80_000, 300_000, 350_000, 65_536
+TOGETHER, STATES, MOVES, WORDS, TOKENS = 1_000_000, 220_000, 700_000, 450_000, 65_536
 #: Marks of words that were read before: a word is kept from its second reading on, so that words that come once don't fill the memory.
 MARKS = 1 << 23
 
