@@ -151,6 +151,26 @@ def _set_of(text: str | None, words: int, seed: int) -> tuple[int, np.ndarray, i
     return _signed(xxhash.xxh64_intdigest(distinct.tobytes(), seed)), distinct, majority(parts)
 
 
+#: Numbers of 64 bits of a set's map, in which every shingle hash marks one bit.
+MAP_LONGS = 16
+
+
+def set_map(distinct: np.ndarray) -> list[int]:
+    """The map of a set of shingle hashes: a bit that one map has and another lacks stands for a shingle, at least, that one set has and the other lacks."""
+    at = (distinct * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(54)
+    bits = np.zeros(MAP_LONGS * 64, bool)
+    bits[at.astype(np.int64)] = True
+    return np.packbits(bits).view(np.int64).tolist()
+
+
+def can_be_similar(na: Column, a: list[Column], nb: Column, b: list[Column], similarity: float) -> Column:
+    """False only for sets that can't reach a Jaccard similarity: by their sizes, and by the bits that one's map has and the other's lacks."""
+    lacking = lambda x, y: sum((F.bit_count(i.bitwiseAND(F.bitwise_not(j))) for i, j in zip(x[1:], y[1:], strict=True)), F.bit_count(x[0].bitwiseAND(F.bitwise_not(y[0]))))
+    sized = F.least(na, nb) / F.greatest(na, nb) >= similarity
+    common = F.least(na - lacking(a, b), nb - lacking(b, a))
+    return sized & (common / (na + nb - common) >= similarity)
+
+
 #: Bits of the map by which texts that meet others are picked before they are dealt out.
 MAP_BITS = 1 << 24
 
@@ -165,7 +185,7 @@ def similar(
     ``radius`` bits), or in a band of ``rows`` smallest hashes; two sets of similarity s meet in no band with
     probability (1 - s^rows)^bands, 7 in 100,000 at 0.8.  Every link is confirmed on the whole sets.  In
     ``stars`` rounds each meeting place compares its members with one of them, first with the one that meets the most texts; then all pairs that meet and aren't yet in
-    one component are compared.  ``first`` is the component's smallest (no_id, doc_id, text_hash).
+    one component are compared, but for those that sizes and bit maps of the sets show to be less alike: an upper bound of what they share, so that no link is lost.  ``first`` is the component's smallest (no_id, doc_id, text_hash).
     Texts without words are one node.  No rows give no rows.
     """
     masks = covering_masks(radius)
@@ -202,9 +222,10 @@ def similar(
             b = batch.column(0).to_numpy()
             batch = batch.filter(pa.array((shared_marks.value[b // 8] >> (b % 8).astype(np.uint8)) & 1 == 1))
             sets = [_set_of(x.as_py(), words, seed)[:2] for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in sets], pa.int64()), pa.array([s.view(np.int64) for _, s in sets], pa.list_(pa.int64()))], names=["node", "set"])
+            columns = [pa.array([n for n, _ in sets], pa.int64()), pa.array([s.view(np.int64) for _, s in sets], pa.list_(pa.int64())), pa.array([set_map(s) for _, s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "set", "map"])
 
-    picked = source.select(F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(MAP_BITS)).alias("bit"), "text").mapInArrow(read_sets, "node long, set array<long>")
+    picked = source.select(F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(MAP_BITS)).alias("bit"), "text").mapInArrow(read_sets, "node long, set array<long>, map array<long>")
     sets = materialise(skew_join(picked, members.select("node").distinct(), ["node"]).dropDuplicates(["node"]), "similar-sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -230,8 +251,11 @@ def similar(
         if turn < stars:
             pairs = left.filter(F.col("component") != F.col("centre.component")).select(F.least("node", "centre.node").alias("a"), F.greatest("node", "centre.node").alias("b"))
         else:
-            x, y = left.select("place", F.col("node").alias("a"), F.col("component").alias("ca")), left.select("place", F.col("node").alias("b"), F.col("component").alias("cb"))
-            pairs = x.join(y, "place").filter("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            mapped = skew_join(left.select("place", "node", "component"), sets.select("node", F.size("set").alias("n"), *[F.col("map")[i].alias(f"m{i}") for i in range(MAP_LONGS)]), ["node"])
+            x, y = (mapped.select("place", *[F.col(c).alias(f"{c}_{side}") for c in mapped.columns if c != "place"]) for side in "ab")
+            maps = [[F.col(f"m{i}_{side}") for i in range(MAP_LONGS)] for side in "ab"]
+            pairs = x.join(y, "place").filter("component_a < component_b").filter(can_be_similar(F.col("n_a"), maps[0], F.col("n_b"), maps[1], similarity))
+            pairs = pairs.withColumnsRenamed({"node_a": "a", "node_b": "b"}).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         new = materialise(confirmed(pairs.distinct()), "similar-links")
         links = new if links is None else links.unionByName(new)
         root = components(links)
