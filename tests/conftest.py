@@ -16,6 +16,7 @@ def spark():
 
     conf = {
         "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.driver.memory": "4g",
+        "spark.sql.maxMetadataStringLength": "2000",
         "spark.ui.showConsoleProgress": "false", "spark.checkpoint.dir": tempfile.mkdtemp(prefix="spark-tests-"), "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="spark-warehouse-"),
     }
     session = SparkSession.builder.master("local[4]").config(map=conf).getOrCreate()

@@ -16,6 +16,7 @@ from vetspark.operators import scoring as S
 from vetspark.operators import urls as U
 from vetspark.sources.readers import candidate_scan, case_source, existing_scan, raw_case_source
 from vetspark.sources.sinks import event_sink, log_sink
+from vetspark.sources.store import stored_events
 from vetspark.streaming.delivery import deliver
 
 T0 = dt.datetime(2026, 6, 27, 17)
@@ -183,7 +184,7 @@ def test_tiers_links_and_summary(spark):
     assert {(r.game, r.url) for r in R.tier_prune(df, ["game"]).collect()} == {("g", "u1"), ("g", "u2"), (None, "u4")}
     untiered = spark.createDataFrame([("g", None, "u1"), ("h", None, "u2"), ("h", 2, "u3")], "game string, tier int, url string").withColumn("__best", F.lit(0))
     assert {r.url for r in R.tier_prune(untiered, ["game"]).collect()} == {"u1", "u3"} and R.tier_prune(untiered, ["game"]).columns == untiered.columns
-    assert {r.game: [x.url for x in r.links] for r in R.merge_links(df, ["game"]).collect()} == {"g": ["u1", "u2", "u3"], None: ["u4"]}
+    assert {(r.game, r.chunk, r.n_links): [x.url for x in r.links] for r in R.merge_links(df, ["game"]).collect()} == {("g", 1, 3): ["u1", "u2", "u3"], (None, 1, 1): ["u4"]}
     flags = spark.createDataFrame([(True, False), (None, True), (False, None)], "r boolean, d boolean")
     assert tuple(R.run_summary(flags, F.col("r"), F.col("d")).first()) == (3, 1, 1, 1, None)
     assert tuple(R.run_summary(flags.filter("r"), F.col("r"), F.col("d")).first())[4] == "found 1 candidates, none passed"
@@ -210,11 +211,10 @@ def events(spark, rows):
 def test_sinks_run_twice(spark, tmp_path):
     path = str(tmp_path / "events")
     first = events(spark, [("1", "a|b", T0), ("2", None, T0), ("3", "a|c", T0)])
-    for _ in range(2):
-        event_sink(first, path, "2026-06-26")
-        assert spark.read.parquet(path).count() == 3
+    for new in (3, 0):
+        assert event_sink(first, path, "2026-06-26") == new and stored_events(spark, path).count() == 3
     event_sink(events(spark, [("4", "a|b", T0 + dt.timedelta(minutes=30)), ("5", "a|b", T0 + dt.timedelta(minutes=31))]), path, "2026-06-27")
-    assert {r.event_id for r in spark.read.parquet(path).collect()} == {"1", "2", "3", "5"}
+    assert {(r.event_id, r.run_date) for r in stored_events(spark, path).collect()} == {("1", "2026-06-26"), ("2", "2026-06-26"), ("3", "2026-06-26"), ("5", "2026-06-27")}
     log = str(tmp_path / "log")
     for day in ("d1", "d2", "d1"):
         log_sink(first, log, day)
@@ -228,7 +228,7 @@ def test_one_batch_holds_no_duplicates(spark, tmp_path):
     assert R.new_in_batch(events(spark, [(None, "a|b", at(0)), (None, "a|b", at(5)), ("1", "a|b", at(6))])).count() == 1
     assert kept == {"1", "4", "6", "7", "8", "9", "10", "11"} and R.new_in_batch(events(spark, rows).limit(0)).count() == 0
     event_sink(events(spark, rows), str(tmp_path / "e"), "2026-06-26")
-    assert {r.event_id for r in spark.read.parquet(str(tmp_path / "e")).collect()} == kept
+    assert {r.event_id for r in stored_events(spark, str(tmp_path / "e")).collect()} == kept
 
 
 def test_blank_keys_match_nothing(spark):
@@ -278,7 +278,7 @@ def test_corpora_fixtures_and_missing_documents(spark):
     checks = spark.createDataFrame([("a",), ("b",), ("c",)], "check string")
     runs = spark.createDataFrame([("a", "FAIL"), ("b", "PASS")], "check string, verdict string")
     assert {(r.check, r.problem) for r in V.unproven_checks(checks, runs).collect()} == {("b", "its fixtures pass"), ("c", "no failing fixture")}
-    assert [r.warning for r in V.missing_documents(checks.withColumnRenamed("check", "name"), runs.select(F.col("check").alias("name"))).collect()] == ["c: document missing for reference scan"]
+    assert [r.warning for r in V.missing_documents(checks.withColumnRenamed("check", "name"), runs.select(F.col("check").alias("name"))).collect()] == ["c: not there, so its references were not looked at"]
 
 
 def test_page_text_takes_part_in_no_exchange(spark):
@@ -310,7 +310,7 @@ def test_stream_adds_nothing_twice(spark, tmp_path):
     events(spark, [("1", "a|b", T0)]).write.parquet(source)
     for k in range(2):
         deliver(spark.readStream.schema("event_id string, pair_key string, start_ts timestamp_ntz").parquet(source), lambda df: df, out, str(tmp_path / f"c{k}"), "d").awaitTermination()
-    assert spark.read.parquet(out).count() == 1
+    assert stored_events(spark, out).count() == 1
 
 
 # ------------------------------------------------------------------ scoring and conformance

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import params as P
-from ..functions.columns import fold, fold_text, fresh, has_word, host_suffixes, let, text_or_empty, to_local, word_in, word_pattern
+from ..functions.columns import fold, fold_text, fresh, has_word, host_suffixes, text_or_empty, to_local, word_pattern
+from .joins import join_grouped
 
 PASS, FAIL, NA = "PASS", "FAIL", "N/A"
 CHECKS = ("freeAccess", "liveContent", "officialSource", "topic", "dateTimeRange", "workingLink", "directStream")
@@ -20,58 +21,58 @@ def result(reason: Column) -> Column:
     return F.struct(F.when(reason.isNull(), PASS).otherwise(FAIL).alias("status"), reason.alias("reason")).cast(RESULT)
 
 
-def keyword_hits(text: Column, words: Sequence[str], folded: bool = False) -> Column:
-    """Array of the words that stand in the text as whole words, in the order given.
-
-    A plain search for each word comes first; the pattern is tried on texts that hold the word as characters.
-    """
+def keyword_hits(text: Column, words: Sequence[str], folded: bool = False, hits: Column | None = None) -> Column:
+    """Array of the words that stand in the text as whole words, in the order given, each once.  ``hits`` as for :func:`.has_word`."""
     if not words:
         return F.array().cast("array<string>")
-    one = lambda s: F.array(*[F.when(word_in(s, [fold(w) if folded else w]), F.lit(w)) for w in words])
-    return F.array_compact(let(fold_text(text) if folded else text, one))
+    return F.array_except(F.array(*[F.when(has_word(text, [w], folded, hits), F.lit(w)) for w in words]), F.array(F.lit(None).cast("string")))
 
 
 def without_phrases(text: Column, phrases: Sequence[str]) -> Column:
     """Folded text with whole phrases blanked, long ones first, so that a negated word doesn't count."""
     out = fold_text(text)
     for p in sorted({fold(x) for x in phrases}, key=lambda x: (-len(x), x)):
-        out = let(out, lambda s: F.when(s.contains(p), F.regexp_replace(s, word_pattern([p]), "$1 $3")).otherwise(s))
+        out = F.regexp_replace(out, word_pattern([p]), "$1 $3")
     return out
 
 
 def check_free_access(
     text: Column, free_flag: Column | None = None, paid: Sequence[str] = tuple(P.PAID_TERMS), brands: Sequence[str] = tuple(P.PAID_BRANDS),
-    free: Sequence[str] = tuple(P.FREE_TERMS), price: str | None = r"\d+([.,]\d\d)?\s*(€|eur\b|euro\b)",
+    free: Sequence[str] = tuple(P.FREE_TERMS), price: str | None = r"\d+([.,]\d\d)?\s*(€|eur\b|euro\b)", hits: Column | None = None,
 ) -> Column:
-    """Fails on a paid term that no free phrase contains, a paid brand, a price, or a flag that isn't set; else needs a flag or a free term."""
+    """Fails on a paid term that no free phrase contains, a paid brand, a price, or a flag that isn't set; else needs a flag or a free term.
+
+    ``hits``, here and below: what a vocabulary with all the terms has found in the text.
+    """
     t = text_or_empty(text)
-    rest = without_phrases(t, free)  # only looked at where a paid term stands at all: blanking makes no new words
+    said = lambda words: has_word(t, words, folded=True, hits=hits)
     flag = F.lit(None).cast("boolean") if free_flag is None else free_flag
-    reason = F.when(has_word(t, paid, folded=True) & has_word(rest, [fold(w) for w in paid]), "paid term").when(has_word(t, brands, folded=True), "paid brand")
+    # phrases are blanked only where a paid term and a free phrase stand; blanking makes no new words
+    reason = F.when(said(paid) & (~said(free) | has_word(without_phrases(t, free), paid, folded=True)), "paid term").when(said(brands), "paid brand")
     if price:
         reason = reason.when(fold_text(t).rlike(price), "price")
-    reason = reason.when(flag == F.lit(False), "not free").when(~F.coalesce(flag, F.lit(False)) & ~has_word(t, free, folded=True), "no sign of free access")
+    reason = reason.when(flag == F.lit(False), "not free").when(~F.coalesce(flag, F.lit(False)) & ~said(free), "no sign of free access")
     return result(reason)
 
 
-def check_live_content(text: Column, scheduled: Column | None = None, live: Sequence[str] = tuple(P.LIVE_TERMS), replay: Sequence[str] = tuple(P.REPLAY_TERMS)) -> Column:
+def check_live_content(text: Column, scheduled: Column | None = None, live: Sequence[str] = tuple(P.LIVE_TERMS), replay: Sequence[str] = tuple(P.REPLAY_TERMS), hits: Column | None = None) -> Column:
     """A replay term fails whatever else is there; passes on a live term or a scheduled stream."""
     ahead = F.lit(False) if scheduled is None else F.coalesce(scheduled, F.lit(False))
-    return result(F.when(has_word(text, replay, folded=True), "replay").when(~has_word(text, live, folded=True) & ~ahead, "not live"))
+    return result(F.when(has_word(text, replay, folded=True, hits=hits), "replay").when(~has_word(text, live, folded=True, hits=hits) & ~ahead, "not live"))
 
 
 def match_domains(df: DataFrame, domains: DataFrame, host: str = "host", domain: str = "domain", out: str = "matched") -> DataFrame:
     """Adds ``out``: the row of ``domains`` whose domain is the host or the longest one above it, null if none.
 
     The suffixes of the distinct hosts are exploded and joined by equality to the domains, one row each (the
-    smallest of rows that repeat a domain); what is found goes back by host.  Spark broadcasts either table where its size allows.
+    smallest of rows that repeat a domain); what is found goes back by host, a hot one in parts.  Spark broadcasts either table where its size allows.
     """
     own, suffix, row = fresh(df, "host", "suffix", "row")
     dim = domains.groupBy(F.col(domain).alias(suffix)).agg(F.min(F.struct(*domains.columns)).alias(row))
     hosts = df.select(F.col(host).alias(own)).filter(F.col(own).isNotNull()).distinct()
     suffixes = hosts.select(own, F.explode(host_suffixes(F.col(own))).alias(suffix))
     best = suffixes.join(dim, suffix).groupBy(own).agg(F.max_by(row, F.length(suffix)).alias(out))
-    return df.join(best, F.col(host) == F.col(own), "left").drop(own)
+    return join_grouped(df, best, F.col(host), own)
 
 
 def check_official_source(host: Column, path: Column, matched: Column, channels: Sequence[str] = tuple(P.CHANNELS), channel_hosts: Sequence[str] = tuple(P.CHANNEL_HOSTS)) -> Column:
@@ -83,10 +84,10 @@ def check_official_source(host: Column, path: Column, matched: Column, channels:
     return result(F.when(on_channels & ~F.coalesce(own, F.lit(False)), "channel not approved").when(~on_channels & matched.isNull(), "domain not approved"))
 
 
-def check_topic(text: Column, topics: Sequence[str] = tuple(P.TOPIC_TERMS), others: Sequence[str] = tuple(P.OTHER_TOPICS), known: Column | None = None) -> Column:
+def check_topic(text: Column, topics: Sequence[str] = tuple(P.TOPIC_TERMS), others: Sequence[str] = tuple(P.OTHER_TOPICS), known: Column | None = None, hits: Column | None = None) -> Column:
     """Fails on another topic; passes on a topic term or where ``known`` says that a team or league is."""
     is_known = F.lit(False) if known is None else F.coalesce(known, F.lit(False))
-    return result(F.when(has_word(text, others, folded=True), "other topic").when(~has_word(text, topics, folded=True) & ~is_known, "no topic term"))
+    return result(F.when(has_word(text, others, folded=True, hits=hits), "other topic").when(~has_word(text, topics, folded=True, hits=hits) & ~is_known, "no topic term"))
 
 
 def check_date_window(start: Column, as_of: str, days: int = 7, tz: str = P.TIMEZONE) -> Column:

@@ -95,7 +95,7 @@ def missing_documents(wanted: DataFrame, documents: DataFrame, name: str = "name
     """(name, warning): documents that are to be scanned for references and aren't there.  A warning, not an error: the others are scanned all the same."""
     there = documents.select(F.col(name).alias("name")).distinct()
     absent = wanted.select(F.col(name).alias("name")).filter("name is not null").distinct().join(there, "name", "left_anti")
-    return absent.select("name", F.concat("name", F.lit(": document missing for reference scan")).alias("warning"))
+    return absent.select("name", F.concat("name", F.lit(": not there, so its references were not looked at")).alias("warning"))
 
 
 def path_references(df: DataFrame, text: str, pattern: str = r"`([\w/.-]+\.md)`") -> DataFrame:

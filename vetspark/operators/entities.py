@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 
 from ..functions import params as P
 from ..functions.columns import end_time, fold_text, fresh, iso_offset, pair_key, strip, text_or_empty, to_local
+from .joins import join_grouped
 
 
 def normalise(df: DataFrame, column: str, aliases: DataFrame, out: str | None = None) -> DataFrame:
     """Replaces aliases by canonical names, compared folded; unknown names stay.  Of several canonical names the smallest counts."""
     alias, canonical = fresh(df, "alias", "canonical")
     dim = aliases.groupBy(strip(fold_text(F.col("alias"))).alias(alias)).agg(F.min("canonical").alias(canonical))
-    joined = df.join(dim, strip(fold_text(F.col(column))) == F.col(alias), "left")
-    return joined.withColumn(out or column, F.coalesce(canonical, column)).drop(alias, canonical)
+    joined = join_grouped(df, dim, strip(fold_text(F.col(column))), alias)
+    return joined.withColumn(out or column, F.coalesce(canonical, column)).drop(canonical)
 
 
 def split_pair(text: Column, separator: str = r"\s+vs\.?\s+") -> Column:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import fresh
+from ..functions.columns import event_key, fresh
 from ..functions.params import UrlRule
+from ..sources.shared import written
 from .checks import check_working_link
 from .urls import probe_verdict, url_rule_verdict
 
@@ -26,12 +27,27 @@ def tier_prune(df: DataFrame, entity: Sequence[str], tier: str = "tier") -> Data
     return df.join(best, [*same, F.col(tier).eqNullSafe(F.col(names[-1]))], "left_semi")
 
 
-def merge_links(df: DataFrame, entity: Sequence[str | Column], tier: str = "tier", source: str = "source", url: str = "url") -> DataFrame:
-    """One row per entity with ``links``: its distinct (tier, source, url), best tier first.
+def merge_links(df: DataFrame, entity: Sequence[str], tier: str = "tier", source: str = "source", url: str = "url", size: int = 100) -> DataFrame:
+    """Rows of entity, ``chunk`` from 1, ``n_links`` of the whole entity and ``links``: its distinct (tier, source, url), best tier first, ``size`` to a row.
 
-    All links of an entity meet in one row, as the result asks; bind it to entities that are small, such as games.
+    The links are sorted in ranges, of which a large entity fills several; a link's place is its place in its range's part of the entity
+    after the parts before, of which there are as many as ranges.  So no row, window or task holds a whole entity unless it is small, as games are.  Null entities are one.
     """
-    return df.groupBy(*entity).agg(F.sort_array(F.collect_set(F.struct(F.col(tier).alias("tier"), F.col(source).alias("source"), F.col(url).alias("url")))).alias("links"))
+    part, place, n, before = fresh(df, "part", "place", "n", "before")
+    keys = [F.col(f"`{c}`") for c in entity]
+    links = df.select(*keys, F.col(tier).alias("tier"), F.col(source).alias("source"), F.col(url).alias("url")).distinct()
+    ranged = written(links.repartitionByRange(*keys, "tier", "source", "url").withColumn(part, F.spark_partition_id()), "links")
+    parts = ranged.groupBy(*keys, part).agg(F.count("*").alias(n))
+    whole = Window.partitionBy(*keys)
+    parts = parts.withColumns({before: F.coalesce(F.sum(n).over(whole.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "n_links": F.sum(n).over(whole)})
+    names = fresh(ranged, *entity, "in")
+    parts = parts.select(*[k.alias(c) for k, c in zip(keys, names, strict=False)], F.col(part).alias(names[-1]), before, "n_links")
+    numbered = ranged.withColumn(place, F.row_number().over(Window.partitionBy(*keys, part).orderBy("tier", "source", "url")))
+    same = [k.eqNullSafe(F.col(c)) for k, c in zip(keys, names, strict=False)]
+    placed = numbered.join(parts, [F.col(part) == F.col(names[-1]), *same])
+    at = F.col(before) + F.col(place) - 1
+    chunked = placed.groupBy(*keys, (F.floor(at / size) + 1).cast("int").alias("chunk"), "n_links")
+    return chunked.agg(F.sort_array(F.collect_list(F.struct("tier", "source", "url"))).alias("links"))
 
 
 def _seconds(a: Column, b: Column) -> Column:
@@ -101,28 +117,66 @@ def new_only(candidates: DataFrame, existing: DataFrame, cand_id: str, event_id:
     return candidates.join(pairs.select(F.col("cand_id").alias(cand)), F.col(cand_id) == F.col(cand), "left_anti")
 
 
+def chain_links(points: DataFrame, minutes: int = MINUTES) -> DataFrame:
+    """Adds to distinct points (k, t; t in microseconds) ``head``, whether none of its k lies at most ``minutes`` before it, and ``onward``, the first that lies more than that after it.
+
+    Points lie in buckets of ``minutes``.  What is that long after a point lies in the next bucket, so that the first later point is found
+    among its points, by a running minimum over both, or is the first of the bucket that has any after it.  Windows hold one bucket of one k, or one
+    short row for each bucket of a k.
+    """
+    width = minutes * 60_000_000
+    by = Window.partitionBy("k", "b")
+    own = points.select("k", "t", F.floor(F.col("t") / width).alias("b"))
+    rows = own.select("k", "b", "t", F.lit(1).alias("point")).unionByName(own.select("k", (F.col("b") + 1).alias("b"), (F.col("t") + width).alias("t"), F.lit(0).alias("point")))
+    later = F.min(F.when(F.col("point") == 1, F.col("t"))).over(by.orderBy(F.desc("t"), "point").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.max(F.when(F.col("point") == 1, F.col("t"))).over(by.orderBy("t", F.desc("point")).rowsBetween(Window.unboundedPreceding, -1))
+    seen = rows.withColumns({"later": later, "before": before})
+    asked = seen.filter("point = 0").select("k", (F.col("t") - width).alias("t"), F.col("later").alias("inside"))
+    order = Window.partitionBy("k").orderBy("b")
+    ends = own.groupBy("k", "b").agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    after = F.when(F.lead("b", 1).over(order) == F.col("b") + 1, F.lead("first", 2).over(order)).otherwise(F.lead("first", 1).over(order))
+    ends = ends.select("k", "b", F.lag("last", 1).over(order).alias("last_before"), after.alias("first_after"))
+    found = seen.filter("point = 1").select("k", "b", "t", "before").join(ends, ["k", "b"]).join(asked, ["k", "t"])
+    last = F.coalesce("before", "last_before")
+    return found.select("k", "t", F.coalesce(F.col("t") - last > width, F.lit(True)).alias("head"), F.coalesce("inside", "first_after").alias("onward"))
+
+
+def chain_picks(points: DataFrame, minutes: int = MINUTES) -> DataFrame:
+    """Of distinct points (k, t; t in microseconds) those that stay when, in the order of t, one goes that a kept one of its k lies at most ``minutes`` before.
+
+    Every chain's head stays, and after a kept point the first one further on.  Pointers to it double their reach each round, and the points reached
+    from heads double with them, so that a chain of a million points takes twenty rounds; each is written to the shared folder.
+    A pointer ends at the next head, which is kept anyway, so that chains never meet.
+    """
+    links = written(chain_links(points, minutes), "chains")
+    heads = links.filter("head").select("k", "t")
+    jumps = links.filter("onward is not null").select("k", "t", "onward").join(heads.withColumnRenamed("t", "onward"), ["k", "onward"], "left_anti")
+    jumps, kept = written(jumps.select("k", "t", "onward"), "jumps"), heads
+    while jumps.limit(1).count():
+        reached = jumps.join(kept, ["k", "t"]).select("k", F.col("onward").alias("t"))
+        kept = written(kept.unionByName(reached), "kept")
+        jumps = written(jumps.join(jumps.select("k", F.col("t").alias("onward"), F.col("onward").alias("far")), ["k", "onward"]).select("k", "t", F.col("far").alias("onward")), "jumps")
+    return kept
+
+
 def new_in_batch(events: DataFrame, event_id: str = "event_id", start: str = "start_ts", key: str = "pair_key", minutes: int = MINUTES) -> DataFrame:
     """Events of a batch without those that another of the batch makes duplicates, by id and by pair.
 
-    Of rows that repeat an id the earliest stays (then by key and the rest of the row).  In the order of starts, an event
-    goes if one of its pair that stays starts at most ``minutes`` before it.  Events without start, or with a null or blank
-    key, go by their id only.  A pair's events are followed in chains whose gaps are ``minutes`` at most, never a whole pair at once.
+    Of rows that repeat an id the earliest stays (then by key and the rest of the row); rows without id that are equal are one.  In the order
+    of starts (then ids), an event goes if one of its pair that stays starts at most ``minutes`` before it.  Events without start, or with a null or
+    blank key, go by their id only.  No array or window ever holds a pair's events: see :func:`chain_picks`.
     """
-    gap, chain, kept, n = fresh(events, "gap", "chain", "kept", "n")
-    rest = F.to_json(F.struct(*[F.col(f"`{c}`") for c in events.columns]))
-    df = events.withColumn(n, F.row_number().over(Window.partitionBy(event_id).orderBy(F.col(start).asc_nulls_last(), F.col(key).asc_nulls_last(), rest)))
-    df = df.filter(F.col(n) == 1).drop(n)
+    own, row, name, at = fresh(events, "own", "row", "name", "at")
+    columns = [F.col(f"`{c}`") for c in events.columns]
+    order = F.struct(F.col(start).isNull(), F.col(start), F.col(key).isNull(), F.col(key), F.to_json(F.struct(*columns)))
+    df = events.groupBy(event_key(events, event_id).alias(own)).agg(F.min_by(F.struct(*columns), order).alias(row)).select(own, f"{row}.*")
     filled = F.coalesce((F.trim(F.col(key).cast("string")) != "") & F.col(start).isNotNull(), F.lit(False))
-    order = Window.partitionBy(key).orderBy(start, event_id)
-    width = minutes * 60_000_000
-    far = F.coalesce(_seconds(F.col(start), F.lag(start).over(order)) > width, F.lit(True))
-    own = df.filter(filled).select(event_id, key, start, far.cast("int").alias(gap)).withColumn(chain, F.sum(gap).over(order))
-    later = lambda acc, x: F.when(F.coalesce(_seconds(x["at"], F.element_at(acc, -1)["at"]) > width, F.lit(True)), F.concat(acc, F.array(x))).otherwise(acc)
-    rows = F.sort_array(F.collect_list(F.struct(F.col(start).alias("at"), F.col(event_id).alias("id"))))
-    groups = own.groupBy(key, chain).agg(rows.alias(kept))
-    stay = groups.select(F.inline(F.aggregate(F.slice(kept, 2, F.size(kept)), F.slice(kept, 1, 1), later))).select(F.col("id").alias(kept), F.lit(True).alias(chain))
-    out = df.join(stay, filled & F.col(event_id).eqNullSafe(F.col(kept)), "left")
-    return out.filter(~filled | F.col(chain)).drop(kept, chain)
+    df = written(df.withColumns({name: F.when(filled, F.col(key)), at: F.when(filled, F.unix_micros(F.col(start).cast("timestamp_ntz").cast("timestamp")))}), "batch")
+    who = F.struct(F.col(event_id).isNull(), F.col(event_id), F.col(own))
+    points = df.filter(F.col(at).isNotNull()).groupBy(F.col(name).alias("k"), F.col(at).alias("t")).agg(F.min(who)[own].alias("first"))
+    stay = chain_picks(points.select("k", "t"), minutes).join(points, ["k", "t"]).select(F.col("first").alias(own), F.lit(True).alias(row))
+    out = df.join(stay, own, "left")
+    return out.filter(F.col(at).isNull() | F.col(row)).select(*columns)
 
 
 def results_table(created: DataFrame, skipped: DataFrame, columns: Sequence[str], event: str = "event_id") -> DataFrame:
@@ -141,9 +195,7 @@ def run_summary(
     ``stages``: conditions in order; ``rejected_<name>`` counts the rows that a stage is the first to reject.
     """
     r, d = F.coalesce(rejected, F.lit(False)), F.coalesce(duplicate, F.lit(False))
-    first = F.lit(None).cast("string")
-    for name, c in reversed((stages or {}).items()):
-        first = F.when(F.coalesce(c, F.lit(False)), name).otherwise(first)
+    first = _stage_of(stages or {})
     per_stage = [F.count_if(F.coalesce(first == name, F.lit(False))).alias(f"rejected_{name}") for name in stages or {}]
     out = df.agg(F.count("*").alias("found"), F.count_if(r).alias("rejected"), F.count_if(~r & d).alias("duplicates"), F.count_if(~r & ~d).alias("created"), *per_stage)
     before, _, after = none_passed.partition("{n}")
@@ -151,6 +203,42 @@ def run_summary(
     return out.withColumn("message", message)
 
 
+def _stage_of(stages: Mapping[str, Column]) -> Column:
+    """The first stage that rejects a row, null if none does."""
+    first = F.lit(None).cast("string")
+    for name, c in reversed(stages.items()):
+        first = F.when(F.coalesce(c, F.lit(False)), name).otherwise(first)
+    return first
+
+
+def write_decided(
+    df: DataFrame, path: str, reason: Column, duplicate: Column, stages: Mapping[str, Column] | None = None,
+    none_found: str = "no streams found", none_passed: str = "found {n} candidates, none passed",
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Decide every row and write it once: (accepted, rejected with their ``reason``, summary as :func:`run_summary` gives it), from one pass over ``df``.
+
+    ``reason``: why a row is rejected, null if it isn't; ``duplicate``: whether an accepted one is there already, which is no rejection.  The
+    table at ``path`` is partitioned by ``verdict``, so that either part is read alone.  The counts are observed while rows are written, in the very tasks that write
+    them, so that a task that runs again counts once.  An earlier table at ``path`` is replaced.
+    """
+    if clash := {"verdict", "reason"} & {c.lower() for c in df.columns}:
+        raise ValueError(f"columns {sorted(clash)} would be overwritten")
+    stage = fresh(df, "stage")[0]
+    verdict = F.when(reason.isNotNull(), "rejected").when(F.coalesce(duplicate, F.lit(False)), "duplicate").otherwise("accepted")
+    rows = df.withColumns({"reason": reason, "verdict": verdict, stage: _stage_of(stages or {})})
+    is_ = lambda v: F.count_if(F.col("verdict") == v)
+    counts = [F.count(F.lit(1)).alias("found"), is_("rejected").alias("rejected"), is_("duplicate").alias("duplicates"), is_("accepted").alias("created")]
+    counts += [F.count_if(F.coalesce(F.col(stage) == name, F.lit(False))).alias(f"rejected_{name}") for name in stages or {}]
+    seen = Observation("decided")
+    rows.observe(seen, *counts).drop(stage).write.mode("overwrite").partitionBy("verdict").parquet(path)
+    spark, got = df.sparkSession, seen.get
+    n = {c: int(got.get(c, 0)) for c in ("found", "rejected", "duplicates", "created", *(f"rejected_{x}" for x in stages or {}))}
+    table = spark.read.schema(rows.drop(stage).schema).parquet(path)
+    said = none_found if not n["found"] else none_passed.replace("{n}", str(n["found"])) if n["found"] == n["rejected"] else None
+    summary = spark.createDataFrame([(*n.values(), said)], ", ".join(f"`{c}` long" for c in n) + ", message string")
+    return table.filter("verdict = 'accepted'").drop("verdict", "reason"), table.filter("verdict = 'rejected'").drop("verdict"), summary
+
+
 def audit_published(events: DataFrame, verdict: Column, keys: Sequence[str], links: str = "links") -> DataFrame:
     """Links of published events that no longer stand: keys, link, failed.
 

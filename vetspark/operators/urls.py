@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import fresh
 from ..functions.params import CHANNEL_HOSTS, URL_KINDS, UrlRule
+from .joins import join_grouped
 
 VERDICT = "struct<valid:boolean,reason:string,final_url:string>"
 
@@ -65,11 +66,11 @@ def probe_verdict(df: DataFrame, probes: DataFrame, on: str = "url", status: str
     newest = F.struct(*([F.col("probed_at")] if "probed_at" in probes.columns else []), F.col(status), F.col(final) if final in probes.columns else F.lit(None).cast("string").alias(final))
     key, found = fresh(df, "on", "probe")
     own = probes.groupBy(F.col(on).alias(key)).agg(F.max(newest).alias(found))
-    out = df.join(own, F.col(on) == F.col(key), "left")
+    out = join_grouped(df, own, F.col(on), key)
     s, url = F.col(f"{found}.{status}"), F.col(on).cast("string")
     reason = F.when(s.isNull(), "HTTP error").when(s >= 400, F.concat(F.lit("HTTP "), s.cast("string")))
     verdict = F.struct(reason.isNull().alias("valid"), reason.alias("reason"), F.when(reason.isNull(), F.coalesce(F.col(f"{found}.{final}"), url)).alias("final_url")).cast(VERDICT)
-    return out.withColumns({"http_status": s, "probe": verdict}).drop(key, found)
+    return out.withColumns({"http_status": s, "probe": verdict}).drop(found)
 
 
 def live_url_rule(

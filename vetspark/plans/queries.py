@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import pair_key, to_local
+from ..functions.columns import Vocabulary, pair_key, to_local
 from ..functions.params import UrlRule
 from ..operators import checks as C
 from ..operators import conformance as V
@@ -15,7 +15,9 @@ from ..operators import entities as D
 from ..operators import reconcile as R
 from ..operators import scoring as S
 from ..operators import urls as U
-from ..sources.readers import candidate_scan, existing_scan, table
+from ..sources.readers import candidate_scan, existing_for, existing_scan, table
+from ..sources.shared import scratch
+from ..sources.store import append_events, compact, stored_events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -52,6 +54,17 @@ def existing_window_scan(spark: SparkSession, sf: str) -> DataFrame:
     return existing_scan(table(spark, sf, "events"), "ts", "2024-01-10 00:00:00", "2024-01-12 00:00:00").select("event_id", "user_id", "event_type", "ts")
 
 
+@query("""with d as (select cast(ts as date) as day, count(*) as n from events where event_type = 'error' group by 1 order by n desc, day limit 1),
+  b as (select min(ts) as lo, max(ts) as hi from events, d where event_type = 'error' and cast(ts as date) = day)
+  select event_id, user_id, event_type, ts from events, b where ts between lo - interval 30 minute and hi + interval 30 minute""")
+def existing_batch_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """What a batch, the errors of the day that has most, can match."""
+    e = table(spark, sf, "events")
+    errors = e.filter("event_type = 'error'").withColumn("day", F.to_date("ts"))
+    busiest = errors.groupBy("day").count().orderBy(F.desc("count"), "day").limit(1).select("day")
+    return existing_for(errors.join(busiest, "day"), e, "ts", "ts").select("event_id", "user_id", "event_type", "ts")
+
+
 # ---------------------------------------------------------------- URLs
 
 
@@ -125,6 +138,11 @@ def keyword_hits(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", *single, F.array_join(C.keyword_hits(t, ["MIT", "Licensed"]), ",").alias("hits"))
 
 
+def searched(spark: SparkSession, sf: str, *terms: list[str]) -> DataFrame:
+    """Documents with the words of the terms that stand in them, from one pass over the text."""
+    return table(spark, sf, "documents").select("doc_id", "lang", "text", Vocabulary(*terms).hits(F.col("text")).alias("hits"))
+
+
 FREE, PAID = ["under the MIT License", "MIT License"], ["License", "rights reserved"]
 _F = "regexp_replace(regexp_replace(" + FOLD.format("text") + f", '{word('under the mit license')}', '\\1 \\3', 'g'), '{word('mit license')}', '\\1 \\3', 'g')"
 
@@ -132,14 +150,15 @@ _F = "regexp_replace(regexp_replace(" + FOLD.format("text") + f", '{word('under
 @query(f"""select doc_id, case when regexp_matches({_F}, '{word("license", "rights reserved")}') then 'paid term'
   when not regexp_matches({FOLD.format("text")}, '{word("under the mit license", "mit license")}') then 'no sign of free access' end as reason from documents""")
 def two_polarity_check(spark: SparkSession, sf: str) -> DataFrame:
-    r = C.check_free_access(F.col("text"), paid=PAID, brands=[], free=FREE, price=None)
-    return table(spark, sf, "documents").select("doc_id", r["reason"].alias("reason"))
+    r = C.check_free_access(F.col("text"), paid=PAID, brands=[], free=FREE, price=None, hits=F.col("hits"))
+    return searched(spark, sf, PAID, FREE).select("doc_id", r["reason"].alias("reason"))
 
 
 @query(f"""select doc_id, case when regexp_matches({FOLD.format("text")}, '{word("idiot", "scum")}') then 'replay'
   when not regexp_matches({FOLD.format("text")}, '{word("the", "und", "les")}') then 'not live' end as reason from documents""")
 def reject_wins_check(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", C.check_live_content(F.col("text"), live=["the", "und", "les"], replay=["idiot", "scum"])["reason"].alias("reason"))
+    live, replay = ["the", "und", "les"], ["idiot", "scum"]
+    return searched(spark, sf, live, replay).select("doc_id", C.check_live_content(F.col("text"), live=live, replay=replay, hits=F.col("hits"))["reason"].alias("reason"))
 
 
 DOMAINS = [(1, "site", "tionsh.example.net"), (2, "net", "example.net"), (3, "org", "example.org"), (1, "farm", "spam-farm.example.org")]
@@ -156,8 +175,9 @@ def domain_suffix_join(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""select doc_id, case when regexp_matches({FOLD.format("text")}, '{word("fuer", "ist")}') then 'other topic'
   when not regexp_matches({FOLD.format("text")}, '{word("the", "que")}') and lang <> 'fr' then 'no topic term' end as reason from documents""")
 def topic_check(spark: SparkSession, sf: str) -> DataFrame:
-    r = C.check_topic(F.col("text"), ["the", "que"], ["für", "ist"], known=F.col("lang") == "fr")
-    return table(spark, sf, "documents").select("doc_id", r["reason"].alias("reason"))
+    topics, others = ["the", "que"], ["für", "ist"]
+    r = C.check_topic(F.col("text"), topics, others, known=F.col("lang") == "fr", hits=F.col("hits"))
+    return searched(spark, sf, topics, others).select("doc_id", r["reason"].alias("reason"))
 
 
 _LOCAL = "timezone('Europe/Berlin', timezone('UTC', ts))"
@@ -321,15 +341,16 @@ def tier_prune(spark: SparkSession, sf: str) -> DataFrame:
 _SITE, _TLD = rf"regexp_replace({HOST}, '\.[a-z]+$', '')", rf"regexp_extract({HOST}, '\.([a-z]+)$', 1)"
 
 
-@query(rf"""select site, count(*) as n_links, string_agg(tier || ' ' || source || ' ' || url, ', ' order by tier, source, url) as links from
-  (select distinct {_SITE} as site, case {_TLD} when 'com' then 1 when 'net' then 2 else 3 end as tier, {HOST} as source, url from pages) group by site""")
+@query(rf"""select site, cast((n - 1) // 20 + 1 as int) as chunk, any_value(n_links) as n_links, string_agg(tier || ' ' || source || ' ' || url, ', ' order by tier, source, url) as links from
+  (select *, row_number() over (partition by site order by tier, source, url) as n, count(*) over (partition by site) as n_links from
+    (select distinct {_SITE} as site, case {_TLD} when 'com' then 1 when 'net' then 2 else 3 end as tier, {HOST} as source, url from pages)) group by 1, 2""")
 def merge_links(spark: SparkSession, sf: str) -> DataFrame:
     h = F.col("host")
     tld = F.regexp_extract(h, r"\.([a-z]+)$", 1)
     df = pages(spark, sf).select(F.regexp_replace(h, r"\.[a-z]+$", "").alias("site"), F.when(tld == "com", 1).when(tld == "net", 2).otherwise(3).alias("tier"), h.alias("source"), "url")
-    out = R.merge_links(df, ["site"])
+    out = R.merge_links(df, ["site"], size=20)
     text = F.array_join(F.transform("links", lambda x: F.concat_ws(" ", x["tier"].cast("string"), x["source"], x["url"])), ", ")
-    return out.select("site", F.size("links").cast("long").alias("n_links"), text.alias("links"))
+    return out.select("site", "chunk", "n_links", text.alias("links"))
 
 
 def sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -367,6 +388,25 @@ def new_in_batch(spark: SparkSession, sf: str) -> DataFrame:
     return R.new_in_batch(table(spark, sf, "events"), "event_id", "ts", "user_id").select("event_id", "user_id")
 
 
+_GREEDY = """select user_id, unnest(list_reduce(list([{{'at': epoch_us(ts), 'id': event_id}}] order by ts, event_id), lambda kept, x:
+    case when x[1]['at'] - kept[len(kept)]['at'] > 1800000000 then list_concat(kept, x) else kept end)) as e from {} group by user_id"""
+
+
+@query(f"""with early as (select e['id'] as event_id, user_id, e['at'] as at from ({_GREEDY.format("events where event_type in ('purchase', 'click')")})),
+  open as (select * from events l where event_type not in ('purchase', 'click')
+    and not exists (select 1 from early s where s.user_id = l.user_id and abs(s.at - epoch_us(l.ts)) <= 1800000000)),
+  late as (select e['id'] as event_id, user_id, e['at'] as at from ({_GREEDY.format("open")}))
+  select event_id, user_id, strftime(make_timestamp(at), '%Y-%m-%d') as day from (from early union all from late)""")
+def event_store(spark: SparkSession, sf: str) -> DataFrame:
+    """Events in two batches, the second twice, into a store, which is then compacted and read back."""
+    e, path = table(spark, sf, "events").select("event_id", "user_id", "ts", "event_type"), scratch(spark, "store")
+    first = F.col("event_type").isin("purchase", "click")
+    for batch in (e.filter(first), e.filter(~first), e.filter(~first)):
+        append_events(batch.drop("event_type"), path, start="ts", pair="user_id")
+    compact(spark, path, "ts")
+    return stored_events(spark, path).select("event_id", "user_id", F.date_format("event_day", "yyyy-MM-dd").alias("day"))
+
+
 @query(f"""select case when m is null then 'created' else 'skipped' end as status, event_id, user_id,
   strftime(timezone('Europe/Berlin', timezone('UTC', ts)), '%Y-%m-%d %H:%M') as local_time,
   case when m is null then cast(event_id as varchar) else 'Event already exists: ' || m end as calendar_event from
@@ -396,6 +436,22 @@ def run_summary_stages(spark: SparkSession, sf: str) -> DataFrame:
     return R.run_summary(table(spark, sf, "pages"), bad | url.contains("?"), F.lit(False), stages=stages)
 
 
+@query(f"""with v as (select page_id, url, coalesce(r, case when q then 'has a query' end) as r, r is null and q as q, d
+    from (select page_id, url, {_RULES} as r, contains(url, '#') as d, contains(url, '?') as q from pages)),
+  s as (select count(*) as found, count(*) filter (r is not null) as rejected, count(*) filter (r is null and d) as duplicates, count(*) filter (r is null and not d) as created,
+    count(*) filter (r is not null and not q) as rejected_rules, count(*) filter (q) as rejected_query from v)
+  select page_id, r as reason, s.* from v, s where r is not null union all select page_id, 'none', s.* from v, s where r is null and not d""")
+def decided_run(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages decided and written in one pass: those accepted and rejected, each with the run's counts."""
+    url = F.col("url")
+    rule, query_ = U.url_rule_verdict(url, RULES)["reason"], F.when(url.contains("?"), "has a query")
+    stages = {"rules": rule.isNotNull(), "query": query_.isNotNull()}
+    accepted, rejected, summary = R.write_decided(table(spark, sf, "pages").select("page_id", "url"), scratch(spark, "decided"), F.coalesce(rule, query_), url.contains("#"), stages)
+    n = summary.drop("message").first().asDict()
+    rows = accepted.select("page_id", F.lit("none").alias("reason")).unionByName(rejected.select("page_id", "reason"))
+    return rows.withColumns({k: F.lit(v).cast("long") for k, v in n.items()})
+
+
 _HREFS = """(select page_id, url, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) as link from pages)"""
 HREF = r'href="([^"]+)"'
 
@@ -551,13 +607,13 @@ def corpus_conformance(spark: SparkSession, sf: str) -> DataFrame:
     return V.corpus_conformance(own.select(F.col("l_orderkey").alias("id"), raw.alias("raw")), "raw", "F").select("id", F.array_join("errors", "; ").alias("errors"))
 
 
-@query("""select distinct o_orderpriority || '-' || o_custkey % 50 as name, o_orderpriority || '-' || o_custkey % 50 || ': document missing for reference scan' as warning
+@query("""select distinct o_orderpriority || '-' || o_custkey % 50 as name, o_orderpriority || '-' || o_custkey % 50 || ': not there, so its references were not looked at' as warning
   from orders
-  where o_custkey % 50 not in (select c_custkey % 50 from customer where c_acctbal > 9000)""")
+  where o_custkey % 50 not in (select c_custkey % 50 from customer where c_acctbal > 9900)""")
 def missing_documents(spark: SparkSession, sf: str) -> DataFrame:
     name = lambda p, k: F.concat(p, F.lit("-"), (k % 50).cast("string")).alias("name")
     o = table(spark, sf, "orders")
-    there = table(spark, sf, "customer").filter("c_acctbal > 9000").select((F.col("c_custkey") % 50).alias("k")).distinct()
+    there = table(spark, sf, "customer").filter("c_acctbal > 9900").select((F.col("c_custkey") % 50).alias("k")).distinct()
     documents = o.join(there, F.col("o_custkey") % 50 == F.col("k"), "left_semi").select(name(F.col("o_orderpriority"), F.col("o_custkey")))
     return V.missing_documents(o.select(name(F.col("o_orderpriority"), F.col("o_custkey"))), documents)
 

@@ -2,31 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.reconcile import new_in_batch, new_only
+from .store import append_events
 
 
-def event_sink(events: DataFrame, path: str, run_date: str, minutes: int = 30) -> None:
-    """Append events that the stored table doesn't have: same pair within ``minutes``; others with a null pair if their id is new.
+def event_sink(events: DataFrame, path: str, run_date: str, minutes: int = 30) -> int:
+    """Add events, marked with ``run_date``, to the store at ``path``; returns how many.
 
-    Of the batch's own events that are left, the earliest of a pair stays, by :func:`new_in_batch`.  Needs event_id, pair_key, start_ts.  Partitioned by ``run_date``.
+    What the store has is left out by :func:`.store.append_events`: the same id, the same content where there is no id, the same pair within ``minutes``.
+    ``run_date`` is no part of an event's content.  Needs event_id, pair_key, start_ts; :func:`.store.stored_events` reads.
     """
-    spark = events.sparkSession
-    fresh = events
-    try:
-        stored = spark.read.parquet(path)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        stored = None
-    if stored is not None:
-        fresh = new_only(fresh, stored, "event_id", "event_id", "start_ts", "start_ts", "pair_key", "pair_key", minutes)
-        fresh = fresh.join(stored.select("event_id"), "event_id", "left_anti")
-    fresh = new_in_batch(fresh, minutes=minutes)
-    fresh.withColumn("run_date", F.lit(run_date)).write.mode("append").partitionBy("run_date").parquet(path)
+    return append_events(events, path, minutes, marks={"run_date": run_date})
 
 
 def log_sink(log: DataFrame, path: str, run_date: str) -> None:
