@@ -130,10 +130,29 @@ def word_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     return rows.mapInArrow(of, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def letter_symbols(symbols: int) -> np.ndarray:
-    """The symbol, from 1, of every Latin-1 letter."""
-    code = np.arange(256, dtype=np.uint64)
-    return (code * np.uint64(2_654_435_761) >> np.uint64(7)) % np.uint64(symbols) + np.uint64(1)
+def letter_counts(words: DataFrame) -> np.ndarray:
+    """How often each Latin-1 letter stands in the words of a vocabulary, each word once: 256 numbers."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(256, np.int64)
+        for b in batches:
+            n += np.bincount(np.frombuffer("".join(b.column(0).to_pylist()).encode("latin-1"), np.uint8), minlength=256)
+        yield pa.RecordBatch.from_arrays([pa.array(range(256), pa.int32()), pa.array(n)], names=["letter", "n"])
+
+    out = np.zeros(256, np.int64)
+    for r in words.select("word").mapInArrow(of, "letter int, n long").groupBy("letter").agg(F.sum("n").alias("n")).collect():
+        out[r.letter] = r.n
+    return out
+
+
+def letter_symbols(symbols: int, counts: np.ndarray) -> np.ndarray:
+    """The symbol, from 1, of every Latin-1 letter: common letters first, each to the symbol that the fewest letters of the vocabulary have so far."""
+    out, load = np.ones(256, np.uint64), [0] * symbols
+    for letter in sorted(range(256), key=lambda c: (-int(counts[c]), c)):
+        s = min(range(symbols), key=lambda k: (load[k], k))
+        load[s] += int(counts[letter]) + 1
+        out[letter] = s + 1
+    return out
 
 
 def mixed(code: np.ndarray) -> np.ndarray:
@@ -145,10 +164,10 @@ def mixed(code: np.ndarray) -> np.ndarray:
 class _Reduced:
     """Reduced words of a batch, end to end: ``symbol`` of each letter, ``before`` and ``total`` the sums of a word's symbols times their powers."""
 
-    def __init__(self, words: list[str], symbols: int) -> None:
+    def __init__(self, words: list[str], table: np.ndarray) -> None:
         letters = np.frombuffer("".join(words).encode("latin-1"), np.uint8)
         self.size = np.fromiter(map(len, words), np.int64, len(words))
-        self.symbol = letter_symbols(symbols)[letters]
+        self.symbol = table[letters]
         self.start = np.cumsum(self.size) - self.size
         self.word = np.repeat(np.arange(len(words)), self.size)
         self.at = np.arange(len(letters)) - self.start[self.word]
@@ -182,18 +201,18 @@ class _Reduced:
             yield every[end], (self.total + c * self.power[self.size])[end]
 
 
-def reduced_codes(words: DataFrame, symbols: int) -> DataFrame:
+def reduced_codes(words: DataFrame, table: np.ndarray) -> DataFrame:
     """(code, word, n) of rows (word, n): the code of each word's reduced word."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            codes = mixed(_Reduced(b.column(0).to_pylist(), symbols).total)
+            codes = mixed(_Reduced(b.column(0).to_pylist(), table).total)
             yield pa.RecordBatch.from_arrays([pa.array(codes), b.column(0), b.column(1)], names=["code", "word", "n"])
 
     return words.select("word", "n").mapInArrow(of, "code long, word string, n long")
 
 
-def neighbour_codes(words: DataFrame, symbols: int) -> DataFrame:
+def neighbour_codes(words: DataFrame, symbols: int, table: np.ndarray) -> DataFrame:
     """(code, id) of rows (id, word): the codes of the whole one-edit neighbourhood of each word's reduced word."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +224,7 @@ def neighbour_codes(words: DataFrame, symbols: int) -> DataFrame:
                 while to < len(own) and (to == at or held < NEIGHBOURS // symbols):
                     held += len(own[to])
                     to += 1
-                for place, code in _Reduced(own[at:to], symbols).neighbours(symbols):
+                for place, code in _Reduced(own[at:to], table).neighbours(symbols):
                     for k in range(0, len(place), NEIGHBOURS):
                         yield pa.RecordBatch.from_arrays([pa.array(mixed(code[k : k + NEIGHBOURS])), pa.array(ids[at:to][place[k : k + NEIGHBOURS]])], names=["code", "id"])
                 at = to
@@ -221,10 +240,12 @@ def symbols_for(n_words: int) -> int:
 def near_words(words: DataFrame, symbols: int) -> DataFrame:
     """(word, n, near, near_n): every two words of ``words`` (id, word, n; distinct words) that differ by exactly one inserted, deleted or replaced letter, both ways.
 
+    Letters are shared out so that each symbol is about as common as any other, and few words meet by chance.
     A neighbour's code comes once for each word, and a word has one code, so every pair comes once.
     """
-    near = reduced_codes(words, symbols).select("code", F.col("word").alias("near"), F.col("n").alias("near_n"))
-    met = neighbour_codes(words, symbols).join(near.hint("shuffle_hash"), "code").drop("code")
+    table = letter_symbols(symbols, letter_counts(words))
+    near = reduced_codes(words, table).select("code", F.col("word").alias("near"), F.col("n").alias("near_n"))
+    met = neighbour_codes(words, symbols, table).join(near.hint("shuffle_hash"), "code").drop("code")
     own = words.select("id", "word", "n")
     return met.join(own.hint("shuffle_hash"), "id").filter((F.abs(F.length("word") - F.length("near")) <= 1) & (F.levenshtein("word", "near", 1) == 1)).select("word", "n", "near", "near_n")
 
