@@ -133,10 +133,13 @@ class Transducer:
     """
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
-        self.ranks, self.fits = ranks, Merges(ranks).fits
+        merges = Merges(ranks)
+        self.ranks, self.fits = ranks, merges.fits
         self.child: dict[int, int] = {}
         self.token, self.inner = [-1], [False]
         for t, rank in ranks.items():
+            if len(t) > 1 and rank not in merges.made:
+                continue  # no merge makes it: only a word that is this token comes out as it
             node = 0
             for byte in t:
                 if (down := self.child.get(node << 8 | byte)) is None:
