@@ -392,11 +392,11 @@ _GREEDY = """select user_id, unnest(list_reduce(list([{{'at': epoch_us(ts), 'id'
     case when x[1]['at'] - kept[len(kept)]['at'] > 1800000000 then list_concat(kept, x) else kept end)) as e from {} group by user_id"""
 
 
-@query(f"""with early as (select e['id'] as event_id, user_id, e['at'] as at from ({_GREEDY.format("events where event_type in ('purchase', 'click')")})),
+@query(f"""with early as (select e['id'] as event_id, user_id, e['at'] as micros from ({_GREEDY.format("events where event_type in ('purchase', 'click')")})),
   open as (select * from events l where event_type not in ('purchase', 'click')
-    and not exists (select 1 from early s where s.user_id = l.user_id and abs(s.at - epoch_us(l.ts)) <= 1800000000)),
-  late as (select e['id'] as event_id, user_id, e['at'] as at from ({_GREEDY.format("open")}))
-  select event_id, user_id, strftime(make_timestamp(at), '%Y-%m-%d') as day from (from early union all from late)""")
+    and not exists (select 1 from early s where s.user_id = l.user_id and abs(s.micros - epoch_us(l.ts)) <= 1800000000)),
+  late as (select e['id'] as event_id, user_id, e['at'] as micros from ({_GREEDY.format("open")}))
+  select event_id, user_id, strftime(make_timestamp(micros), '%Y-%m-%d') as day from (select * from early union all select * from late)""")
 def event_store(spark: SparkSession, sf: str) -> DataFrame:
     """Events in two batches, the second twice, into a store, which is then compacted and read back."""
     e, path = table(spark, sf, "events").select("event_id", "user_id", "ts", "event_type"), scratch(spark, "store")
