@@ -172,16 +172,40 @@ def brute_lm(texts, order, alpha=0.4):
     return out
 
 
-@pytest.mark.parametrize("order", [1, 2, 3, 4])
-def test_lm_equals_brute_force(spark, monkeypatch, order):
-    monkeypatch.setattr(lm, "SEGMENT_TOKENS", 200)
+@pytest.mark.parametrize(("order", "segment"), [(1, 200), (2, 200), (3, 200), (4, 200), (1, 17), (2, 17), (3, 17), (4, 5)])
+def test_lm_equals_brute_force(spark, monkeypatch, order, segment):
     monkeypatch.setattr(lm, "PART_TOKENS", 300)
     rng = random.Random(7)
     texts = [" ".join(f"w{min(40, int(rng.paretovariate(0.6)))}" for _ in range(rng.randint(0, 30))) for _ in range(120)]
-    out = {r.doc_id: r for r in lm.score_documents(frame(spark, [(i, t, "s") for i, t in enumerate(texts)]), order=order).collect()}
+    # long texts, in pieces: words and runs that only they hold, at places far apart
+    texts[50] = " ".join([*("own a b own".split() * 20), *texts[3].split(), *("own a b c".split() * 15)])
+    texts[90] = " ".join(f"w{k % 7} x{k % 3}" for k in range(90))
+    texts[91] = texts[90]
+    out = {r.doc_id: r for r in lm.score_documents(frame(spark, [(i, t, "s") for i, t in enumerate(texts)]), order=order, segment_tokens=segment).collect()}
     assert len(out) == len(texts)
     for i, s in enumerate(brute_lm(texts, order)):
-        assert out[i].log_score == pytest.approx(s, abs=1e-9) and out[i].n_words == len(texts[i].split())
+        assert out[i].n_words == len(texts[i].split()) and out[i].log_score == pytest.approx(s, abs=1e-9), i
+
+
+def test_lm_rows_in_another_order_are_no_wrong_scores(spark):
+    texts = [f"a{i % 9} b{i % 4} c{i} d" for i in range(60)]
+    docs = frame(spark, [(i, t, "s") for i, t in enumerate(texts)])
+
+    def mixed(batches):
+        for b in batches:
+            order = list(range(b.num_rows))
+            random.SystemRandom().shuffle(order)
+            yield b.take(order)
+
+    spark.conf.set("spark.sql.exchange.reuse", "false")  # as if segments were made again between counting and scoring
+    try:
+        with pytest.raises(Exception, match="write them first"):
+            lm.score_documents(docs.coalesce(1).mapInArrow(mixed, docs.schema), segment_tokens=40).collect()
+        out = lm.score_documents(docs.repartition(3, F.rand()).mapInArrow(mixed, docs.schema), segment_tokens=40)
+        got = {r.doc_id: r.log_score for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", "true")
+    assert [got[i] for i in range(60)] == pytest.approx(brute_lm(texts, 2), abs=1e-9)
 
 
 def test_lm_shuffles_the_documents_once(spark):

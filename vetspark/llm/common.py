@@ -62,6 +62,14 @@ def materialise(df: DataFrame, label: str = "step", *done: DataFrame) -> DataFra
     return out
 
 
+def in_fixed_order(df: DataFrame, label: str) -> DataFrame:
+    """``df`` if its tasks read their rows straight from files, in an order that a task run again meets too; else ``df`` written and read back.
+
+    Behind a shuffle, rows come in the order in which they arrive.
+    """
+    return materialise(df, label) if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df
+
+
 def n_words(text: Column) -> Column:
     """Number of words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
