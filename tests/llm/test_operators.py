@@ -295,6 +295,26 @@ def test_held_out_labels_are_not_learnt(spark):
     assert labelled_sample(docs, labels, "y", 100).count() == n and labelled_sample(docs, labels, "y", 7).count() == 7
 
 
+def test_samples_are_bounded_by_lines_and_characters(spark, monkeypatch):
+    from vetspark.llm import learning
+
+    texts = [(i, "\n".join([f"line {i}"] * (1 + i % 3)), "s") for i in range(60)]
+    docs = frame(spark, [*texts, *texts[:20], *texts[:20], (60, "long\n" * 3_000, "s"), (61, "x" * 300_000, "s")])  # copies come as often as they are there
+    labels = spark.createDataFrame([(i, i % 2) for i in range(62)], "doc_id long, y int")
+    every = learning.labelled_sample(docs, labels, "y", 1000).collect()
+    assert len(every) > 60 and not {60, 61} & {r.id for r in every} and [(r.h, r.id) for r in every] == sorted((r.h, r.id) for r in every)
+    for name, bound, of in (("SAMPLE_LINES", 40, "lines"), ("SAMPLE_CHARS", 200, "chars")):
+        monkeypatch.setattr(learning, name, bound)
+        want, held = [], 0
+        for r in every:
+            if (held := held + r[of]) > bound:
+                break
+            want.append((r.y, r.h, "\n".join([f"line {r.id}"] * (1 + r.id % 3)).encode()))
+        got = learning.measured_sample(docs, labels, "y", 1000, str.encode)
+        assert list(got.itertuples(index=False, name=None)) == sorted(want, key=lambda x: x[1:])
+        monkeypatch.undo()
+
+
 # ------------------------------------------------------------------ mixing
 
 

@@ -7,15 +7,14 @@ from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .learning import adam, labelled_sample
+from .learning import adam, measured_sample
 
 #: Labelled documents learnt from, at most, and lines that a learnt chain may have: longer documents are learnt in pieces.
-SAMPLE, LEARN_LINES = 4_000, 100
+SAMPLE, CHAIN_LINES = 4_000, 100
 #: Bins of each measure of a line; rows, and characters of text, that a worker measures at a time.
 BINS, ROWS, AT_A_TIME = 11, 1_000, 1_000_000
 
@@ -111,7 +110,7 @@ def fit(measures: list[np.ndarray], y: np.ndarray, steps: int = 120, l2: float =
     """Learn from documents' lines, each labelled as its document; a constant score if a label is missing."""
     if len(set(y.tolist())) < 2:
         return float((y.sum() + 1) / (len(y) + 2))
-    pieces = [(m[a : a + LEARN_LINES], label) for m, label in zip(measures, y, strict=True) for a in range(0, len(m), LEARN_LINES)]
+    pieces = [(m[a : a + CHAIN_LINES], label) for m, label in zip(measures, y, strict=True) for a in range(0, len(m), CHAIN_LINES)]
     m = np.concatenate([p for p, _ in pieces])
     sizes = np.array([len(p) for p, _ in pieces])
     starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
@@ -160,15 +159,10 @@ def in_parts(texts: list[str], size: int) -> Iterator[list[str]]:
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text") -> Crf | float:
     """Fit the field on at most ``sample`` labelled documents outside the held-out fifth; their lines are measured on the executors.
 
-    Bounds of what is learnt, never of what is scored: ``sample`` documents, of ``LEARN_CHARS`` characters at most, in chains of ``LEARN_LINES`` lines.
+    Bounds of what is learnt, never of what is scored: ``sample`` documents, in chains of ``CHAIN_LINES`` lines, and those of :func:`measured_sample` on
+    the characters and lines of a document and of all.
     """
-
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"y": b["y"], "h": b["h"], "m": [measure(t.split("\n")).astype(np.float32).tobytes() for t in b["text"]]})
-
-    rows = labelled_sample(docs, labels, label, sample, doc_id, text).mapInPandas(of, "y double, h long, m binary").toPandas()
-    rows = rows.sort_values(["h", "m"], kind="stable")
+    rows = measured_sample(docs, labels, label, sample, lambda t: measure(t.split("\n")).astype(np.float32).tobytes(), doc_id, text)
     return fit([np.frombuffer(m, np.float32).reshape(-1, 8).astype(np.float64) for m in rows["m"]], rows["y"].to_numpy())
 
 

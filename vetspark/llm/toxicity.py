@@ -8,13 +8,12 @@ from dataclasses import dataclass, field
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .learning import adam, labelled_sample
+from .learning import adam, measured_sample
 
 #: Labelled documents learnt from, at most; terms that get weights; factors of each; bits of a term's hash.
 SAMPLE, TERMS, FACTORS, HASH_BITS = 6_000, 768, 4, 24
@@ -103,17 +102,15 @@ def fit(docs: list[np.ndarray], y: np.ndarray, steps: int = 150, l2: float = 2e-
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text") -> Machine:
     """Fit the machine on at most ``sample`` labelled documents outside the held-out fifth; their terms are hashed on the executors.
 
-    Bounds of what is learnt, never of what is scored: ``sample`` documents, of ``LEARN_CHARS`` characters at most.
+    Bounds of what is learnt, never of what is scored: ``sample`` documents, and those of :func:`measured_sample` on the characters and lines of a
+    document and of all.
     """
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            terms = [np.array(sorted(set(chain.from_iterable(map(hashed, set(_WORDS.findall(t.lower())))))), np.int32).tobytes() for t in b["text"]]
-            yield pd.DataFrame({"y": b["y"], "h": b["h"], "terms": terms})
+    def terms(t: str) -> bytes:
+        return np.array(sorted(set(chain.from_iterable(map(hashed, set(_WORDS.findall(t.lower())))))), np.int32).tobytes()
 
-    rows = labelled_sample(docs, labels, label, sample, doc_id, text).mapInPandas(of, "y double, h long, terms binary").toPandas()
-    rows = rows.sort_values(["h", "terms"], kind="stable")
-    return fit([np.frombuffer(t, np.int32) for t in rows["terms"]], rows["y"].to_numpy())
+    rows = measured_sample(docs, labels, label, sample, terms, doc_id, text)
+    return fit([np.frombuffer(t, np.int32) for t in rows["m"]], rows["y"].to_numpy())
 
 
 def score_toxicity(docs: DataFrame, model: Machine, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
