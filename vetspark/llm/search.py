@@ -17,6 +17,8 @@ from .common import materialise, skew_join
 
 #: Documents and tokens of a shard at most; documents that are scored together, and of a block, for which maxima are kept.
 SHARD_DOCS, SHARD_TOKENS, PART_DOCS, BLOCK_DOCS = 16_384, 2_000_000, 1024, 64
+#: Characters that a task indexes, about; large documents are dealt to more tasks.
+TASK_CHARS = 32_000_000
 #: A term that so many documents of a part hold is kept as a full row there; the rest are lists.  Queries that are scored together.
 FULL_ROW, TOGETHER = 64, 256
 #: Queries, and their terms, that are sent to all shards at a time: a bounded broadcast.
@@ -224,8 +226,9 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10, doc_id: str = "d
     spark = docs.sparkSession
     t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(NO_ID)).alias("id"), t.alias("text"))
-    n_docs = rows.count()
-    index = materialise(rows.coalesce(max(1, math.ceil(n_docs / SHARD_DOCS))).mapInArrow(_build, SHARD), "search-index")
+    n_docs, chars = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0))).first()
+    tasks = max(1, math.ceil(n_docs / SHARD_DOCS), math.ceil(chars / TASK_CHARS))
+    index = materialise(rows.coalesce(tasks).mapInArrow(_build, SHARD), "search-index")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
