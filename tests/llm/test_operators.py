@@ -10,7 +10,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from vetspark.llm import ann, bpe, chat, graph, linededup, lm, mixing, quality, search, simhash, toxicity
-from vetspark.llm.common import materialise
 
 DOCS = "doc_id long, text string, source string, n_chars long, key long, size string, h int, score double, __k int"
 LONG = " ".join(f"w{i % 977}" for i in range(20_000))
@@ -146,21 +145,6 @@ def test_search_odd_rows(odd, none):
     assert search.bm25_topk(none, queries).count() == 0 and search.bm25_topk(odd, none.select(F.col("doc_id").alias("query_id"), "text")).count() == 0
 
 
-def test_large_documents_are_indexed_by_several_tasks(spark, monkeypatch):
-    docs = frame(spark, [(i, f"word{i % 7} " * 500, "s") for i in range(40)]).repartition(8)
-    tasks = {}
-
-    def noted(df, label, *done):
-        tasks[label] = df.rdd.getNumPartitions()
-        return materialise(df, label, *done)
-
-    monkeypatch.setattr(search, "materialise", noted)
-    for chars, n in ((10**9, 1), (30_000, 4)):
-        monkeypatch.setattr(search, "TASK_CHARS", chars)
-        out = search.bm25_topk(docs, docs.filter("doc_id = 3").select(F.col("doc_id").alias("query_id"), "text"), k=3)
-        assert [r.doc_id for r in out.orderBy("rank").collect()] == [10, 17, 24] and tasks["search-index"] == n
-
-
 # ------------------------------------------------------------------ language model
 
 
