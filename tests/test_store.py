@@ -161,3 +161,40 @@ def test_one_pair_of_many_events(spark):
     assert sorted(r.s * 1_000_000 for r in found.select("s").collect()) == greedy(times, width)
     plan = R.chain_links(df.select(F.col("pair_key").alias("k"), (F.col("s") * 1_000_000).alias("t")).distinct())._jdf.queryExecution().executedPlan().toString()
     assert "collect_list" not in plan and "ArrayAggregate" not in plan
+
+
+def test_no_links_where_no_chain_goes_on(spark):
+    minute, width = 60_000_000, 30 * 60_000_000
+    lone = [("a", 100 * width * i + x) for i in range(50) for x in (0, minute)]  # every first point stays, what follows in its half hour goes
+    links = lambda of: sorted(tuple(r) for r in R.chain_links(spark.createDataFrame(of, "k string, t long")).collect())
+    assert links(lone) == []
+    chain = [("b", x * minute) for x in (10, 20, 35, 41, 50, 75, 140)]  # 10 leads to 41, 41 to 75, and 140 is a head; 20 is out of reach
+    assert links([*lone, *chain, *chain]) == [("b", 10 * minute, 41 * minute), ("b", 35 * minute, 75 * minute), ("b", 41 * minute, 75 * minute)]
+    picks = R.chain_picks(spark.createDataFrame([*lone, *chain, *chain], "k string, t long"))
+    assert sorted(tuple(r) for r in picks.collect()) == [("a", 100 * width * i) for i in range(50)] + [("b", x * minute) for x in (10, 41, 75, 140)]
+
+
+def test_whole_rows_are_compared_where_an_id_repeats(spark):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    rows = [("1", "a", at(0), "x"), ("2", "a", at(40), "y"), (None, "b", at(0), "z")]
+    once = R.new_in_batch(frame(spark, rows))
+    assert rows_of(once) == sorted(rows, key=repr) and "min_by" not in plan(once) and "to_json" not in plan(once)
+    twice = R.new_in_batch(frame(spark, [*rows, ("1", "c", at(5), "w"), ("2", "a", at(40), "b"), (None, "b", at(0), "z")]))
+    assert rows_of(twice) == sorted([rows[0], ("2", "a", at(40), "b"), rows[2]], key=repr) and "min_by" in plan(twice)
+
+
+def test_of_numbered_events_at_one_instant_the_lowest_stays(spark, tmp_path):
+    path = str(tmp_path)
+    e = spark.createDataFrame([(10, 1, at(0)), (9, 1, at(0)), (100, 1, at(0)), (11, 1, at(29))], "event_id long, pair_key long, start_ts timestamp_ntz")
+    assert store.append_events(e, path) == 1
+    assert [r.event_id for r in store.stored_events(spark, path).collect()] == [9]
+
+
+@pytest.mark.parametrize("widths", [1, 2, 4])
+def test_close_pairs_of_any_bucket_width(spark, widths):
+    r = random.Random(widths)
+    left, right = ([(i, r.choice("ab"), at(r.randrange(-600, 600))) for i in range(n)] for n in (120, 90))
+    c, e = (spark.createDataFrame(x, "i long, k string, t timestamp_ntz") for x in (left, right))
+    found = R.close_pairs(c, e, "i", "i", "t", "t", "k", "k", widths=widths)
+    want = sorted((i, j, abs((t - u) // dt.timedelta(microseconds=1))) for i, k, t in left for j, m, u in right if k == m and abs(t - u) <= dt.timedelta(minutes=30))
+    assert sorted(tuple(x) for x in found.collect()) == want

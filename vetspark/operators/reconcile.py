@@ -54,21 +54,30 @@ def _seconds(a: Column, b: Column) -> Column:
     return F.abs(F.timestamp_diff("MICROSECOND", a.cast("timestamp_ntz"), b.cast("timestamp_ntz")))
 
 
-def close_pairs(candidates: DataFrame, existing: DataFrame, cand_id: str, event_id: str, start: str, existing_start: str, key: str | None = None, existing_key: str | None = None, minutes: int = MINUTES) -> DataFrame:
+def _micros(x: Column) -> Column:
+    return F.unix_micros(x.cast("timestamp_ntz").cast("timestamp"))
+
+
+def _bucket(micros: Column, width: int) -> Column:
+    """The whole number of widths before, in integers: doubles don't tell microseconds apart beyond the year 2255."""
+    return F.call_function("div", micros - F.pmod(micros, F.lit(width)), F.lit(width))
+
+
+def close_pairs(candidates: DataFrame, existing: DataFrame, cand_id: str, event_id: str, start: str, existing_start: str, key: str | None = None, existing_key: str | None = None, minutes: int = MINUTES, widths: int = 1) -> DataFrame:
     """(cand_id, event_id, gap): every candidate and existing event at most ``minutes`` apart, both ends included.
 
-    Starts are put in buckets of that length; the existing side is listed in
-    its own and both neighbouring buckets, so that the join is by equality and every pair comes once.  With keys, both sides
-    must have the same, and a null or blank key matches nothing.
+    Starts are put in buckets of ``widths`` times that length; the existing side is listed in
+    all that its window touches, so that the join is by equality and every pair comes once: in three of one width, in one or two of four, which
+    suits existing events that don't lie close.  With keys, both sides must have the same, and a null or blank key matches nothing.
     """
     width = minutes * 60_000_000
     filled = lambda df, k: df.filter(F.trim(F.col(k).cast("string")) != "")
-    bucket = lambda x: F.floor(F.unix_micros(x.cast("timestamp_ntz").cast("timestamp")) / width)
+    bucket = lambda micros: _bucket(micros, width * widths)
     left = candidates.select(F.col(cand_id).alias("cand_id"), F.col(start).alias("a"), (F.col(key) if key else F.lit(0)).alias("k")).filter("a is not null")
     right = existing.select(F.col(event_id).alias("event_id"), F.col(existing_start).alias("b"), (F.col(existing_key) if existing_key else F.lit(0)).alias("k2")).filter("b is not null")
     left, right = filled(left, "k"), filled(right, "k2")
-    left = left.withColumn("slot", bucket(F.col("a")))
-    right = right.withColumn("slot2", F.explode(F.sequence(bucket(F.col("b")) - 1, bucket(F.col("b")) + 1)))
+    left = left.withColumn("slot", bucket(_micros(F.col("a"))))
+    right = right.withColumn("slot2", F.explode(F.sequence(bucket(_micros(F.col("b")) - width), bucket(_micros(F.col("b")) + width))))
     cond = (F.col("slot") == F.col("slot2")) & (_seconds(F.col("a"), F.col("b")) <= width)
     if key:
         cond = (F.col("k") == F.col("k2")) & cond
@@ -110,73 +119,98 @@ def clash_counts(candidates: DataFrame, existing: DataFrame, cand_id: str, start
     return candidates.select(F.col(cand_id).alias("cand_id")).join(n, "cand_id", "left").withColumn("clashes", F.coalesce("clashes", F.lit(0)))
 
 
-def new_only(candidates: DataFrame, existing: DataFrame, cand_id: str, event_id: str, start: str, existing_start: str, key: str | None = None, existing_key: str | None = None, minutes: int = MINUTES) -> DataFrame:
+def new_only(candidates: DataFrame, existing: DataFrame, cand_id: str, event_id: str, start: str, existing_start: str, key: str | None = None, existing_key: str | None = None, minutes: int = MINUTES, widths: int = 1) -> DataFrame:
     """Candidates that no existing event matches; a null or blank key matches nothing."""
-    pairs = close_pairs(candidates, existing, cand_id, event_id, start, existing_start, key, existing_key, minutes)
+    pairs = close_pairs(candidates, existing, cand_id, event_id, start, existing_start, key, existing_key, minutes, widths)
     (cand,) = fresh(candidates, "cand")
     return candidates.join(pairs.select(F.col("cand_id").alias(cand)), F.col(cand_id) == F.col(cand), "left_anti")
 
 
-def chain_links(points: DataFrame, minutes: int = MINUTES) -> DataFrame:
-    """Adds to distinct points (k, t; t in microseconds) ``head``, whether none of its k lies at most ``minutes`` before it, and ``onward``, the first that lies more than that after it.
+def chain_buckets(points: DataFrame, minutes: int = MINUTES) -> DataFrame:
+    """Points (k, t; t in microseconds) by bucket of ``minutes``: k, b, ``first``, ``head``, ``asks``, ``beyond``.
 
-    Points lie in buckets of ``minutes``.  What is that long after a point lies in the next bucket, so that the first later point is found
-    among its points, by a running minimum over both, or is the first of the bucket that has any after it.  Windows hold one bucket of one k, or one
+    All points of a bucket lie within ``minutes`` of its first, and so only that one can be a chain's ``head``: if the last point of
+    the bucket before lies further back.  Where the next bucket has a head, all points lead to it; only where it has none it ``asks`` which of that bucket's points
+    comes after which of its own, and ``beyond`` is the first point after both, null if that is a head or there is none.  The window has one
     short row for each bucket of a k.
     """
     width = minutes * 60_000_000
-    by = Window.partitionBy("k", "b")
-    own = points.select("k", "t", F.floor(F.col("t") / width).alias("b"))
-    rows = own.select("k", "b", "t", F.lit(1).alias("point")).unionByName(own.select("k", (F.col("b") + 1).alias("b"), (F.col("t") + width).alias("t"), F.lit(0).alias("point")))
-    later = F.min(F.when(F.col("point") == 1, F.col("t"))).over(by.orderBy(F.desc("t"), "point").rowsBetween(Window.unboundedPreceding, -1))
-    before = F.max(F.when(F.col("point") == 1, F.col("t"))).over(by.orderBy("t", F.desc("point")).rowsBetween(Window.unboundedPreceding, -1))
-    seen = rows.withColumns({"later": later, "before": before})
-    asked = seen.filter("point = 0").select("k", (F.col("t") - width).alias("t"), F.col("later").alias("inside"))
     order = Window.partitionBy("k").orderBy("b")
-    ends = own.groupBy("k", "b").agg(F.min("t").alias("first"), F.max("t").alias("last"))
-    after = F.when(F.lead("b", 1).over(order) == F.col("b") + 1, F.lead("first", 2).over(order)).otherwise(F.lead("first", 1).over(order))
-    ends = ends.select("k", "b", F.lag("last", 1).over(order).alias("last_before"), after.alias("first_after"))
-    found = seen.filter("point = 1").select("k", "b", "t", "before").join(ends, ["k", "b"]).join(asked, ["k", "t"])
-    last = F.coalesce("before", "last_before")
-    return found.select("k", "t", F.coalesce(F.col("t") - last > width, F.lit(True)).alias("head"), F.coalesce("inside", "first_after").alias("onward"))
+    ends = points.groupBy("k", _bucket(F.col("t"), width).alias("b")).agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    far = lambda n: F.lead("first", n).over(order) - (F.lead("last", n - 1).over(order) if n > 1 else F.col("last")) > width
+    head = F.coalesce(F.col("first") - F.lag("last", 1).over(order) > width, F.lit(True))
+    return ends.select("k", "b", "first", head.alias("head"), F.coalesce(~far(1), F.lit(False)).alias("asks"), F.when(~far(2), F.lead("first", 2).over(order)).alias("beyond"))
+
+
+def chain_links(points: DataFrame, minutes: int = MINUTES, buckets: DataFrame | None = None) -> DataFrame:
+    """(k, t, ``onward``) of the points that a chain may reach: the first that lies more than ``minutes`` after, unless that is a head, which stays anyway.
+
+    What is that long after a point lies in the next bucket, so that the first later point is found
+    among its points, by a running minimum over both, or is the first of the bucket that comes after.  A bucket with a head asks for that one alone, as no chain
+    reaches the others.  Windows hold one bucket of one k, and only points of buckets that ask or are asked get there.
+    ``buckets``: what :func:`chain_buckets` gives for these points, if it is there already.
+    """
+    width = minutes * 60_000_000
+    buckets = chain_buckets(points, minutes) if buckets is None else buckets
+    own = points.select("k", "t", _bucket(F.col("t"), width).alias("b")).join(buckets.filter("asks or not head"), ["k", "b"])
+    known = F.when(~F.col("head"), F.struct("b", "t", F.lit(1).alias("point"), F.lit(None).cast("long").alias("beyond")))
+    asked = F.when(F.col("asks") & (~F.col("head") | (F.col("t") == F.col("first"))), F.struct((F.col("b") + 1).alias("b"), (F.col("t") + width).alias("t"), F.lit(0).alias("point"), "beyond"))
+    rows = own.select("k", F.inline(F.array(known, asked))).filter("b is not null")
+    by = Window.partitionBy("k", "b").orderBy(F.desc("t"), "point")
+    later = F.min(F.when(F.col("point") == 1, F.col("t"))).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    again = F.coalesce((F.lag("t", 1).over(by) == F.col("t")) & (F.lag("point", 1).over(by) == 0), F.lit(False))
+    seen = rows.withColumns({"onward": F.coalesce(later, "beyond"), "again": again})
+    return seen.filter("point = 0 and not again and onward is not null").select("k", (F.col("t") - width).alias("t"), "onward")
 
 
 def chain_picks(points: DataFrame, minutes: int = MINUTES) -> DataFrame:
-    """Of distinct points (k, t; t in microseconds) those that stay when, in the order of t, one goes that a kept one of its k lies at most ``minutes`` before.
+    """Of points (k, t; t in microseconds) those that stay, once each, when, in the order of t, one goes that a kept one of its k lies at most ``minutes`` before.
 
     Every chain's head stays, and after a kept point the first one further on.  Pointers to it double their reach each round, and the points reached
-    from heads double with them, so that a chain of a million points takes twenty rounds; each is written to the shared folder.
+    from heads double with them, so that a chain of a million points takes twenty rounds; what a round adds is written to the shared folder.
     A pointer ends at the next head, which is kept anyway, so that chains never meet.
     """
-    links = written(chain_links(points, minutes), "chains")
-    heads = links.filter("head").select("k", "t")
-    jumps = links.filter("onward is not null").select("k", "t", "onward").join(heads.withColumnRenamed("t", "onward"), ["k", "onward"], "left_anti")
-    jumps, kept = written(jumps.select("k", "t", "onward"), "jumps"), heads
+    buckets = written(chain_buckets(points, minutes), "buckets")
+    jumps, kept = written(chain_links(points, minutes, buckets), "jumps"), buckets.filter("head").select("k", F.col("first").alias("t"))
     while jumps.limit(1).count():
-        reached = jumps.join(kept, ["k", "t"]).select("k", F.col("onward").alias("t"))
-        kept = written(kept.unionByName(reached), "kept")
+        kept = kept.unionByName(written(jumps.join(kept, ["k", "t"]).select("k", F.col("onward").alias("t")), "kept"))
         jumps = written(jumps.join(jumps.select("k", F.col("t").alias("onward"), F.col("onward").alias("far")), ["k", "onward"]).select("k", "t", F.col("far").alias("onward")), "jumps")
     return kept
 
 
-def new_in_batch(events: DataFrame, event_id: str = "event_id", start: str = "start_ts", key: str = "pair_key", minutes: int = MINUTES) -> DataFrame:
+def new_in_batch(events: DataFrame, event_id: str = "event_id", start: str = "start_ts", key: str = "pair_key", minutes: int = MINUTES, own: str | None = None, among: DataFrame | None = None) -> DataFrame:
     """Events of a batch without those that another of the batch makes duplicates, by id and by pair.
 
     Of rows that repeat an id the earliest stays (then by key and the rest of the row); rows without id that are equal are one.  In the order
     of starts (then ids), an event goes if one of its pair that stays starts at most ``minutes`` before it.  Events without start, or with a null or
     blank key, go by their id only.  No array or window ever holds a pair's events: see :func:`chain_picks`.
+
+    Which ids stay is worked out on id, start and key alone; whole rows meet the ids once, and only those that repeat one are compared.
+    ``own``: a column of ``events`` that tells rows apart as :func:`event_key` does; such events lie in a table already, others are written to one first.
+    ``among``: the part of their rows that may stay, all rows of an id or none, with ``own``, ``event_id``, ``start`` and ``key``.
     """
-    own, row, name, at = fresh(events, "own", "row", "name", "at")
     columns = [F.col(f"`{c}`") for c in events.columns]
-    order = F.struct(F.col(start).isNull(), F.col(start), F.col(key).isNull(), F.col(key), F.to_json(F.struct(*columns)))
-    df = events.groupBy(event_key(events, event_id).alias(own)).agg(F.min_by(F.struct(*columns), order).alias(row)).select(own, f"{row}.*")
-    filled = F.coalesce((F.trim(F.col(key).cast("string")) != "") & F.col(start).isNotNull(), F.lit(False))
-    df = written(df.withColumns({name: F.when(filled, F.col(key)), at: F.when(filled, F.unix_micros(F.col(start).cast("timestamp_ntz").cast("timestamp")))}), "batch")
-    who = F.struct(F.col(event_id).isNull(), F.col(event_id), F.col(own))
-    points = df.filter(F.col(at).isNotNull()).groupBy(F.col(name).alias("k"), F.col(at).alias("t")).agg(F.min(who)[own].alias("first"))
-    stay = chain_picks(points.select("k", "t"), minutes).join(points, ["k", "t"]).select(F.col("first").alias(own), F.lit(True).alias(row))
-    out = df.join(stay, own, "left")
-    return out.filter(F.col(at).isNull() | F.col(row)).select(*columns)
+    if own is None:
+        (own,) = fresh(events, "own")
+        events = written(events.withColumn(own, event_key(events, event_id)), "events")
+    row, hashed, n = fresh(events, "row", "hash", "n")
+    first = [F.col(start).isNull(), F.col(start), F.col(key).isNull(), F.col(key)]
+    ids = events if among is None else among
+    ids = ids.groupBy(F.xxhash64(own).alias("h"), F.col(own).alias("own")).agg(F.min(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(first)])).alias("at"), F.min(F.col(event_id)).alias("id"), F.count(F.lit(1)).alias("n"))
+    k, at = F.col("at.c3"), F.col("at.c1")
+    filled = F.coalesce((F.trim(k.cast("string")) != "") & at.isNotNull(), F.lit(False))
+    ids = written(ids.select("h", "own", "id", "n", F.when(filled, k).alias("k"), F.when(filled, _micros(at)).alias("t")), "ids")
+    timed = ids.filter("t is not null")
+    least = timed.join(chain_picks(timed.select("k", "t"), minutes), ["k", "t"]).groupBy("k", "t").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "own", "h", "n")).alias("least"))
+    stay = least.select("least.h", "least.own", "least.n").unionByName(ids.filter("t is null").select("h", "own", "n"))
+    repeated = ids.filter("n > 1").limit(1).count()
+    stay = (written(stay, "stay") if repeated else stay).select(F.col("h").alias(hashed), F.col("own").alias(row), F.col("n").alias(n))
+    whole = lambda ids: events.join(ids, (F.xxhash64(own) == F.col(hashed)) & (F.col(own) == F.col(row)))
+    if not repeated:
+        return whole(stay).select(*columns)
+    order = F.struct(*first, F.to_json(F.struct(*columns)))
+    several = whole(stay.filter(F.col(n) > 1)).groupBy(own).agg(F.min_by(F.struct(*columns), order).alias(row)).select(f"{row}.*")
+    return whole(stay.filter(F.col(n) == 1)).select(*columns).unionByName(several)
 
 
 def results_table(created: DataFrame, skipped: DataFrame, columns: Sequence[str], event: str = "event_id") -> DataFrame:

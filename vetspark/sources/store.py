@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import event_key, fresh
 from ..operators.reconcile import new_in_batch, new_only
 from .readers import batch_bounds, existing_scan
-from .shared import file_system
+from .shared import file_system, written
 
 #: Key files are dealt out to so many folders, so that a small batch meets few of them.
 SLOTS = 64
@@ -126,17 +126,22 @@ def append_events(events: DataFrame, path: str, minutes: int = 30, event_id: str
     columns = keyed.columns
     keyed.write.mode("overwrite").parquet(stage)
     keyed = spark.read.schema(keyed.schema).parquet(stage)
-    slots = [r[0] for r in keyed.select(_slot(F.col(KEY))).distinct().collect()]  # SLOTS numbers at most
+    slots = None
     while True:
         log = commits(spark, path)
-        added = keyed
-        near = stored_events(spark, path, keyed, start, minutes)
-        if near is not None:
-            added = new_only(added, near.select(F.col(KEY).alias(drop), F.col(start).alias("b"), F.col(pair).alias("k2")), KEY, drop, start, "b", pair, "k2", minutes)
+        unknown = keyed.select(*dict.fromkeys((KEY, event_id, start, pair)))
         keys = _read(spark, path, "keys", live_batches(log))
         if keys is not None:
-            added = added.join(keys.filter(F.col(SLOT).isin(slots)).select(KEY), KEY, "left_anti")
-        added = new_in_batch(added, KEY, start, pair, minutes).select(*columns)
+            slots = slots or [r[0] for r in keyed.select(_slot(F.col(KEY))).distinct().collect()]  # SLOTS numbers at most
+            known = keys.filter(F.col(SLOT).isin(slots)).select(F.col(KEY).alias(drop))
+            unknown = written(unknown.join(known, (F.xxhash64(KEY) == F.xxhash64(drop)) & (F.col(KEY) == F.col(drop)), "left_anti"), "unknown")
+            if not unknown.limit(1).count():
+                n = 0
+                break
+        near = stored_events(spark, path, unknown, start, minutes)
+        if near is not None:
+            unknown = new_only(unknown, near.select(F.col(KEY).alias(drop), F.col(start).alias("b"), F.col(pair).alias("k2")), KEY, drop, start, "b", pair, "k2", minutes, widths=4)
+        added = new_in_batch(keyed, event_id, start, pair, minutes, own=KEY, among=unknown).select(*columns)
         n = _stage(added, path, batch, start)
         if not n or publish(spark, path, Commit(max((c.version for c in log), default=0) + 1, batch)):
             break
