@@ -128,6 +128,45 @@ def test_blocks_are_skipped_and_shards_agree(monkeypatch):
     assert found[0] == found[1] and found[0][1] == [[9, 11, 13, 15, 17]]
 
 
+def test_rare_words_do_not_keep_blocks_open():
+    """What a query's rare words add to a block is worked out, not bounded by what they add anywhere in the part: two languages share them here."""
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    often = lambda lang: f"{lang}{min(400, int(rng.paretovariate(0.4)))}"
+    texts = [" ".join([often("ab"[i % 2]) for _ in range(30)] + [f"r{rng.randint(0, 3000)}" for _ in range(10)]) for i in range(4000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["id", "text"])
+    bags = [Counter(t.split()) for t in texts]
+    df = Counter(w for b in bags for w in b)
+    idf = {w: math.log1p((4000 - n + 0.5) / (n + 0.5)) for w, n in df.items()}
+    hashes = {w: int(search.terms_of(w)[0]) for w in df}
+    asked = [sorted((hashes[w], idf[w]) for w in bags[i]) for i in range(0, 4000, 100)]
+    q = search._queries(pa.table({"query_id": pa.array(range(0, 4000, 100), pa.int64()), "term": [[t for t, _ in x] for x in asked], "idf": [[w for _, w in x] for x in asked]}))
+    best, ids = np.full((40, 5), -np.inf), np.zeros((40, 5), np.int64)
+    shards = [r for b in search._build(iter([batch])) for r in b.to_pylist()]
+    query = np.repeat(np.arange(40), np.diff(q.start))
+    for r in shards:
+        for part in search._parts(r, q, 40.0):
+            part.search(q.at, query, q.ids, best, ids)
+    for at in range(0, 40, 4):
+        i = int(q.ids[at])
+        scores = sorted((-round(sum(idf[w] * b[w] * 2.2 / (b[w] + 1.2) for w in bags[i].keys() & b.keys()), 9), j) for j, b in enumerate(bags) if j != i)[:5]
+        assert ids[at].tolist() == [j for _, j in scores]
+        np.testing.assert_allclose(best[at], [-s for s, _ in scores], atol=1e-8)
+    scored = sum(part.search(q.at, query, q.ids, best.copy(), ids.copy()) for r in shards for part in search._parts(r, q, 40.0))
+    assert scored < 0.7 * 40 * 4000
+
+
+def test_words_are_cut_at_ascii_white_space_only():
+    import pyarrow as pa
+
+    texts = ["", " ", "a", " A b\tB\x0bc\x0cd\re \n", "\x1cx\x85y\u00a0z \u2003w", "İI Ää\x00q  q", "\n\n", "end "]
+    sizes, at, hashes = search._words(pa.array(texts))
+    cut = [t.encode().lower().split() for t in texts]
+    assert sizes.tolist() == [*map(len, cut)]
+    assert hashes[at].tolist() == [h for t in texts for h in search.terms_of(t).tolist()]
+
+
 def test_query_blocks_and_parts_agree(spark, monkeypatch):
     rng = random.Random(8)
     docs = frame(spark, [(i, " ".join(f"w{min(90, int(rng.paretovariate(0.6)))}" for _ in range(rng.randint(0, 30))), "s") for i in range(300)])
